@@ -27,31 +27,85 @@ def walk(
     ``starts`` has (root, node), ``edges`` has (src, dst). A round makes several hops in one plan: rows of
     the last depth meet the edges, all others pass through, and one grouping per hop keeps the least depth.
     What a round reaches is compared with what was known at its end, so cycles end the loop.
+
+    With many starts and no bound the distance per round is doubled instead, as long as the doubled edges
+    stay few: see ``_walk_doubling``.
     """
-    steps = edges.select("src", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     known, found = cut_counted(starts.select("root", "node").distinct().withColumn("depth", F.lit(0)))
+    steps, n_edges = cut_counted(edges.select("src", "dst").distinct())
+    if max_hops is None and found * 100 >= n_edges:
+        return _walk_doubling(known, steps, n_edges)
     rounds, frontier, depth = [known], known, 0
     while found and (max_hops is None or depth < max_hops):
         hops = hops_per_round if max_hops is None else min(hops_per_round, max_hops - depth)
-        reached = frontier
-        for h in range(depth, depth + hops):
-            here = F.struct("node", "depth")
-            there = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("node"), F.lit(h + 1).alias("depth")))
+        reached = frontier.withColumn("open", F.lit(True))
+        for _ in range(hops):
+            # No hop number in the plan: the generated code is the same for every hop and round.
+            here = F.struct("node", "depth", F.lit(False).alias("open"))
+            there = F.when(F.col("dst").isNotNull(), F.struct(
+                F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.lit(True).alias("open")))
             reached = (
-                reached.join(steps, (F.col("node") == F.col("src")) & (F.col("depth") == h), "left")
+                reached.join(steps, (F.col("node") == F.col("src")) & F.col("open"), "left")
                 .select("root", F.explode(F.array_compact(F.array(here, there))).alias("n"))
-                .groupBy("root", "n.node").agg(F.min("n.depth").alias("depth"))
+                .groupBy("root", "n.node").agg(F.min("n.depth").alias("depth"), F.bool_and("n.open").alias("open"))
             )
         seen = _union(rounds).select("root", "node")
         new, found = cut_counted(reached.join(seen, ["root", "node"], "left_anti"))
-        rounds.append(new)
+        rounds.append(new.select("root", "node", "depth"))
         depth += hops
         # What was first met inside this round was already expanded in it, except on its last hop.
-        frontier = new.filter(F.col("depth") == depth)
-    steps.unpersist()
+        frontier = new.filter("open").select("root", "node", "depth")
     return _union(rounds)
 
 
+def _doubled(jumps: DataFrame, limit: int) -> tuple[DataFrame, int] | None:
+    """Pairs two jumps apart, or None when there would be more than ``limit`` before removing duplicates.
+
+    The number is known exactly before the join: the sum of in-degree times out-degree.
+    """
+    into = jumps.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"))
+    out = jumps.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o"))
+    pairs = into.join(out, "id").agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0
+    if pairs > limit:
+        return None
+    ahead = jumps.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
+    return cut_counted(jumps.join(ahead, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst")).distinct())
+
+
+def _walk_doubling(known: DataFrame, steps: DataFrame, n_edges: int) -> DataFrame:
+    """Reach of every root, window by window: nodes less than d hops away, met with the pairs d hops apart.
+
+    While the pairs can be doubled the window doubles with them; after that windows of one length follow
+    each other. A node's least depth lies in the window it is first found in, and a window that finds
+    nothing new is the end, on cycles too.
+    """
+    limit = max(4 * n_edges, 100_000)
+    jumps, length, growing = steps, 1, True
+    rounds, source = [known], known
+    while True:
+        moved = (
+            source.join(jumps, F.col("node") == F.col("src"))
+            .select("root", F.col("dst").alias("node"), (F.col("depth") + length).alias("depth"))
+            .groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        )
+        seen = _union(rounds).select("root", "node")
+        new, found = cut_counted(moved.join(seen, ["root", "node"], "left_anti"))
+        if found == 0:
+            return _union(rounds)
+        rounds.append(new)
+        if growing:
+            doubled = _doubled(jumps, limit)
+            growing = doubled is not None
+            if growing:
+                jumps, length = doubled[0], 2 * length
+                source = _union(rounds)
+                if doubled[1] == 0:
+                    return source
+                continue
+            # Windows of this length from here on: the last one found starts the next.
+        source = new
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -111,22 +165,39 @@ def chase(nodes: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame, *, levels_per_round: int = 8) -> DataFrame:
     """Longest-path level of every node ``(id, level)``; null for nodes on or behind a cycle.
 
-    A node is placed when all edges into it have been seen. Only the edges of the nodes just placed are
+    Doubles the distance per round while the doubled edges stay few, else places level by level.
+    """
+    steps, n_edges = cut_counted(edges.select("src", "dst").filter("src <> dst").distinct())
+    nodes, n_nodes = cut_counted(nodes.select("id").distinct())
+    best, limit = nodes.withColumn("level", F.lit(0).cast("bigint")), max(4 * n_edges, 100_000)
+    jumps, length, n_jumps = steps, 1, n_edges
+    # best = min(longest path, length - 1); a jump of this length adds it to the best of where it starts.
+    while n_jumps and length <= n_nodes:
+        ahead = (best.join(jumps, F.col("id") == F.col("src"))
+                 .select(F.col("dst").alias("id"), (F.col("level") + length).alias("level")))
+        best = cut(best.unionByName(ahead).groupBy("id").agg(F.max("level").alias("level")))
+        doubled = _doubled(jumps, limit)
+        if doubled is None:
+            return _levels_by_peeling(nodes, steps, levels_per_round)
+        (jumps, n_jumps), length = doubled, 2 * length
+    return best.select("id", F.when(F.col("level") < n_nodes, F.col("level")).alias("level"))
+
+
+def _levels_by_peeling(nodes: DataFrame, edges: DataFrame, levels_per_round: int) -> DataFrame:
+    """A node is placed when all edges into it have been seen. Only the edges of the nodes just placed are
     read, so all rounds together read each edge once; a round places several levels in one plan.
     """
-    edges = edges.select("src", "dst").filter("src <> dst").distinct()
     degree = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
     edges = edges.join(degree, "dst").persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = nodes.select("id").distinct()
     none = F.lit(None).cast("bigint")
     first, n = cut_counted(nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
-                           .select("id", F.lit(0).alias("level"), none.alias("seen"), none.alias("degree")))
+                           .select("id", F.lit(0).cast("bigint").alias("level"), none.alias("seen"), none.alias("degree")))
     placed, state, level = [first.select("id", "level")], first, 0
     while n:
         for at in range(level, level + levels_per_round):
             itself = F.struct("id", "level", "seen", "degree")
             met = F.when(F.col("dst").isNotNull(), F.struct(
-                F.col("dst").alias("id"), F.lit(None).cast("int").alias("level"), F.lit(1).cast("bigint").alias("seen"),
+                F.col("dst").alias("id"), none.alias("level"), F.lit(1).cast("bigint").alias("seen"),
                 F.col("in_degree").alias("degree")))
             state = (
                 state.join(edges.withColumnRenamed("degree", "in_degree"),
@@ -134,7 +205,7 @@ def levels(nodes: DataFrame, edges: DataFrame, *, levels_per_round: int = 8) ->
                 .select(F.explode(F.array_compact(F.array(itself, met))).alias("n"))
                 .groupBy("n.id").agg(F.max("n.level").alias("level"), F.sum("n.seen").alias("seen"),
                                      F.max("n.degree").alias("degree"))
-                .withColumn("level", F.coalesce("level", F.when(F.col("seen") == F.col("degree"), at + 1)))
+                .withColumn("level", F.coalesce("level", F.when(F.col("seen") == F.col("degree"), F.lit(at + 1).cast("bigint"))))
             )
         state, _ = cut_counted(state.filter(F.col("level").isNull() | (F.col("level") > level)))
         placed.append(state.filter("level IS NOT NULL").select("id", "level"))
