@@ -51,7 +51,7 @@ MODELS: dict[str, str] = {
     "trusted_claim": """
   SELECT c.*, t.tier, t.name FROM claim c JOIN trust_key t USING (keyid)""",
     "claim_position": """
-  SELECT claim_id, row_number() OVER (PARTITION BY scope ORDER BY at, seq) - 1 AS position FROM claim""",
+  SELECT claim_id, row_number() OVER (PARTITION BY scope ORDER BY c.at, seq) - 1 AS position FROM claim c""",
     "turn_claim": """
   SELECT 'c'||conv_id||':'||turn AS claim_id, 'c'||conv_id||':0' AS scope,
          CASE WHEN turn>0 THEN 'c'||conv_id||':'||(turn-1) END AS prev, turn=0 AS genesis, role AS keyid,

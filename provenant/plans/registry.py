@@ -12,7 +12,7 @@ from provenant.sources.testdata import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-AREAS = ("base", "records")
+AREAS = ("base", "records", "scopes", "unions")
 
 
 def query(name: str, sql: str | None = None):
