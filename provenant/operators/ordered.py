@@ -46,13 +46,18 @@ def scan(
     size is not looked at.
     """
     limit = hot_rows(df.sparkSession)
-    largest = 0 if bounded else (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+    largest = 0 if bounded else largest_key(df, keys)
     if largest <= limit:
         window = Window.partitionBy(*keys).orderBy(*_order(order, reverse))
         return df.select("*", *[_over(s, window).alias(s.name) for s in scans])
     return _scan_in_blocks(df, list(keys), list(order), list(scans), reverse, limit, largest)
 
 
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the key that has the most."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def _order(order: Sequence[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 

@@ -64,7 +64,7 @@ MODELS: dict[str, str] = {
          sha256(CAST(CAST(json_extract(props,'$.k') AS BIGINT) AS VARCHAR)||':'||CAST(floor(value/8) AS BIGINT)) AS sha
   FROM events""",
     "trace_event": """
-  SELECT 's'||user_id AS session, event_id*2 AS ord, epoch_us(ts)*1000 AS ts_ns, k+10 AS pid, 1 AS ppid,
+  SELECT 's'||user_id AS session, event_id*2 AS ord, epoch_us(ts)*1000 AS ts_ns, CASE event_type WHEN 'error' THEN 1 ELSE k+10 END AS pid, 1 AS ppid,
          CASE event_type WHEN 'view' THEN 'open' WHEN 'purchase' THEN 'open'
               WHEN 'click' THEN CASE WHEN value<5 THEN 'connect' ELSE 'exec' END
               WHEN 'signup' THEN CASE WHEN value>=12 THEN 'rename' ELSE 'unlink' END ELSE 'TASK' END AS op,

@@ -184,7 +184,7 @@ class Tables:
             F.concat(F.lit("s"), "user_id").alias("session"),
             (F.col("event_id") * 2 + F.col("r.n")).alias("ord"),
             (F.unix_micros("ts") * 1000 + F.col("r.n")).alias("ts_ns"),
-            (F.col("k") + 10).alias("pid"),
+            F.when(F.col("r.op") == "TASK", 1).otherwise(F.col("k") + 10).alias("pid"),
             F.lit(1).cast("bigint").alias("ppid"),
             "r.op", "r.mode", "r.path",
             F.lit(0).cast("bigint").alias("size"),
