@@ -109,8 +109,8 @@ def path_class(path, project, *, log=None, home: str = "", env: Column | None =
 
 def words(cmdline) -> Column:
     """The words of a command line, quotes removed."""
-    found = F.regexp_extract_all(_c(cmdline), F.lit(r"""((?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+)"""), 1)
-    unquote = lambda w: F.regexp_replace(F.regexp_replace(w, r"""'([^']*)'|"((?:[^"\\]|\\.)*)\"""", "$1$2"), r"\\(.)", "$1")
+    found = F.regexp_extract_all(_c(cmdline), F.lit(r"""((?:[^\s"'\\]++|\\.|"[^"\\]*+(?:\\.[^"\\]*+)*"|'[^']*')+)"""), 1)
+    unquote = lambda w: F.regexp_replace(F.regexp_replace(w, r"""'([^']*)'|"([^"\\]*+(?:\\.[^"\\]*+)*)\"""", "$1$2"), r"\\(.)", "$1")
     return F.transform(found, unquote)
 
 

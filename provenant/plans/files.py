@@ -19,7 +19,7 @@ from provenant.session import cut
 STEPS = """steps AS (SELECT event_id AS step, 's'||user_id AS session, epoch_us(ts) AS "end", event_type, k, value FROM trace_source WHERE event_type IN ('purchase','click','view')),
 outp AS (SELECT step, '/proj/'||(CASE event_type WHEN 'purchase' THEN k ELSE (k+1)%100 END) AS path, 'v'||step AS sha, "end" FROM steps WHERE event_type<>'view'),
 rd AS (SELECT step, '/proj/'||k AS path, "end", value FROM steps WHERE event_type<>'purchase'),
-inp0 AS (SELECT rd.*, w.step AS w FROM rd ASOF LEFT JOIN outp w ON rd.path=w.path AND rd."end">w."end"),
+inp0 AS MATERIALIZED (SELECT rd.*, w.step AS w FROM rd ASOF LEFT JOIN outp w ON rd.path=w.path AND rd."end">w."end"),
 inp AS (SELECT step, path, "end", w, CASE WHEN w IS NULL THEN 'orig'||path WHEN value>=30 THEN 'edit'||step ELSE 'v'||w END AS sha,
   CASE WHEN value<30 THEN w END AS from_step, CASE WHEN w IS NOT NULL AND value>=30 THEN 'changed-outside' ELSE 'observed' END AS status FROM inp0),
 edges AS (SELECT DISTINCT step AS src, from_step AS dst FROM inp WHERE from_step IS NOT NULL)"""
