@@ -88,7 +88,7 @@ def nt_unquote(value) -> Column:
 
     def plain(tok: Column) -> Column:
         code = F.conv(F.substring(tok, 3, 8), 16, 10).cast("int")
-        wide = F.decode(F.to_binary(F.lpad(F.hex(code), 8, "0"), F.lit("hex")), "UTF-32BE")
+        wide = F.decode(F.to_binary(F.lpad(F.hex(code), 8, "0"), F.lit("hex")), "UTF-32")
         return (
             F.when(tok == "\\t", "\t").when(tok == "\\n", "\n").when(tok == "\\r", "\r").when(tok == "\\b", "\b")
             .when(tok == "\\f", "\f").when(tok.rlike(r"^\\[uU]"), wide)

@@ -58,7 +58,7 @@ def _rows(session: str, task: dict, name: str, status: str, end: int) -> list[tu
     return out
 
 
-def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(key, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
     session = key[0]
     task = json.loads(state.get[0]) if state.exists else None
     if state.hasTimedOut:
@@ -79,7 +79,7 @@ def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
             task["lines"] += 1
             _fold(task, e)
     state.update((json.dumps(task, default=int),))
-    state.setTimeoutDuration(_step.idle_ms)
+    state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(rows, columns=[c.split()[0].strip("`") for c in OUT.split(", ")])
 
 
@@ -88,6 +88,9 @@ def follow(trace: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
 
     The state of a session is its open task only; a batch holds only the lines that are new.
     """
-    _step.idle_ms = idle_ms
+
+    def step(key, batches, state):
+        yield from _step(key, batches, state, idle_ms)
+
     lines = trace.select("session", "ord", "ts_ns", "op", "mode", "path", "mtime_ns", F.coalesce("extra", F.lit("")).alias("extra"))
-    return lines.groupBy("session").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return lines.groupBy("session").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

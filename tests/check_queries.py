@@ -65,7 +65,9 @@ def main(argv):
     from provenant.session import local_session
 
     folder, names = argv[0], argv[1:]
-    spark = local_session()
+    import os
+    conf = {"spark.provenant.hotKeyRows": os.environ["HOT_ROWS"]} if "HOT_ROWS" in os.environ else {}
+    spark = local_session(**conf)
     spark.sparkContext.setLogLevel("OFF")
     con = connect(folder)
     qs, sqls = entry.queries(), entry.oracle_sql()
