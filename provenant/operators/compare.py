@@ -29,7 +29,8 @@ def compare_files(files: DataFrame, rtol: float, volatile: str | None = None) ->
     """
     sides = files.groupBy("pair").agg((F.max("sha") == F.min("sha")).alias("equal"), F.count(F.lit(1)).alias("n"),
                                       F.bool_or(F.contains("text", F.lit("\u0000"))).alias("binary"))
-    rows = lines_of(files)
+    # Only pairs whose bytes differ are split into lines.
+    rows = lines_of(files.join(sides.filter("NOT equal").select("pair"), "pair"))
     both = rows.filter("side = 'a'").select("pair", "line", F.col("text").alias("a")).join(
         rows.filter("side = 'b'").select("pair", "line", F.col("text").alias("b")), ["pair", "line"], "full")
     length = both.groupBy("pair").agg(F.bool_or(F.col("a").isNull() | F.col("b").isNull()).alias("ragged"))

@@ -118,12 +118,12 @@ def pairs(t):
     line = F.concat_ws(" ", "l_orderkey", "l_linenumber", F.format_string("%.2f", F.col("l_extendedprice")))
     other = F.concat_ws(" ", "l_orderkey", "l_linenumber", F.format_string("%.2f", F.when(F.col("l_linenumber") == 7, F.col("l_extendedprice") * 1.0005).otherwise(F.col("l_extendedprice"))))
     l = t.base("lineitem")  # noqa: E741
-    rows = l.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("pair"), line.alias("a"), other.alias("b"))
+    rows = l.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("pair"), line.alias("a"), other.alias("b"))
     both = rows.select("pair", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("text")), F.struct(F.lit("b").alias("side"), F.col("b").alias("text")))).alias("f"))
     return both.select("pair", "f.side", "f.text", F.sha2("f.text", 256).alias("sha")).distinct()
 
 
-@query("compared_files", """SELECT DISTINCT l_orderkey||'-'||l_linenumber||'-'||l_suppkey||'-'||l_partkey AS pair, CASE WHEN l_linenumber=7 THEN 'within' ELSE 'same' END AS verdict FROM lineitem""")
+@query("compared_files", """SELECT DISTINCT l_orderkey||'-'||l_linenumber||'-'||l_suppkey||'-'||l_partkey||'-'||CAST(round(l_extendedprice*100) AS BIGINT) AS pair, CASE WHEN l_linenumber=7 THEN 'within' ELSE 'same' END AS verdict FROM lineitem""")
 def _(t):
     return C.compare_files(pairs(t), 1e-3).select("pair", "verdict")
 
