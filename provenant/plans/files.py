@@ -335,3 +335,78 @@ def _(t):
 @query("first_two_per_source", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r<=2")
 def _(t):
     return R.first_n(t.base("documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], 2).select("doc_id")
+
+
+@query("writers_before_hand_edits", f"WITH {STEPS} SELECT step, path, w AS writer FROM inp WHERE status='changed-outside'")
+def _(t):
+    s = Steps(t)
+    hand = s.inputs.filter("status = 'changed-outside'").join(s.steps.select("step", F.col("start").alias("at")), "step").select("step", "path", "at")
+    return X.writers_before(hand, s.outputs, s.steps).select("step", "path", "writer")
+
+
+@query("inputs_without_noise", f"WITH {STEPS} SELECT i.step, i.path FROM inp i JOIN steps s USING (step) WHERE s.value>=1 AND s.k<>7")
+def _(t):
+    """Inputs of the smallest values were rewritten; the file of key 7 is a tool's work file."""
+    s = Steps(t)
+    i = s.inputs.join(s.steps.select("step", "value", "k"), "step").withColumn("rewritten", F.col("value") < 1)
+    i = i.withColumn("real", F.col("path")).withColumn("path", F.when(F.col("k") == 7, "/proj/FILE07").otherwise(F.col("path")))
+    return X.without_noise(i, s.outputs)[0].select("step", F.col("real").alias("path"))
+
+
+@query("matching_steps", f"WITH {STEPS} SELECT DISTINCT step FROM steps JOIN inp USING (step) WHERE event_type='click' AND path LIKE '%/1%'")
+def _(t):
+    s = Steps(t)
+    return X.matching(s.steps.select("step"), s.steps.select("step", F.col("event_type").alias("name")), s.inputs.select("step", "path"), "click", "/1")
+
+
+@query("steps_in_view", f"""WITH {STEPS}, f AS (SELECT session, arg_min(step, "end") AS step FROM steps GROUP BY session)
+SELECT step FROM steps WHERE event_type<>'view' OR step NOT IN (SELECT step FROM f)""")
+def _(t):
+    s = Steps(t)
+    label = s.steps.filter("event_type <> 'view'").select("step")
+    return X.session_view(s.steps.select("step", "session", "start"), s.steps.select("step"), label, s.outputs).select("step")
+
+
+@query("watched_sessions", "SELECT 'd'||doc_id AS session FROM documents WHERE source IN ('src1','src2') OR (source='src3' AND lang='en') OR n_chars<100")
+def _(t):
+    d = t.base("documents").select(F.concat(F.lit("d"), "doc_id").alias("session"), F.concat(F.lit("/d/"), "source", F.lit("/"), "lang").alias("project"), "source", "lang", "n_chars",
+                                   F.lit(True).alias("closed"))
+    folders = d.filter("source IN ('src1', 'src2')").select(F.concat(F.lit("/d/"), "source").alias("path")).unionByName(
+        d.filter("source = 'src3' AND lang = 'en'").select(F.col("project").alias("path"))).distinct()
+    return X.watched(d, folders, d.filter("n_chars < 100")).select("session")
+
+
+@query("tools_of_records", "SELECT record_id, split_part(split_part(cmd,'&& ',2),' ',1) AS tools FROM work WHERE environment<>'env-p'")
+def _(t):
+    c = t.work.select(F.col("record_id").alias("step"), F.expr("substring_index(substring_index(cmd, '&& ', -1), ' ', 1)").alias("name"))
+    return X.tools_of(c, ["toolO", "toolF"]).select(F.col("step").alias("record_id"), F.array_join("tools", ",").alias("tools"))
+
+
+@query("parents_in_control_files", "SELECT '/m/'||p_partkey||'.mod' AS path, CAST(p_partkey-1 AS VARCHAR) AS parent, 'w'||(p_partkey-1) AS record FROM part WHERE p_partkey-1 IN (SELECT p_partkey FROM part)")
+def _(t):
+    p = t.base("part").select("p_partkey")
+    path = lambda ext: F.concat(F.lit("/m/"), "p_partkey", F.lit(ext)).alias("path")
+    control = p.select(path(".mod"), F.concat(F.lit("$PROBLEM x\n; based_on: "), (F.col("p_partkey") - 1).cast("string"), F.lit("\n$DATA d\n")).alias("text"))
+    outs = p.select(path(".lst"), F.concat(F.lit("lst"), "p_partkey").alias("sha"))
+    pub = p.select(F.concat(F.lit("lst"), "p_partkey").alias("sha"), F.concat(F.lit("w"), "p_partkey").alias("record"), F.col("p_partkey").alias("seq"))
+    return X.based_on(control, outs, pub)
+
+
+@query("common_base_of_calls", "SELECT record_id AS call, CASE WHEN EXISTS (SELECT 1 FROM work_file f WHERE f.record_id=w.record_id AND role='in' AND path LIKE '/p/%') THEN '/' ELSE '/c/'||substr(owner,2) END AS base FROM work w")
+def _(t):
+    calls = t.work.select(F.col("record_id").alias("call"), F.concat(F.lit("/c/"), F.expr("substring(owner, 2)")).alias("cwd"), F.array(F.lit("tool"), F.lit("x")).alias("argv"))
+    return CA.common_base(calls, t.work_file.filter("role = 'in'").select(F.col("record_id").alias("call"), "path"))
+
+
+@query("files_named_by_calls", "SELECT record_id AS call, 1 AS pos, '/c/'||o_custkey||'/state.csv' AS path FROM work JOIN orders ON record_id='w'||o_orderkey")
+def _(t):
+    calls = W.executions(t.work, t.work_file).select(F.col("record_id").alias("call"), F.col("folder").alias("cwd"), F.col("words").alias("argv"))
+    return CA.referenced_files(calls, t.work_file.select("path").distinct())
+
+
+@query("stored_sessions", f"""WITH {STEPS}, l AS (SELECT session, max("end") AS last, arg_max(event_type, "end") AS e FROM steps GROUP BY session)
+SELECT session FROM l WHERE e<>'view' AND (last>=1706500000000000 OR session LIKE '%3')""")
+def _(t):
+    from provenant.sources.store import stored_sessions
+    last = Steps(t).steps.groupBy("session").agg(F.max("end").alias("last"), F.max_by("event_type", "end").alias("e"))
+    return stored_sessions(last, last.filter("e = 'view'"), last.filter("session LIKE '%3'"), 1706500000000000).select("session")

@@ -222,3 +222,66 @@ def _(t):
     d = t.base("documents").filter(~F.contains("text", F.lit("```"))).select(F.col("doc_id").alias("file"), F.concat(
         F.lit("# Title\n\n```{r d"), "doc_id", F.lit(", echo=FALSE}\n"), "text", F.lit("\n```\ntext\n")).alias("text"))
     return L.chunks(d).select(F.col("file").alias("doc_id"), "label", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+
+
+@query("variables_reach_files", f"""WITH {USES}, u AS (SELECT u.session, u.task_no, d.task_no AS def_task FROM use u ASOF JOIN def d ON u.session=d.session AND u.name=d.name AND u.task_no>d.task_no)
+SELECT u.session, u.task_no, '/in/'||k AS path, 1 AS depth FROM u JOIN trace_source s ON s.event_id=u.def_task""")
+def _(t):
+    define, code = variables(t)
+    uses = L.variable_uses(L.names_used(code), define)
+    read = define.select("session", "task_no", F.concat(F.lit("/in/"), F.expr("substring(name, 2)")).alias("path"), F.lit("h").alias("sha"))
+    return L.via_objects(uses, read).select("session", "task_no", "path", "depth")
+
+
+@query("projects_of_sessions", """WITH f AS (SELECT 's'||user_id AS session, arg_min(k, event_id) FILTER (event_type='click' AND value>=5) AS k FROM trace_source GROUP BY user_id)
+SELECT session, CASE WHEN k<20 THEN '/r/'||k||'/sub' WHEN k<50 THEN '/r/'||k WHEN k IS NOT NULL THEN '/r' END AS project FROM f""")
+def _(t):
+    """Commands ran in a folder per key; some keys are hashed roots of their own, some are repositories."""
+    e = t.trace_event.withColumn("path", F.when(F.col("op") == "exec", F.concat(F.lit("/r/"), (F.col("pid") - 10).cast("string"), F.lit("/sub"))).otherwise(F.col("path")))
+    k = t._events.select("k").distinct()
+    own = e.select("session").distinct()
+    narrow = t._events.filter("k < 50").select(F.concat(F.lit("s"), "user_id").alias("session"), F.concat(F.lit("/r/"), "k").alias("root")).distinct()
+    roots = own.withColumn("root", F.lit("/r")).unionByName(narrow)
+    repos = k.filter("k < 20").select(F.concat(F.lit("/r/"), "k", F.lit("/sub")).alias("path"))
+    return K.placed(e, roots, repos)
+
+
+CALLS = NUM + """,
+cal AS (SELECT DISTINCT session, task_no, pid FROM num WHERE op='exec'),
+cop AS (SELECT n.session, n.task_no, n.pid, n.ord, CASE WHEN op='open' AND mode='r' THEN 'r' WHEN op='open' THEN 'w' WHEN op='closew' THEN 'c' ELSE 'd' END AS o, sha
+  FROM num n JOIN cal USING (session, task_no, pid) WHERE op IN ('open','closew','rename','unlink')),
+cst AS (SELECT *, coalesce(bool_or(o IN ('w','c')) OVER v, false) AS w0, coalesce(bool_or(o='w') OVER v, false) AS o0 FROM cop
+  WINDOW v AS (PARTITION BY session, task_no, pid ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cfi AS (SELECT session, task_no, pid, arg_min(sha, ord) FILTER (o='r' AND NOT w0) AS r, arg_max(CASE WHEN o='c' THEN sha ELSE '-' END, ord) FILTER ((o='c' AND o0) OR o='d') AS w FROM cst GROUP BY ALL)"""
+
+
+def calls(t):
+    from provenant.operators import calls as CA
+    tr = K.build(t.trace_event, "/proj")
+    commands = cut(tr.commands)
+    found = cut(CA.tool_calls(commands, [f"tool{i}" for i in range(100)]))
+    trees = CA.subtrees(found, CA.process_edges(commands))
+    return found, CA.call_files(found, trees, tr.ops)
+
+
+@query("call_files", f"""WITH {CALLS} SELECT session, task_no, pid, 'read' AS role, r AS sha FROM cfi WHERE r IS NOT NULL
+UNION ALL SELECT session, task_no, pid, 'write', w FROM cfi WHERE w IS NOT NULL AND w<>'-' AND w IS DISTINCT FROM r""")
+def _(t):
+    parts = F.split("call", "\u0001")
+    return calls(t)[1].select(parts[0].alias("session"), parts[1].cast("bigint").alias("task_no"), parts[2].cast("bigint").alias("pid"), "role", "sha")
+
+
+@query("call_keys", f"""WITH {CALLS} SELECT session, task_no, pid, 'sha256:'||sha256('{{"inputs":{{'||coalesce('"'||(pid-10)||'.csv":"'||r||'"','')||'}},"protocol":{{"kind":"cmd","ref":"sha256:'||
+  sha256('{{"argv":["tool'||(pid-10)||'","-i","'||(pid-10)||'.csv"]}}')||'"}}}}') AS key FROM cal LEFT JOIN cfi USING (session, task_no, pid)""")
+def _(t):
+    from provenant.operators import calls as CA
+    found, files = calls(t)
+    return CA.call_keys(found, files).select("session", "task_no", "pid", "key")
+
+
+@query("files_to_keep", f"""WITH {NUM}, k AS (SELECT DISTINCT sha FROM trace_event WHERE op='closew') SELECT DISTINCT sha FROM num WHERE op='open' AND mode='r' AND sha NOT IN (SELECT sha FROM k)""")
+def _(t):
+    from provenant.sources.store import pending
+    seen = t.trace_event.filter("op IN ('open', 'closew')").select("path", F.nullif(field_of("extra", "sha256"), F.lit("")).alias("sha"), "op")
+    kept = seen.filter("op = 'closew'").select("sha")
+    return pending(seen.select("path", "sha"), seen.limit(0).select("path", "sha"), kept).select("sha")

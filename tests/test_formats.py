@@ -261,3 +261,9 @@ def test_typed_terms(spark):
     assert t("integer", "+5").datatype.endswith("#integer") and t("integer", "5.0").datatype is None
     assert t("iri", "urn:x").type == "iri" and t("ref", "plain").type == "literal" and t("enum", "https://x/y").type == "iri"
     assert one(spark, N.reads_as("double", F.lit("-1.5e3"))) and not one(spark, N.reads_as("boolean", F.lit("yes")))
+
+
+def test_common_base_of_a_call(spark):
+    calls = spark.createDataFrame([("x", "/a/b", ["t"]), ("y", "/a/b/c", ["t", "../../z"]), ("z", "/a/b", ["t"])], "call string, cwd string, argv array<string>")
+    ins = spark.createDataFrame([("x", "/a/b-x/f"), ("x", "/a/b/c/g"), ("y", "/a/b/c/f"), ("z", "/a/b/c/d/f")], "call string, path string")
+    assert {r["call"]: r["base"] for r in CA.common_base(calls, ins).collect()} == {"x": "/a", "y": "/a", "z": "/a/b"}
