@@ -24,17 +24,6 @@ def uses(work_file: DataFrame, hashes: DataFrame) -> DataFrame:
     return _files(work_file, "in").join(hashes.select("hash"), "hash", "left_semi").select("hash", "record_id").distinct()
 
 
-def record_edges(work_file: DataFrame) -> DataFrame:
-    """Record → the records that produced what it read: ``(src, dst)``.
-
-    Goes through producers only; a hash with many producers and many readers gives their pairs, which is
-    what "derived from" says. Walks avoid it by stepping through the hash: see ``file_steps``.
-    """
-    i, o = _files(work_file, "in"), _files(work_file, "out")
-    return (i.select(F.col("record_id").alias("src"), "hash")
-            .join(o.select(F.col("record_id").alias("dst"), "hash"), "hash").select("src", "dst").distinct())
-
-
 def file_steps(work_file: DataFrame, up: bool = True) -> DataFrame:
     """Edges record → hash → record as two kinds of nodes, linear in the file table whatever the hash's size."""
     near, far = ("in", "out") if up else ("out", "in")
@@ -230,23 +219,34 @@ def residence(files: DataFrame, work_file, work, signature, trust, claims: DataF
     return first.join(best, "hash", "left")
 
 
+def _set_print(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """A digest of each key's set of items, from sums of parts of their hashes: equal sets, equal digest."""
+    part = lambda i: F.sum(F.conv(F.substring(F.sha2(item, 256), i, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    return rows.groupBy(key).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(16), part(31)).alias("print"))
+
+
 def steps_published(step_file: DataFrame, work_file: DataFrame) -> DataFrame:
     """Per recorded step: published when every output is in a record that read only what the step read.
 
-    ``same`` when all outputs are known but some record read other inputs. Division by counting: a
-    record's inputs that the step also read, against all its inputs, so no arrays are built.
+    ``same`` when all outputs are known but some record read other inputs. Division by counting: a record's
+    inputs that the step did not read. Steps and records with the same output and the same set of inputs are
+    judged once, so an output that very many of both have costs its different sets of inputs.
     """
     outs = step_file.filter("role = 'out'").select("step", "hash").distinct()
     ins = step_file.filter("role = 'in'").select("step", "hash").distinct()
     made = _files(work_file, "out").select("record_id", "hash").distinct()
     read = _files(work_file, "in").select("record_id", "hash").distinct()
-    pairs = outs.join(made, "hash").select("step", "record_id", "hash")
-    cands = pairs.select("step", "record_id").distinct()
-    shared = (cands.join(read, "record_id").join(ins.withColumn("mine", F.lit(1)), ["step", "hash"], "left")
-              .groupBy("step", "record_id").agg(F.count_if(F.col("mine").isNull()).alias("foreign")))
-    per_out = (pairs.join(shared, ["step", "record_id"], "left").groupBy("step", "hash")
+    step_sets = outs.join(_set_print(ins, "step", "hash").withColumnRenamed("print", "sp"), "step", "left").withColumn("sp", F.coalesce("sp", F.lit("")))
+    made_sets = made.join(_set_print(read, "record_id", "hash").withColumnRenamed("print", "rp"), "record_id", "left").withColumn("rp", F.coalesce("rp", F.lit("")))
+    step_rep = step_sets.groupBy("hash", "sp").agg(F.min("step").alias("step"))
+    made_rep = made_sets.groupBy("hash", "rp").agg(F.min("record_id").alias("record_id"))
+    pairs = step_rep.join(made_rep, "hash").select("hash", "sp", "step", "record_id")
+    judged = pairs.select("step", "record_id").distinct()
+    foreign = (judged.join(read, "record_id").join(ins.withColumn("mine", F.lit(1)), ["step", "hash"], "left")
+               .groupBy("step", "record_id").agg(F.count_if(F.col("mine").isNull()).alias("foreign")))
+    per_set = (pairs.join(foreign, ["step", "record_id"], "left").groupBy("hash", "sp")
                .agg((F.min(F.coalesce("foreign", F.lit(0))) == 0).alias("exact")))
-    known = outs.join(per_out, ["step", "hash"], "left").groupBy("step").agg(
+    known = step_sets.join(per_set, ["hash", "sp"], "left").groupBy("step").agg(
         F.bool_and(F.coalesce("exact", F.lit(False))).alias("exact"),
         F.bool_and(F.col("exact").isNotNull()).alias("known"))
     return known.select("step", F.when(F.col("exact"), "published").when(F.col("known"), "same").otherwise("new").alias("state"))

@@ -71,8 +71,13 @@ def clearance(samples: DataFrame, doses: DataFrame, keys: list[str], time: str,
 
 
 def middle(df: DataFrame, column: str) -> DataFrame:
-    """The median over all groups, by Spark's exact percentile over value counts."""
-    return df.agg(F.median(column).alias("median"))
+    """The median over all rows: the values where the running count passes the middle. Spark's own median keeps
+    all values in one buffer; here values are counted first and the running count is split like any hot key."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
+    total = F.lit(counts.agg(F.sum("n")).first()[0] or 0)
+    at = scan(counts, ["all"], [column], [Scan("upto", "sum", F.col("n"))])
+    first = lambda k: F.min(F.when(F.col("upto") >= k, F.col(column)))
+    return at.agg(((first(F.floor((total + 1) / 2)) + first(F.floor((total + 2) / 2))) / 2).alias("median"))
 
 
 def paired_logs(rows: DataFrame, subject: str, arm: str, value: str, arms: tuple[str, str]) -> DataFrame:
