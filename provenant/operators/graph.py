@@ -21,6 +21,7 @@ def walk(
     *,
     max_hops: int | None = None,
     hops_per_round: int = 8,
+    long: bool = False,
 ) -> DataFrame:
     """Nodes reached from each start: ``(root, node, depth)``, depth the least number of hops.
 
@@ -28,12 +29,12 @@ def walk(
     the last depth meet the edges, all others pass through, and one grouping per hop keeps the least depth.
     What a round reaches is compared with what was known at its end, so cycles end the loop.
 
-    With many starts and no bound the distance per round is doubled instead, as long as the doubled edges
-    stay few: see ``_walk_doubling``.
+    With many starts, or ``long`` ways to go, and no bound, the distance per round is doubled instead, as long
+    as the doubled edges stay few: see ``_walk_doubling``.
     """
     known, found = cut_counted(starts.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     steps, n_edges = cut_counted(edges.select("src", "dst").distinct())
-    if max_hops is None and found * 100 >= n_edges:
+    if max_hops is None and (long or found * 100 >= n_edges):
         return _walk_doubling(known, steps, n_edges)
     rounds, frontier, depth = [known], known, 0
     while found and (max_hops is None or depth < max_hops):

@@ -181,7 +181,7 @@ def manifest(records: DataFrame, key: str) -> DataFrame:
 def on_pinned_chains(claims: DataFrame, heads: DataFrame) -> DataFrame:
     """Claims on the chains that end at the pinned heads."""
     back = claims.filter("prev IS NOT NULL").select(F.col("claim_id").alias("src"), F.col("prev").alias("dst"))
-    found = graph.walk(heads.select(F.col("claim_id").alias("root"), F.col("claim_id").alias("node")), back)
+    found = graph.walk(heads.select(F.col("claim_id").alias("root"), F.col("claim_id").alias("node")), back, long=True)
     return claims.join(found.select(F.col("node").alias("claim_id")), "claim_id", "left_semi")
 
 
