@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from provenant.llm import decontamination
+import os
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from provenant.llm import decontamination, sentencepieces, tokencounts
 from provenant.llm.common import table
 
+# Where the vocabulary files lie; only the driver reads them.
+TOKENIZERS = os.environ.get("PROVENANT_TOKENIZERS", "/opt/tokenizers")
+MAX_TOKENS = 1024
+
+
+def tokenizer_file(name: str) -> Path:
+    return Path(TOKENIZERS) / name
+
 
 def op1_decontamination(spark, folder):
     return decontamination.digest(decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination,)}
+def op4_sentencepiece(spark, folder):
+    model = tokenizer_file("piece_bpe_32k.model").read_bytes()
+    return sentencepieces.digest(sentencepieces.encode(table(spark, folder, "documents"), model))
+
+
+def op5_token_counts(spark, folder):
+    model = tokenizer_file("byte_bpe_50k.json").read_text()
+    return tokencounts.count_tokens(table(spark, folder, "documents"), model).withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_sentencepiece, op5_token_counts)}
 SQL = {"op1_decontamination": decontamination.SQL}
