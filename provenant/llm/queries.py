@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, sentencepieces, tokencounts
+from provenant.llm import decontamination, linededup, sentencepieces, tokencounts
 from provenant.llm.common import table
 
 # Where the vocabulary files lie; only the driver reads them.
@@ -23,6 +23,10 @@ def op1_decontamination(spark, folder):
     return decontamination.digest(decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op2_line_dedup(spark, folder):
+    return linededup.digest(linededup.clean(table(spark, folder, "documents")))
+
+
 def op4_sentencepiece(spark, folder):
     model = tokenizer_file("piece_bpe_32k.model").read_bytes()
     return sentencepieces.digest(sentencepieces.encode(table(spark, folder, "documents"), model))
@@ -33,5 +37,5 @@ def op5_token_counts(spark, folder):
     return tokencounts.count_tokens(table(spark, folder, "documents"), model).withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_sentencepiece, op5_token_counts)}
-SQL = {"op1_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op4_sentencepiece, op5_token_counts)}
+SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL}
