@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, linededup, sentencepieces, tokencounts
+from provenant.llm import decontamination, linededup, sentencepieces, substrings, tokencounts
 from provenant.llm.common import table
 
 # Where the vocabulary files lie; only the driver reads them.
@@ -37,5 +37,9 @@ def op5_token_counts(spark, folder):
     return tokencounts.count_tokens(table(spark, folder, "documents"), model).withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op4_sentencepiece, op5_token_counts)}
-SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL}
+def op7_substring_dedup(spark, folder):
+    return substrings.digest(substrings.clean(table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op4_sentencepiece, op5_token_counts, op7_substring_dedup)}
+SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL, "op7_substring_dedup": substrings.SQL}
