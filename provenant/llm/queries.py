@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, linededup, sentencepieces, substrings, tokencounts
+from provenant.llm import decontamination, linededup, nearduplicates, sentencepieces, substrings, tokencounts
 from provenant.llm.common import table
 
 # Where the vocabulary files lie; only the driver reads them.
@@ -27,6 +27,10 @@ def op2_line_dedup(spark, folder):
     return linededup.digest(linededup.clean(table(spark, folder, "documents")))
 
 
+def op3_near_duplicates(spark, folder):
+    return nearduplicates.classes(table(spark, folder, "documents"))
+
+
 def op4_sentencepiece(spark, folder):
     model = tokenizer_file("piece_bpe_32k.model").read_bytes()
     return sentencepieces.digest(sentencepieces.encode(table(spark, folder, "documents"), model))
@@ -41,5 +45,5 @@ def op7_substring_dedup(spark, folder):
     return substrings.digest(substrings.clean(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op4_sentencepiece, op5_token_counts, op7_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_near_duplicates, op4_sentencepiece, op5_token_counts, op7_substring_dedup)}
 SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL, "op7_substring_dedup": substrings.SQL}
