@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from provenant.llm import decontamination, linededup, nearduplicates, neighbours, sentencepieces, substrings, tokencounts
+from provenant.llm import archives, decontamination, linededup, nearduplicates, neighbours, sentencepieces, substrings, tokencounts
 from provenant.llm.common import table
 
 # Where the vocabulary files lie; only the driver reads them.
@@ -45,9 +45,13 @@ def op7_substring_dedup(spark, folder):
     return substrings.digest(substrings.clean(table(spark, folder, "documents")))
 
 
+def op8_warc(spark, folder):
+    return archives.digest(archives.round_trip(table(spark, folder, "pages")))
+
+
 def op9_nearest_neighbours(spark, folder):
     return neighbours.nearest(neighbours.usable(table(spark, folder, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_near_duplicates, op4_sentencepiece, op5_token_counts, op7_substring_dedup, op9_nearest_neighbours)}
-SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL, "op7_substring_dedup": substrings.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_near_duplicates, op4_sentencepiece, op5_token_counts, op7_substring_dedup, op8_warc, op9_nearest_neighbours)}
+SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL, "op7_substring_dedup": substrings.SQL, "op8_warc": archives.SQL}
