@@ -6,9 +6,9 @@ segments. A text, with its leading marker, therefore falls into chunks, each a r
 next marker, and merges never cross their borders.
 
 1. One pass over the texts numbers the chunks in blocks of whole documents. A block's row has its documents, the numbers in
-   order of position, and its distinct chunks. These rows are bucketed by block.
-2. The chunks of all blocks are dealt out by chunk and sorted, so that each distinct chunk is segmented once, by the
-   library, and its ids are sent to the blocks that hold it.
+   order of position, and its distinct chunks, sorted within shares by the chunk's hash. These rows are bucketed by block.
+2. The shares of all blocks are dealt out by share, so that each distinct chunk is segmented once, by the library, in the one
+   task that has its share, and its ids are sent to the blocks that hold it.
 3. Ids return to the bucketed blocks, which are not shuffled again, and are put in order of position there.
 
 Defined results: a null text is an empty one and has no ids; rows that repeat a document are encoded each; a chunk of any
@@ -17,12 +17,15 @@ length is one key; an empty table gives an empty table. Other columns are not re
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,11 @@ from provenant.llm.common import Codes, code_array, list_column, new_folder, row
 MARK = "▁"
 BLOCK_CHUNKS = 1_500_000
 ROWS_AT_ONCE = 500
+# A task keeps the ids of the distinct chunks of one share at a time.
+SHARES_A_PARTITION = 4
 
-BLOCK = "block long, docs array<long>, counts array<int>, width int, codes binary, chunks array<string>"
+BLOCK = "block long, docs array<long>, counts array<int>, width int, codes binary, shares array<struct<share: int, n: int, chunks: binary>>"
+TABLE = "place long, share int, n int, ids binary, odd array<struct<i: int, decoded: string>>"
 ENCODED = "doc_id long, ids array<int>, decoded string"
 _chunks = re.compile(" +[^ ]*").findall
 
@@ -68,31 +74,61 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     _check(load(model))
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)  # the model file, whose size the vocabulary fixes
-    blocks = _bucketed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_blocks, BLOCK))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = parts * SHARES_A_PARTITION
+    blocks = _bucketed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_blocks(shares), BLOCK))
 
     def segmented(batches):
-        processor, last, ids, decoded = load(shipped.value), None, b"", None
+        processor, last, known = load(shipped.value), None, {}
         for batch in batches:
-            out = []
-            for chunk in batch.column("chunk").to_pylist():
-                if chunk != last:
-                    found = segment(processor, chunk)
-                    surface = " " + processor.decode(found)
-                    last, ids, decoded = chunk, np.array(found, np.int32).tobytes(), None if surface == chunk else surface
-                out.append((ids, decoded))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("place"), batch.column("code"), pa.array([i for i, _ in out], pa.binary()),
-                 pa.array([d for _, d in out], pa.string())], ["place", "code", "ids", "decoded"])
+            for place, share, n, packed in rows([batch], "place", "share", "n", "chunks"):
+                if share != last:
+                    last, known = share, {}
+                ids, odd = [], []
+                for i, chunk in enumerate(_unpacked(packed)):
+                    if chunk not in known:
+                        found = segment(processor, chunk)
+                        surface = " " + processor.decode(found)
+                        known[chunk] = (np.array(found, np.int32), None if surface == chunk else surface)
+                    found, surface = known[chunk]
+                    ids.append(found)
+                    if surface is not None:
+                        odd.append({"i": i, "decoded": surface})
+                sizes = np.array([len(i) for i in ids], np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([place]), pa.array([share], pa.int32()), pa.array([n], pa.int32()),
+                     pa.array([zstandard.compress(_planes(np.concatenate([sizes, *ids])))], pa.binary()),
+                     pa.array([odd], pa.list_(pa.struct([("i", pa.int32()), ("decoded", pa.string())])))],
+                    ["place", "share", "n", "ids", "odd"])
 
     table = (
-        blocks.select(F.col("block").alias("place"), F.posexplode("chunks").alias("code", "chunk"))
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
-        .sortWithinPartitions("chunk")
-        .mapInArrow(segmented, "place long, code int, ids binary, decoded string")
+        blocks.select(F.col("block").alias("place"), F.explode("shares").alias("s")).select("place", "s.share", "s.n", "s.chunks")
+        .repartition(parts, "share").sortWithinPartitions("share").mapInArrow(segmented, TABLE)
     )
     return blocks.groupBy("block").cogroup(table.groupBy("place")).applyInArrow(_joined, ENCODED)
 
 
+def _packed(chunks: list[str]) -> bytes:
+    """Chunks hold no marker (theirs are blanks), so it can part them."""
+    return zstandard.compress(MARK.join(chunks).encode())
+
+
+def _unpacked(packed: bytes) -> list[str]:
+    return zstandard.decompress(packed).decode().split(MARK)
+
+
+def _planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Little-endian bytes, those of like weight together, as they compress better."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def _values(planes: bytes, width: int = 4) -> np.ndarray:
+    out = np.zeros(len(planes) // width, np.int64)
+    for k, plane in enumerate(np.frombuffer(planes, np.uint8).reshape(width, -1)):
+        out |= plane.astype(np.int64) << 8 * k
+    return out
+
+
 def _bucketed(blocks: DataFrame) -> DataFrame:
     """A table whose files are bucketed by block, so that the join that follows moves only the other side."""
     spark: SparkSession = blocks.sparkSession
@@ -102,48 +138,55 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _blocks(batches):
-    number = TaskContext.get().partitionId() << 32
-    vocabulary, docs, parts, held = Codes(), [], [], 0
-    for doc_id, text in rows(batches, "doc_id", "text"):
-        docs.append(doc_id)
-        parts.append(code_array(vocabulary, chunks_of(text)))
-        held += len(parts[-1])
-        if held >= BLOCK_CHUNKS:
-            yield _block(number, vocabulary, docs, parts)
-            vocabulary, docs, parts, held, number = Codes(), [], [], 0, number + 1
-    if docs:
-        yield _block(number, vocabulary, docs, parts)
-
-
-def _block(number: int, vocabulary: Codes, docs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
-    codes = np.concatenate(parts).astype("<u4")
-    width = 1 + (len(vocabulary) > 1 << 8) + (len(vocabulary) > 1 << 16) + (len(vocabulary) > 1 << 24)
-    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4)[:, :width].T)  # like bytes together compress better
+def _blocks(shares: int):
+    def blocks(batches):
+        number = TaskContext.get().partitionId() << 32
+        vocabulary, docs, parts, held = Codes(), [], [], 0
+        for doc_id, text in rows(batches, "doc_id", "text"):
+            docs.append(doc_id)
+            parts.append(code_array(vocabulary, chunks_of(text)))
+            held += len(parts[-1])
+            if held >= BLOCK_CHUNKS:
+                yield _block(number, vocabulary, docs, parts, shares)
+                vocabulary, docs, parts, held, number = Codes(), [], [], 0, number + 1
+        if docs:
+            yield _block(number, vocabulary, docs, parts, shares)
+
+    return blocks
+
+
+def _block(number: int, vocabulary: Codes, docs: list, parts: list[np.ndarray], shares: int) -> pa.RecordBatch:
+    keyed = sorted((xxhash.xxh32_intdigest(chunk) % shares, chunk, code) for chunk, code in vocabulary.items())
+    renumbered = np.empty(len(keyed), np.int64)
+    renumbered[[code for _, _, code in keyed]] = np.arange(len(keyed))
+    codes = renumbered[np.concatenate(parts)]
+    width = 1 + sum(len(keyed) > 1 << bits for bits in (8, 16, 24))
+    packed = [{"share": share, "n": len(chunks), "chunks": _packed(chunks)}
+              for share, chunks in ((s, [c for _, c, _ in group]) for s, group in itertools.groupby(keyed, key=lambda k: k[0]))]
     return pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
-         pa.array([width], pa.int32()), pa.array([planes.tobytes()], pa.binary()), pa.array([list(vocabulary)], pa.list_(pa.string()))],
-        ["block", "docs", "counts", "width", "codes", "chunks"],
+         pa.array([width], pa.int32()), pa.array([_planes(codes, width)], pa.binary()),
+         pa.array([packed], pa.list_(pa.struct([("share", pa.int32()), ("n", pa.int32()), ("chunks", pa.binary())])))],
+        ["block", "docs", "counts", "width", "codes", "shares"],
     )
 
 
 def _joined(blocks: pa.Table, table: pa.Table) -> pa.Table:
     docs, counts = blocks["docs"][0].as_py(), np.array(blocks["counts"][0].as_py(), np.int64)
-    width, chunks = blocks["width"][0].as_py(), blocks["chunks"][0].as_py()
-    planes = np.frombuffer(blocks["codes"][0].as_py(), np.uint8).reshape(width, -1)
-    codes = np.zeros(planes.shape[1], np.int64)
-    for k in range(width):
-        codes |= planes[k].astype(np.int64) << 8 * k
-    order = np.argsort(table["code"].to_numpy()) if table.num_rows else np.zeros(0, np.int64)
-    if len(order) != len(chunks):
-        raise RuntimeError(f"{len(order)} of {len(chunks)} chunks of a block have ids")
-    table = table.take(pa.array(order))
-    for k, other in enumerate(table["decoded"].to_pylist()):
-        if other is not None:
-            chunks[k] = other
-    pieces = table["ids"].to_pylist()
-    flat = np.frombuffer(b"".join(pieces), np.int32)
-    sizes = np.array([len(p) >> 2 for p in pieces], np.int64)
+    codes = _values(blocks["codes"][0].as_py(), blocks["width"][0].as_py())
+    shares, chunks, sizes, flat = blocks["shares"][0].as_py(), [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    back = {r["share"]: r for r in table.to_pylist()}
+    if back.keys() != {s["share"] for s in shares}:
+        raise RuntimeError(f"{len(back)} of {len(shares)} shares of a block have ids")
+    for s in shares:
+        surfaces, r = _unpacked(s["chunks"]), back[s["share"]]
+        for other in r["odd"]:
+            surfaces[other["i"]] = other["decoded"]
+        chunks += surfaces
+        values = _values(zstandard.decompress(r["ids"]))
+        sizes.append(values[: s["n"]])
+        flat.append(values[s["n"] :])
+    sizes, flat = np.concatenate(sizes), np.concatenate(flat).astype(np.int32)
     first = np.cumsum(sizes) - sizes
     bounds, batches = np.concatenate([[0], np.cumsum(counts)]), []
     for a in range(0, len(docs), ROWS_AT_ONCE):
