@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from provenant.llm import archives, decontamination, languages, linededup, nearduplicates, neighbours, sentencepieces, substrings, tokencounts
+from provenant.llm import archives, decontamination, languages, linededup, nearduplicates, neighbours, sentencepieces, substrings, tokencounts, toxicity
 from provenant.llm.common import table
 
 # Where the vocabulary files lie; only the driver reads them.
@@ -58,5 +58,10 @@ def op9_nearest_neighbours(spark, folder):
     return neighbours.nearest(neighbours.usable(table(spark, folder, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_near_duplicates, op4_sentencepiece, op5_token_counts, op6_language_id, op7_substring_dedup, op8_warc, op9_nearest_neighbours)}
+def op10_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_near_duplicates, op4_sentencepiece, op5_token_counts, op6_language_id, op7_substring_dedup, op8_warc, op9_nearest_neighbours, op10_toxicity)}
 SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL, "op7_substring_dedup": substrings.SQL, "op8_warc": archives.SQL}
