@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import Codes, code_array, list_column, lists, rows, stored, words
+from provenant.llm.common import Codes, code_array, list_column, lists, rows, stored, without, words
 
 SEGMENT_WORDS = 500_000
 # Unused positions between documents: no phrase or span of up to so many words crosses a boundary.
@@ -214,6 +214,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in whose document no window of an item occurs."""
+    return without(docs, contamination(docs, items, size).where("n_hit > 0").select("doc_id"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -28,10 +28,10 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import list_column, rows, stored, words
+from provenant.llm.common import list_column, rows, stored, without, words
 from provenant.llm.substrings import _BASE, WordHashes, window_hashes
 
 SHINGLE = 5
@@ -243,3 +243,15 @@ def _classes_of_texts(given, signed, reps, members, threshold) -> DataFrame:
         labels, centres = components(links), centres * 4
         held = held.join(drawn.select("key", F.col("centre").alias("node"), F.lit(True).alias("drawn")), ["key", "node"], "left").select(
             "key", "node", "label", (F.col("done") | F.coalesce("drawn", F.lit(False))).alias("done"))
+
+
+def representatives(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """One row of each class: the one of its smallest doc_id, and among rows that repeat that id the least by all columns."""
+    found = classes(docs, threshold)
+    kept = without(docs, found.where("class_id <> doc_id").select("doc_id"))
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.limit(1).count() == 0:
+        return kept
+    order = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
+    least = kept.join(twice, "doc_id", "left_semi").withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
+    return without(kept, twice).unionByName(least)
