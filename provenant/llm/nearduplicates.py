@@ -6,7 +6,7 @@ A document is the multiset of its shingles of five words; two documents are link
 1. Signatures. Each shingle has a Poisson process of points (time, slot, weight level) for the unit of weight 0..1 and for each octave
    1..2, 2..4, 4..8 and so on, with the octave's length as its rate. A point's place in its octave is found by halving it again and
    again; the point counts if it lies below the shingle's weight. A slot keeps its earliest point, so two documents agree in a slot
-   with a probability equal to their similarity. The processes run up to a time by which all slots are nearly surely taken, and on
+   with a probability equal to their similarity. The processes run up to a time by which all slots are probably taken, and on
    for the documents of which some are not; a heavy weight costs a process per octave and not one per unit.
 2. Equal multisets are one text, represented by the smallest doc_id. ``BANDS`` bands of ``ROWS`` slots are keys; a pair at 0.8
    shares none with a probability of 4e-8, and texts that share one are candidates.
@@ -39,10 +39,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 56, 6
 SLOTS = BANDS * ROWS
 DEVIATIONS = 6
-# Processes that are advanced at once; bounds a task's memory.
-AT_ONCE = 150_000
+# Distinct shingles that are worked on at once; bounds a task's memory.
+AT_ONCE = 40_000
 
 SIGNATURE = "doc long, h1 long, h2 long, n int, keys array<long>, prints binary"
+_NEVER = np.uint64(2**64 - 1)
 _G, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -60,7 +61,7 @@ def shingles(found: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
-    """Earliest times per slot (a row for each bag that is not empty)."""
+    """Earliest times per slot (a row for each bag that is not empty), as whole multiples of 2**-40."""
     owner = np.repeat(np.arange(len(bags)), [len(k) for k, _ in bags])
     keys, weights = np.concatenate([k for k, _ in bags]), np.concatenate([w for _, w in bags])
     totals = np.bincount(owner, weights, minlength=len(bags))
@@ -70,39 +71,43 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
         at = np.flatnonzero(weights > low)
         if not len(at):
             break
-        parts.append((owner[at], _mix(keys[at] + np.array([octaves], np.uint64) * _G), weights[at], np.full(len(at), low), np.full(len(at), max(low, 1))))
+        parts.append((owner[at], _mix(keys[at] + np.array([octaves], np.uint64) * _G), weights[at], np.full(len(at), low), np.full(len(at), float(max(low, 1)))))
         octaves += 1
     owner, seed, weights, low, rate = (np.concatenate(c) for c in zip(*parts, strict=True))
-    low, rate = low.astype(np.int64), rate.astype(np.float64)
-    first = np.full(len(bags) * slots, np.inf)
-    horizon = slots * (np.log(slots) + 3) / totals
-    count = np.zeros(len(owner), np.uint64)
-    time = np.zeros(len(owner))
-    state = seed.copy()
-
-    def step(at):
-        count[at] += np.uint64(1)
-        state[at] = u = _mix(seed[at] + count[at] * _G)
-        time[at] += -np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[at]
-
+    first = np.full(len(bags) * slots, _NEVER)
+    horizon = slots * (np.log(slots) + 1.5) / totals
+    time, drawn = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64)
     active = np.arange(len(owner))
-    step(active)
-    while True:
-        active = active[time[active] <= horizon[owner[active]]]
-        while len(active):
-            v = _mix(state[active] ^ _M1)
-            slot = ((v >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-            # bit by bit from the highest: which half of the octave, which quarter, and so on
-            level = low[active] + ((v & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * rate[active]).astype(np.int64)
-            inside = level < weights[active]
-            np.minimum.at(first, owner[active][inside] * slots + slot[inside], time[active][inside])
-            step(active)
-            active = active[time[active] <= horizon[owner[active]]]
-        unfilled = np.isinf(first.reshape(-1, slots)).any(axis=1)
-        if not unfilled.any():
-            return first.reshape(-1, slots)
-        horizon[unfilled] *= 1.5
-        active = np.flatnonzero(unfilled[owner])
+    while len(active):
+        # about as many points as the time that is left has, for all processes at once
+        left = rate[active] * (horizon[owner[active]] - time[active] * 2.0**-40)
+        n = np.ceil(left + np.sqrt(left) + 1).astype(np.int64)
+        ends = np.cumsum(n)
+        of = np.repeat(active, n)
+        place = (np.arange(ends[-1]) - np.repeat(ends - n, n)).astype(np.uint64) + np.repeat(drawn[active], n)
+        u = _mix(seed[of] + (place + np.uint64(1)) * _G)
+        waits = (-np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[of] * 2.0**40).astype(np.uint64)
+        # in whole numbers, so that sums do not depend on what else is in the batch
+        sums = np.cumsum(waits)
+        before = np.concatenate([np.zeros(1, np.uint64), sums[ends[:-1] - 1]]) if len(ends) > 1 else np.zeros(1, np.uint64)
+        times = sums - np.repeat(before - time[active], n)
+        v = _mix(u ^ _M1)
+        slot = ((v >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+        # bit by bit from the highest: which half of the octave, which quarter, and so on
+        level = low[of] + ((v & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * rate[of]).astype(np.int64)
+        inside = level < weights[of]
+        np.minimum.at(first, owner[of][inside] * slots + slot[inside], times[inside])
+        time[active], drawn[active] = times[ends - 1], drawn[active] + n.astype(np.uint64)
+        # points after the horizon are kept as well, but a slot's earliest one is only sure up to it
+        going_on = time * 2.0**-40 <= horizon[owner]
+        while not going_on.any():
+            unsure = (first.reshape(-1, slots).max(axis=1) * 2.0**-40) > horizon
+            if not unsure.any():
+                break
+            horizon[unsure] *= 1.5
+            going_on = time * 2.0**-40 <= horizon[owner]
+        active = np.flatnonzero(going_on)
+    return first.reshape(-1, slots)
 
 
 def _signed_batches(batches):
@@ -121,8 +126,7 @@ def _signed_batches(batches):
 
 
 def _signature_rows(pending) -> pa.RecordBatch:
-    times = signatures([bag for _, bag in pending]).view(np.uint64)
-    mixed = _mix(times)
+    mixed = _mix(signatures([bag for _, bag in pending]))
     keys = np.zeros((len(pending), BANDS), np.uint64)
     for r in range(ROWS):
         keys = (keys ^ mixed.reshape(-1, BANDS, ROWS)[:, :, r]) * _G

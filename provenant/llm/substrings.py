@@ -36,26 +36,46 @@ ANCHORS = "doc long, row long, n int, pos int, hash long, text_hash long, text_h
 WINDOWS = "h1 long, h2 long, salt int, doc long, row long, start int"
 
 
+class _New(Codes):
+    """Codes that also list what was numbered last."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh = []
+
+    def __missing__(self, key):
+        self.fresh.append(key)
+        return super().__missing__(key)
+
+
 class WordHashes:
     """Two independent 64-bit hashes for each word of a text; each distinct word is hashed once while the store lasts."""
 
     def __init__(self):
-        self.codes, self.known = Codes(), np.zeros((2, 0), np.uint64)
+        self.codes, self.known = _New(), np.zeros((2, 1 << 16), np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self.codes) > VOCABULARY:
-            self.__init__()
+            self.codes = _New()
         codes = code_array(self.codes, words)
-        new = len(self.codes) - self.known.shape[1]
-        if new:
-            fresh = b"".join(map(xxhash.xxh3_128_digest, list(self.codes)[-new:]))
-            self.known = np.concatenate([self.known, np.frombuffer(fresh, "<u8").reshape(-1, 2).T], axis=1)
+        if fresh := self.codes.fresh:
+            n = len(self.codes)
+            if n > self.known.shape[1]:
+                self.known = np.concatenate([self.known, np.zeros((2, max(n, self.known.shape[1])), np.uint64)], axis=1)
+            self.known[:, n - len(fresh) : n] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, fresh)), "<u8").reshape(-1, 2).T
+            self.codes.fresh = []
         return self.known[:, codes]
 
 
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base)]))[:n]
+    known = _known_powers.get(int(base))
+    if known is None or len(known) < n:
+        known = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(2 * n, 4096), base)]))
+        _known_powers[int(base)] = known[: 1 << 20]
+    return known[:n]
 
 
 def window_hashes(hashes: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
