@@ -10,9 +10,11 @@ A document is the multiset of its shingles of five words; two documents are link
    for the documents of which some are not; a heavy weight costs a process per octave and not one per unit.
 2. Equal multisets are one text, represented by the smallest doc_id. ``BANDS`` bands of ``ROWS`` slots are keys; a pair at 0.8
    shares none with a probability of 4e-8, and texts that share one are candidates.
-3. Within a key no pairs are enumerated. Each round draws centres among the members that are not in the key's largest class, compares
-   them with members of other classes, and joins classes. Centres quadruple from round to round; a key is closed once it
-   has one class, or once every member outside the largest class has been a centre. Then no link between classes is left untested.
+3. Within a key no pairs are enumerated. In the first round one member is compared with all others; then classes are joined, and
+   keys that hold one class are closed. In later rounds centres are drawn among the members outside a key's largest class and
+   compared with the members of other classes: pair by pair where a key has few members, else in blocks of centres and
+   members, which give a spanning forest of what they link. A centre has met all and leaves its key, and a key is closed
+   once those left are of one class. Then no link between classes is left untested.
 4. A comparison first looks at 8-bit prints of the slots (six standard errors below the threshold), then counts the
    multiset overlap exactly.
 
@@ -41,6 +43,9 @@ SLOTS = BANDS * ROWS
 DEVIATIONS = 6
 # Distinct shingles that are worked on at once; bounds a task's memory.
 AT_ONCE = 40_000
+# Members of a key up to which its pairs are listed; centres and members of a block beyond that.
+FEW = 16
+CENTRES, MEMBERS = 512, 4096
 
 SIGNATURE = "doc long, h1 long, h2 long, n int, keys array<long>, prints binary"
 _NEVER = np.uint64(2**64 - 1)
@@ -208,45 +213,119 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 def _classes_of_texts(given, signed, reps, members, threshold) -> DataFrame:
     spread = reps.select(F.explode("keys").alias("key"), "node")
     shared = spread.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    held = stored(spread.join(shared, "key").distinct().select("key", "node", F.col("node").alias("label"), F.lit(False).alias("done")))
+    held = stored(spread.join(shared, "key").distinct().select("key", "node", F.col("node").alias("label")))
     nodes = held.select("node").distinct()
     prints = stored(reps.join(nodes, "node", "left_semi").select("node", "prints"))
     bodies = stored(given.join(nodes.withColumnRenamed("node", "doc"), "doc", "left_semi").distinct())
     # several texts of one doc_id belong together from the start
     links = members.where("doc <> rep").join(members.select("doc", F.col("rep").alias("other")).distinct(), "doc").where("rep < other").selectExpr("rep AS a", "other AS b")
-    labels, centres = components(links), 1
+    labels, rounds = components(links), 0
     while True:
-        held = held.drop("label").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "done")
-        mixed = held.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-        held = stored(held.join(mixed, "key"))
-        largest = (held.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
-                   .agg(F.max(F.struct(F.col("n"), -F.col("label"))).alias("m")).select("key", (-F.col("m.col2")).alias("main")))
-        outside = held.join(largest, "key").where("label <> main AND NOT done")
-        per_key = outside.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("lowest"))
-        share = F.lit(float(centres)) / F.col("n")
-        drawn = stored(
-            outside.join(per_key, "key")
-            .where((F.xxhash64("node") == F.col("lowest")) | ((F.xxhash64("node", F.lit(7)) / F.lit(2.0**64) + 0.5) < share))
-            .select("key", F.col("node").alias("centre"), F.col("label").alias("from"))
-        )
-        if drawn.limit(1).count() == 0:
+        held = held.drop("label").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        mixed = held.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).where("l < h").select("key", "n")
+        held = stored(held.join(mixed, "key").select("key", "node", "label", "n"))
+        if held.limit(1).count() == 0:
             return labels
-        pairs = (
-            drawn.join(held.select("key", "node", "label"), "key").where("label <> `from`")
-            .selectExpr("least(centre, node) AS a", "greatest(centre, node) AS b").distinct()
-        )
-        likely = (
-            pairs.join(prints.selectExpr("node AS a", "prints AS prints_a"), "a").join(prints.selectExpr("node AS b", "prints AS prints_b"), "b")
-            .mapInArrow(_likely(threshold), "a long, b long")
-        )
-        edges = (
-            stored(likely).join(bodies.selectExpr("doc AS b", "text AS text_b"), "b").join(bodies.selectExpr("doc AS a", "text AS text_a"), "a")
-            .mapInArrow(_linked(threshold), "a long, b long")
-        )
+        drawn = stored(_drawn(held, rounds))
+        small = F.col("n") <= FEW if rounds else F.lit(True)
+        edges = _pair_by_pair(held.where(small), drawn.where(small), prints, bodies, threshold)
+        if rounds:
+            edges = edges.unionByName(_in_blocks(held.where(~small), drawn.where(~small), bodies, threshold))
         links = stored(links.unionByName(edges))
-        labels, centres = components(links), centres * 4
-        held = held.join(drawn.select("key", F.col("centre").alias("node"), F.lit(True).alias("drawn")), ["key", "node"], "left").select(
-            "key", "node", "label", (F.col("done") | F.coalesce("drawn", F.lit(False))).alias("done"))
+        labels, rounds = components(links), rounds + 1
+        held = held.join(drawn.selectExpr("key", "centre AS node"), ["key", "node"], "left_anti").select("key", "node", "label")
+
+
+def _drawn(held: DataFrame, rounds: int) -> DataFrame:
+    """``key, centre, from, n``: at first one member of each key; then 16 of those outside its largest class; then all of them."""
+    if rounds == 0:
+        least = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "label", "n")).alias("m"))
+        return least.select("key", F.col("m.node").alias("centre"), F.col("m.label").alias("from"), F.col("m.n").alias("n"))
+    largest = (held.groupBy("key", "label").agg(F.count("*").alias("of")).groupBy("key")
+               .agg(F.max(F.struct(F.col("of"), -F.col("label"))).alias("m")).select("key", (-F.col("m.col2")).alias("main")))
+    outside = held.join(largest, "key").where("label <> main")
+    if rounds == 1:
+        per_key = outside.groupBy("key").agg(F.count("*").alias("out"), F.min(F.xxhash64("node")).alias("lowest"))
+        even = F.xxhash64("node", F.lit(7)) / F.lit(2.0**64) + 0.5
+        outside = outside.join(per_key, "key").where((F.col("n") <= FEW) | (F.xxhash64("node") == F.col("lowest")) | (even < F.lit(16.0) / F.col("out")))
+    return outside.select("key", F.col("node").alias("centre"), F.col("label").alias("from"), "n")
+
+
+def _pair_by_pair(held, drawn, prints, bodies, threshold) -> DataFrame:
+    pairs = (
+        drawn.select("key", "centre", "from").join(held.select("key", "node", "label"), "key").where("label <> `from`")
+        .selectExpr("least(centre, node) AS a", "greatest(centre, node) AS b").distinct()
+    )
+    likely = (
+        pairs.join(prints.selectExpr("node AS a", "prints AS prints_a"), "a").join(prints.selectExpr("node AS b", "prints AS prints_b"), "b")
+        .mapInArrow(_likely(threshold), "a long, b long")
+    )
+    return (
+        stored(likely).join(bodies.selectExpr("doc AS b", "text AS text_b"), "b").join(bodies.selectExpr("doc AS a", "text AS text_a"), "a")
+        .mapInArrow(_linked(threshold), "a long, b long")
+    )
+
+
+def _in_blocks(held, drawn, bodies, threshold) -> DataFrame:
+    """Links between centres and members of the same keys, found in blocks of bounded size."""
+    sizes = drawn.groupBy("key").agg(F.count("*").alias("c"))
+    blocks = lambda n, of: F.ceil(F.col(n) / of).cast("int")
+    block = lambda node, n, of: F.pmod(F.hash(node), blocks(n, of))
+    every = lambda n, of: F.explode(F.sequence(F.lit(0), blocks(n, of) - 1))
+    members = (
+        held.join(sizes, "key").select("key", "node", "label", block("node", "n", MEMBERS).alias("mb"), every("c", CENTRES).alias("cb"))
+        .join(bodies.select(F.col("doc").alias("node"), "text"), "node")
+    )
+    centres = (
+        drawn.join(sizes, "key").select(F.col("key").alias("k"), F.col("centre").alias("node"), F.col("from").alias("label"), every("n", MEMBERS).alias("m"), block("centre", "c", CENTRES).alias("c"))
+        .join(bodies.select(F.col("doc").alias("node"), F.col("text").alias("body")), "node")
+    )
+
+    def linked(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _forest(left, right, threshold) if left.num_rows and right.num_rows else []
+        return pa.Table.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return members.groupBy("key", "mb", "cb").cogroup(centres.groupBy("k", "m", "c")).applyInArrow(linked, "a long, b long")
+
+
+def _units(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit of weight of each shingle as a value of its own, and whose it is: common units are the overlap."""
+    keys, weights = np.concatenate([k for k, _ in bags]), np.concatenate([w for _, w in bags])
+    owner = np.repeat(np.repeat(np.arange(len(bags)), [len(k) for k, _ in bags]), weights)
+    ends = np.cumsum(weights)
+    level = np.arange(ends[-1]) - np.repeat(ends - weights, weights)
+    return _mix(np.repeat(keys, weights) + level.astype(np.uint64) * _M2), owner
+
+
+def _forest(left: pa.Table, right: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    """Links of a block that connect different classes, as few as do so."""
+    known = WordHashes()
+    bags = [shingles(words(t), known) for t in left["text"].to_pylist()]
+    nodes, labels = left["node"].to_pylist(), left["label"].to_pylist()
+    units, owner = _units(bags)
+    order = np.argsort(units, kind="stable")
+    units, owner = units[order], owner[order]
+    totals = np.bincount(owner, minlength=len(bags))
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for centre, label, text in zip(*(right[c].to_pylist() for c in ("node", "label", "body")), strict=True):
+        own, _ = _units([shingles(words(text), known)])
+        low, high = np.searchsorted(units, own), np.searchsorted(units, own, side="right")
+        n = high - low
+        ends = np.cumsum(n)
+        common = np.bincount(owner[np.arange(ends[-1]) + np.repeat(low - (ends - n), n)], minlength=len(bags))
+        for i in np.flatnonzero(common / (totals + len(own) - common) >= threshold):
+            a, b = root(label), root(labels[i])
+            if a != b:
+                parent[a] = b
+                out.append((centre, nodes[i]))
+    return out
 
 
 def representatives(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -70,6 +70,12 @@ def copies():
             for _ in range(k % 5):
                 w[r.randrange(len(w))] = "x" + str(r.randrange(99))
             texts[n := n + 1] = " ".join(w)
+    base = r.choices(vocabulary, k=100)
+    for k in range(70):  # most are near few others only
+        w = list(base)
+        for _ in range(k % 18):
+            w[r.randrange(len(w))] = "y" + str(r.randrange(999))
+        texts[n := n + 1] = " ".join(w)
     chain = r.choices(vocabulary, k=200)  # each is near the next one only
     for k in range(12):
         texts[n := n + 1] = " ".join(chain[k * 8 : k * 8 + 100])
@@ -81,7 +87,10 @@ def copies():
     return texts
 
 
-def test_classes_equal_those_of_all_pairs(spark, copies):
+@pytest.mark.parametrize("few,block", [(16, 4096), (3, 8)])
+def test_classes_equal_those_of_all_pairs(spark, copies, monkeypatch, few, block):
+    for name, value in (("FEW", few), ("CENTRES", block // 2), ("MEMBERS", block)):
+        monkeypatch.setattr(nd, name, value)
     df = spark.createDataFrame([(i, t, 0) for i, t in copies.items()], "doc_id long, text string, class_id int")
     assert classes_of(df) == brute(copies)
 
