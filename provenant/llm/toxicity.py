@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from provenant.llm.common import rows, stored
 from provenant.llm.languages import fold
 
-SAMPLE = 20_000
+SAMPLE = 6_000
 HELD_OUT = 0
 CONTEXT = 6
 # A term stands in at least so many different places in toxic documents, and is so many times as frequent there.
@@ -59,7 +59,8 @@ class Lexicon:
     """A trie of terms that Levenshtein automata of words are run down."""
 
     def __init__(self, terms: list[str], stems: list[str] = ()):
-        self.terms, self.trie, self.parts, self.spans = set(terms), {}, set(), {}
+        self.terms, self.trie = set(terms), {}
+        parts: dict[int, dict[tuple[int, int], set[str]]] = {}
         self.stems, self.stem_lengths = set(stems), sorted({len(s) for s in stems})
         for term in terms:
             node = self.trie
@@ -68,9 +69,12 @@ class Lexicon:
             node[""] = term
             d = edits(len(term))
             if d:
-                self._parts(term, d)
+                self._parts(term, d, parts)
+        self.most = {length: max(edits(len(t)) for t in terms if abs(len(t) - length) <= edits(len(t))) for length in parts}
+        self.parts = {length: [(a, b, found) for (a, b), found in at.items()] for length, at in parts.items()}
 
-    def _parts(self, term: str, d: int) -> None:
+    @staticmethod
+    def _parts(term: str, d: int, parts: dict) -> None:
         """Parts of a term, one of which is undamaged, by the word's length and the place of the part in it."""
         edges = [len(term) * k // (d + 1) for k in range(d + 2)]
         for a, b in zip(edges, edges[1:], strict=False):
@@ -78,17 +82,19 @@ class Lexicon:
                 for shift in range(-d, d + 1):
                     # the letters before and after the part are shortened or lengthened by at most d edits in all
                     if 0 <= a + shift and b + shift <= length and abs(shift) + abs(length - len(term) - shift) <= d:
-                        self.parts.add((length, a + shift, term[a:b]))
-                        self.spans.setdefault(length, set()).add((a + shift, b + shift))
+                        parts.setdefault(length, {}).setdefault((a + shift, b + shift), set()).add(term[a:b])
 
     def near(self, word: str) -> int:
         """0 for a term, else the least number of edits to one, or -1 if all are further than allowed."""
-        if word in self.terms or any(word[:n] in self.stems for n in self.stem_lengths):
+        if word in self.terms:
             return 0
-        spans = self.spans.get(len(word))
-        if not spans or not any((len(word), a, word[a:b]) in self.parts for a, b in spans):
-            return -1
-        return self._run(word, max(edits(len(word) + k) for k in (-2, -1, 0, 1, 2) if len(word) + k >= 0))
+        for n in self.stem_lengths:
+            if word[:n] in self.stems:
+                return 0
+        for a, b, found in self.parts.get(len(word), ()):
+            if word[a:b] in found:
+                return self._run(word, self.most[len(word)])
+        return -1
 
     def _run(self, word: str, most: int) -> int:
         """Depth first through the trie. A state of the automaton is, for each number of edits, the set (as bits) of letters read."""
@@ -126,19 +132,22 @@ class Reader:
     """Finds and describes the hits of a text."""
 
     def __init__(self, terms: list[str], stems: list[str] = (), cues: dict[str, float] | None = None):
-        self.lexicon, self.cues, self.known = Lexicon(terms, stems), cues or {}, {}
+        self.lexicon, self.cues, self.known, self.near = Lexicon(terms, stems), cues or {}, set(), {}
 
     def hits(self, text: str | None) -> tuple[list[tuple[bool, bool, list[str]]], int]:
         """For each hit whether it is misspelled, whether quoted, and the words around it; and the number of words."""
         found = _word.findall(text.lower()) if text else []
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(found).difference(known):
-            known[w] = self.lexicon.near(w)
-        places = [i for i, w in enumerate(found) if known[w] >= 0]
-        if not places:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.near.clear()
+        distinct, near = set(found), self.near
+        for w in distinct - self.known:
+            if (d := self.lexicon.near(w)) >= 0:
+                near[w] = d
+        self.known |= distinct
+        if near.keys().isdisjoint(distinct):
             return [], len(found)
+        places = [i for i, w in enumerate(found) if w in near]
         lower = text.lower()
         spans = [m.span() for m in _quoted.finditer(lower)]
         at, edge = [m.start() for m in _word.finditer(lower)], 0
@@ -147,8 +156,8 @@ class Reader:
             while edge < len(spans) and spans[edge][1] <= at[i]:
                 edge += 1
             quoted = edge < len(spans) and spans[edge][0] <= at[i]
-            around = [w for j in range(max(0, i - CONTEXT), min(len(found), i + CONTEXT + 1)) if j != i and known[w := found[j]] < 0]
-            out.append((known[found[i]] > 0, quoted, around))
+            around = [w for j in range(max(0, i - CONTEXT), min(len(found), i + CONTEXT + 1)) if j != i and (w := found[j]) not in near]
+            out.append((near[found[i]] > 0, quoted, around))
         return out, len(found)
 
     def features(self, text: str | None) -> list[float]:
