@@ -38,7 +38,7 @@ ROWS_AT_ONCE = 500
 # A task keeps the ids of the distinct chunks of one share at a time.
 SHARES_A_PARTITION = 4
 
-BLOCK = "block long, docs array<long>, counts array<int>, width int, codes binary, shares array<struct<share: int, n: int, chunks: binary>>"
+BLOCK = "block long, docs array<long>, counts array<int>, width int, codes binary, ranks binary, shares array<struct<share: int, n: int, chunks: binary>>"
 TABLE = "place long, share int, n int, ids binary, odd array<struct<i: int, decoded: string>>"
 ENCODED = "doc_id long, ids array<int>, decoded string"
 _chunks = re.compile(" +[^ ]*").findall
@@ -157,23 +157,26 @@ def _blocks(shares: int):
 
 def _block(number: int, vocabulary: Codes, docs: list, parts: list[np.ndarray], shares: int) -> pa.RecordBatch:
     keyed = sorted((xxhash.xxh32_intdigest(chunk) % shares, chunk, code) for chunk, code in vocabulary.items())
-    renumbered = np.empty(len(keyed), np.int64)
-    renumbered[[code for _, _, code in keyed]] = np.arange(len(keyed))
-    codes = renumbered[np.concatenate(parts)]
+    found = np.concatenate(parts)
+    # the more frequent, the smaller the number: high bytes are mostly zero then and compress well
+    ranks = np.empty(len(keyed), np.int64)
+    ranks[np.argsort(-np.bincount(found, minlength=len(keyed)), kind="stable")] = np.arange(len(keyed))
+    codes = ranks[found]
     width = 1 + sum(len(keyed) > 1 << bits for bits in (8, 16, 24))
     packed = [{"share": share, "n": len(chunks), "chunks": _packed(chunks)}
               for share, chunks in ((s, [c for _, c, _ in group]) for s, group in itertools.groupby(keyed, key=lambda k: k[0]))]
     return pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
          pa.array([width], pa.int32()), pa.array([_planes(codes, width)], pa.binary()),
+         pa.array([_planes(ranks[[code for _, _, code in keyed]], width)], pa.binary()),
          pa.array([packed], pa.list_(pa.struct([("share", pa.int32()), ("n", pa.int32()), ("chunks", pa.binary())])))],
-        ["block", "docs", "counts", "width", "codes", "shares"],
+        ["block", "docs", "counts", "width", "codes", "ranks", "shares"],
     )
 
 
 def _joined(blocks: pa.Table, table: pa.Table) -> pa.Table:
     docs, counts = blocks["docs"][0].as_py(), np.array(blocks["counts"][0].as_py(), np.int64)
-    codes = _values(blocks["codes"][0].as_py(), blocks["width"][0].as_py())
+    codes, ranks = (_values(blocks[c][0].as_py(), blocks["width"][0].as_py()) for c in ("codes", "ranks"))
     shares, chunks, sizes, flat = blocks["shares"][0].as_py(), [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     back = {r["share"]: r for r in table.to_pylist()}
     if back.keys() != {s["share"] for s in shares}:
@@ -188,6 +191,8 @@ def _joined(blocks: pa.Table, table: pa.Table) -> pa.Table:
         flat.append(values[s["n"] :])
     sizes, flat = np.concatenate(sizes), np.concatenate(flat).astype(np.int32)
     first = np.cumsum(sizes) - sizes
+    by_rank = np.argsort(ranks)
+    sizes, first, chunks = sizes[by_rank], first[by_rank], [chunks[i] for i in by_rank]
     bounds, batches = np.concatenate([[0], np.cumsum(counts)]), []
     for a in range(0, len(docs), ROWS_AT_ONCE):
         b = min(a + ROWS_AT_ONCE, len(docs))
