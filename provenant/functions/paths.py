@@ -13,7 +13,7 @@ TEMP_PREFIXES = ["/tmp/Rtmp", "/tmp/cc", "/tmp/registration_", "/tmp/kernel-", "
                  "/tmp/quarto-session", "/var/tmp/Rtmp"]
 ENV_PREFIXES = ["/usr/lib/", "/usr/local/lib/", "/opt/", "/lib/", "/lib64/", "/usr/bin/", "/usr/local/bin/", "/bin/",
                 "/usr/libexec/", "/usr/include/"]
-HOME_ENV = [".cache/", ".local/share/uv/", ".local/opt/", ".local/bin/", ".local/lib/", "R/x86_64-pc-linux-gnu-library/",
+HOME_ENV = [".cache/", ".positron-server/", ".local/share/uv/", ".local/opt/", ".local/bin/", ".local/lib/", "R/x86_64-pc-linux-gnu-library/",
             "R/aarch64-unknown-linux-gnu-library/", ".gitconfig"]
 STARTUP_FILE = r"^(\.Renviron.*|\.Rprofile|\.RData|\.Rhistory)$"
 VERSION_CONTROL = r"/\.git/|/\.git$|/\.hg/|/\.svn/"
@@ -108,9 +108,12 @@ def path_class(path, project, *, log=None, home: str = "", env: Column | None =
 
 
 def words(cmdline) -> Column:
-    """The words of a command line, quotes removed."""
-    found = F.regexp_extract_all(_c(cmdline), F.lit(r"""((?:[^\s"'\\]++|\\.|"[^"\\]*+(?:\\.[^"\\]*+)*"|'[^']*')+)"""), 1)
-    unquote = lambda w: F.regexp_replace(F.regexp_replace(w, r"""'([^']*)'|"([^"\\]*+(?:\\.[^"\\]*+)*)\"""", "$1$2"), r"\\(.)", "$1")
+    """The words of a recorded command line: parted at blanks, single quotes removed, ``\\'`` outside them a quote.
+
+    Nothing else is special: double quotes and other backslashes belong to the word.
+    """
+    found = F.regexp_extract_all(_c(cmdline), F.lit(r"((?:'[^']*+(?:'|\z)|\\'|[^ \t\n'])+)"), 1)
+    unquote = lambda w: F.regexp_replace(w, r"'([^']*+)(?:'|\z)|\\(')", "$1$2")
     return F.transform(found, unquote)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The prefixes of an absolute IRI and the lexical forms of typed fields.
 IRI_FORM = r"^(https?://|urn:|tag:|did:|mailto:)\S+$"
 INTEGER_FORM = r"^[+-]?\d+$"
+NOT_IN_IRI = r"""[ <>"{}|^`\\]"""
 DATE_FORM = r"^\d{4}-\d{2}-\d{2}$"
 DATETIME_FORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -38,21 +39,30 @@ def field_of(extra, key: str) -> Column:
     return F.coalesce(F.substring(F.get(hit, 0), len(prefix) + 1, 1 << 30), F.lit(""))
 
 
-def typed(kind, value) -> Column:
-    """(type, value, datatype) of a field value by its declared type; a misfit stays as it was signed."""
+def typed(kind, value, resolved=None, reserved=lambda c: F.lit(False)) -> Column:
+    """(type, value, datatype) of a field value by its declared type; a misfit stays as it was signed.
+
+    ``resolved`` is the value with its CURIE expanded, ``reserved`` says whether an IRI must not be taken. Dates go by
+    their form. An enum is an IRI only if it resolves to one with ``://``, a ref only if it names content by hash.
+    """
     kind, value = _c(kind), _c(value)
+    resolved = value if resolved is None else F.coalesce(_c(resolved), value)
+    usable = lambda c: ~c.rlike(NOT_IN_IRI) & ~F.coalesce(reserved(c), F.lit(False))
+    named = F.when(resolved.contains("://"), resolved).otherwise(value)
 
-    def term(kind_of_term: str, datatype: str | None) -> Column:
-        return F.struct(F.lit(kind_of_term).alias("type"), value.alias("value"), F.lit(datatype).cast("string").alias("datatype"))
+    def term(kind_of_term: str, datatype: str | None, text: Column = value) -> Column:
+        return F.struct(F.lit(kind_of_term).alias("type"), text.alias("value"), F.lit(datatype).cast("string").alias("datatype"))
 
     def lexical(form: str) -> Column:
         return value.rlike(form)
 
     return (
-        F.when((kind == "date") & lexical(DATE_FORM) & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), term("literal", XSD + "date"))
+        F.when((kind == "date") & lexical(DATE_FORM), term("literal", XSD + "date"))
         .when((kind == "date") & lexical(DATETIME_FORM), term("literal", XSD + "dateTime"))
         .when((kind == "integer") & lexical(INTEGER_FORM), term("literal", XSD + "integer"))
-        .when(kind.isin("ref", "iri", "enum") & lexical(IRI_FORM), term("iri", None))
+        .when((kind == "enum") & value.contains(":") & resolved.contains("://") & usable(resolved), term("iri", None, resolved))
+        .when((kind == "ref") & value.startswith("sha256:"), term("iri", None, F.concat(F.lit("urn:"), F.lower(value))))
+        .when((kind == "iri") & named.rlike(IRI_FORM) & usable(named), term("iri", None, named))
         .otherwise(term("literal", None))
     )
 
@@ -62,7 +72,7 @@ LEXICAL_FORMS = {
     "string": r"(?s)^.*$",
     "integer": r"^[+-]?\d+$",
     "decimal": r"^[+-]?(\d+(\.\d*)?|\.\d+)$",
-    "double": r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN)$",
+    "double": r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|-?INF|NaN)$",
     "boolean": r"^(true|false|1|0)$",
     "date": r"^-?\d{4,}-\d{2}-\d{2}(Z|[+-]\d{2}:\d{2})?$",
     "dateTime": r"^-?\d{4,}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$",
@@ -109,3 +119,12 @@ def nt_term(kind, value, datatype, lang) -> Column:
         .when(datatype.isNotNull() & (datatype != XSD + "string"), F.concat(quoted, F.lit("^^<"), datatype, F.lit(">")))
         .otherwise(quoted)
     )
+
+
+def hash_sum(digest: Column) -> Column:
+    """A digest of a multiset of sha256 hex digests: their number and the sums of all their digits, in five pieces.
+
+    Sums need no order and gather nothing in one place; no digit is left out.
+    """
+    piece = lambda at: F.sum(F.conv(F.substring(digest, at, 13), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[piece(at) for at in (1, 14, 27, 40, 53)]), 256)

@@ -17,9 +17,9 @@ def number(token: Column) -> Column:
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """``(pair, side, line, text)`` of text files ``(pair, side, text)``; a last empty line is none."""
+    """``(pair, side, line, text)`` of text files ``(pair, side, text)``; a last empty line is none, an empty file has none."""
     body = F.regexp_replace("text", r"\n\z", "")
-    rows = files.select("pair", "side", F.posexplode(F.split(body, "\n", -1)).alias("pos", "text"))
+    rows = files.filter("text <> ''").select("pair", "side", F.posexplode(F.split(body, "\n", -1)).alias("pos", "text"))
     return rows.select("pair", "side", (F.col("pos") + 1).alias("line"), F.regexp_replace("text", r"[ \r]+$", "").alias("text"))
 
 
@@ -28,7 +28,7 @@ def compare_files(files: DataFrame, rtol: float, volatile: str | None = None) ->
     difference and its line. ``files`` has (pair, side a or b, text, sha); lines meet by number, tokens by place.
     """
     sides = files.groupBy("pair").agg((F.max("sha") == F.min("sha")).alias("equal"), F.count(F.lit(1)).alias("n"),
-                                      F.bool_or(F.contains("text", F.lit("\u0000"))).alias("binary"))
+                                      F.bool_or(F.contains(F.substring("text", 1, 8192), F.lit("\u0000"))).alias("binary"))
     # Only pairs whose bytes differ are split into lines.
     rows = lines_of(files.join(sides.filter("NOT equal").select("pair"), "pair"))
     both = rows.filter("side = 'a'").select("pair", "line", F.col("text").alias("a")).join(
@@ -44,6 +44,10 @@ def compare_files(files: DataFrame, rtol: float, volatile: str | None = None) ->
     x, y = number(F.col("t.ta")), number(F.col("t.tb"))
     rel = F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-300))
     each = each.withColumn("rel", rel)
+    # what follows the first line that is built differently, or the first other word, is not compared any more
+    stop = each.filter("rel IS NULL").groupBy("pair").agg(F.min(F.struct("line", "pos")).alias("word")).join(shape.filter("built IS NOT NULL"), "pair", "full").select(
+        "pair", F.least("word", F.when(F.col("built").isNotNull(), F.struct(F.col("built").alias("line"), F.lit(-1).alias("pos")))).alias("stop"))
+    each = each.join(stop, "pair", "left").filter(F.col("stop").isNull() | (F.struct("line", "pos") <= F.col("stop")))
     nums = each.groupBy("pair").agg(F.count("rel").alias("numbers"), F.max("rel").alias("max_rel"),
                                     F.max_by("line", F.struct("rel", -F.col("line"))).alias("where"), F.bool_or(F.col("rel").isNull()).alias("words"))
     out = sides.join(length, "pair", "left").join(shape, "pair", "left").join(nums, "pair", "left")

@@ -15,7 +15,7 @@ from provenant.operators import graph
 from provenant.operators.ordered import Scan, asof, previous, scan
 
 # Extensions of files that are code.
-CODE_EXTENSIONS = [".r", ".rmd", ".qmd", ".py", ".ipynb", ".sh", ".mod", ".ctl", ".sas", ".jl", ".sql"]
+CODE_EXTENSIONS = [".r", ".py", ".qmd", ".rmd", ".ctl", ".mod", ".yaml", ".yml", ".sh", ".toml", ".jl"]
 
 
 def effect(steps: DataFrame, inputs: DataFrame, outputs: DataFrame, network: DataFrame, missing: DataFrame, unrecorded: DataFrame) -> DataFrame:
@@ -272,10 +272,14 @@ def new_versions(outputs: DataFrame, steps: DataFrame, published: DataFrame) ->
 
 
 def based_on(control: DataFrame, outputs: DataFrame, published: DataFrame) -> DataFrame:
-    """The parent run a control file names in a comment: its listing's last published producer."""
-    name = F.regexp_extract("text", r"(?im)^\s*;+\s*(?:\d+\.\s*)?based[_ ]on:?\s*(\S+)", 1)
-    sibling = F.concat(directory("path"), F.lit("/"), F.col("parent"), F.lit(".lst"))
-    c = control.withColumn("parent", name).filter("parent <> ''").withColumn("listing", sibling)
+    """The parent run a control file names in a comment: its listing's last published producer.
+
+    The comment starts a line (``; based_on: run``), ``-`` names none; the listing lies in the parent's own folder beside
+    the control file's.
+    """
+    name = F.regexp_extract("text", r"(?m)^;\s*based_on:\s*(\S+)", 1)
+    sibling = F.concat(F.regexp_replace(directory(directory("path")), "/$", ""), F.lit("/"), F.col("parent"), F.lit("/"), F.col("parent"), F.lit(".lst"))
+    c = control.withColumn("parent", name).filter("parent NOT IN ('', '-')").withColumn("listing", sibling)
     made = outputs.select(F.col("path").alias("listing"), "sha").join(published, "sha").groupBy("listing").agg(F.max_by("record", "seq").alias("record"))
     return c.join(made, "listing").select("path", "parent", "record")
 

@@ -10,7 +10,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from provenant.session import cut, cut_counted
 
@@ -189,7 +188,7 @@ def _levels_by_peeling(nodes: DataFrame, edges: DataFrame, levels_per_round: int
     read, so all rounds together read each edge once; a round places several levels in one plan.
     """
     degree = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
-    edges = edges.join(degree, "dst").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = cut(edges.join(degree, "dst"))
     none = F.lit(None).cast("bigint")
     first, n = cut_counted(nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
                            .select("id", F.lit(0).cast("bigint").alias("level"), none.alias("seen"), none.alias("degree")))
@@ -213,7 +212,6 @@ def _levels_by_peeling(nodes: DataFrame, edges: DataFrame, levels_per_round: int
         level += levels_per_round
         state = state.filter(F.col("level").isNull() | (F.col("level") == level))
         n = 0 if state.filter(F.col("level") == level).isEmpty() else 1
-    edges.unpersist()
     return nodes.join(_union(placed), "id", "left")
 
 

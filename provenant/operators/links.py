@@ -5,6 +5,7 @@ All "latest before" and "next after" questions are as-of scans over one key, nev
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from provenant.functions.paths import base, extension
 from provenant.functions.terms import EMPTY_SHA256
 from provenant.operators import graph
 from provenant.operators.ordered import Scan, asof, following, previous, scan
+from provenant.session import cut
 
 SOURCE_SLACK_NS = 2_000_000_000
 IDLE_SLACK_NS = 200_000_000
@@ -133,33 +135,49 @@ def origins_in(origins: DataFrame, sessions: DataFrame) -> DataFrame:
 def attach_origins(origins: DataFrame, tasks: DataFrame, sources: DataFrame) -> DataFrame:
     """The task each console execution belongs to.
 
-    First by the file: the nearest task that sourced it, at most two seconds away, one execution per task and
-    file (the earliest; another tries its second nearest). The rest by time. ``origins`` has (session, ts,
-    file), ``tasks`` (session, task_no, start, end), ``sources`` (session, task_no, path).
+    First by the file: in order of time each execution takes the nearest task that sourced the file, at most two seconds
+    away, and that has no execution of it yet. The rest by time. ``origins`` has (session, ts, file), ``tasks``
+    (session, task_no, start, end and, if known, script: the file a task itself runs), ``sources`` (session, task_no, path).
+    Equal rows are executions of their own.
     """
-    o = origins.withColumn("__id", F.xxhash64(*origins.columns))
-    ran = sources.select("session", "task_no", F.col("path").alias("file")).distinct().join(tasks.select("session", "task_no", "start", "end"), ["session", "task_no"])
-    t = F.struct("task_no", "start", "end")
-    filed = o.filter("file IS NOT NULL AND file <> ''")
-    near = asof(filed, ran, ["session", "file"], "ts", "start", t, "prev", right_tie=["task_no"])
-    near = asof(near.withColumn("__b", -F.col("ts")), ran.withColumn("__s", -F.col("start")), ["session", "file"], "__b", "__s", t, "next",
-                right_tie=["task_no"], include_equal=False).drop("__b")
-    away = lambda c: F.greatest(F.col(f"{c}.start") - F.col("ts"), F.col("ts") - F.col(f"{c}.end"), F.lit(0))
-    cand = F.array_sort(F.filter(F.array(*[F.struct(away(c).alias("d"), F.col(f"{c}.task_no").alias("task_no")) for c in ("prev", "next")]),
-                                 lambda x: x.d.isNotNull() & x.task_no.isNotNull() & (x.d <= SOURCE_SLACK_NS)))
-    near = near.select(*o.columns, cand.alias("cand"))
-    first = near.select("*", F.get("cand", 0)["task_no"].alias("task_no")).filter("task_no IS NOT NULL")
-    won = first.groupBy("session", "file", "task_no").agg(F.min_by("__id", F.struct("ts", "__id")).alias("__id"))
-    lost = first.join(won.select("__id"), "__id", "left_anti").select(*o.columns, F.get("cand", 1)["task_no"].alias("task_no")).filter("task_no IS NOT NULL")
-    lost = lost.join(won.select("session", "file", "task_no"), ["session", "file", "task_no"], "left_anti")
-    second = lost.groupBy("session", "file", "task_no").agg(F.min_by("__id", F.struct("ts", "__id")).alias("__id"))
-    by_file = won.unionByName(second).select("__id", "task_no")
-    rest = o.join(by_file.select("__id"), "__id", "left_anti")
-    spans = previous(tasks.select("session", "task_no", "start", "end"), ["session"], ["start", "task_no"], "p", t)
-    timed = asof(rest, spans, ["session"], "ts", "start", F.struct("task_no", "start", "end", "p"), "t", right_tie=["task_no"])
+    own = tasks.select("session", "task_no", F.col("script").alias("path")) if "script" in tasks.columns else None
+    ran = sources.select("session", "task_no", "path") if own is None else sources.select("session", "task_no", "path").unionByName(own)
+    spans = ran.filter("path <> ''").distinct().join(tasks.select("session", "task_no", "start", "end"), ["session", "task_no"])
+    row = F.struct(*origins.columns)
+    executions = origins.filter("file IS NOT NULL AND file <> ''").select(
+        "session", "file", F.col("ts").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("task_no"), F.lit(None).cast("bigint").alias("start"),
+        F.lit(None).cast("bigint").alias("end"), F.to_json(row).alias("__row"))
+    windows = spans.select("session", F.col("path").alias("file"), (F.col("start") - SOURCE_SLACK_NS).alias("__at"), F.lit(0).alias("__kind"), F.col("task_no").cast("bigint"),
+                           F.col("start").cast("bigint"), F.col("end").cast("bigint"), F.lit(None).cast("string").alias("__row"))
+    parts = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = executions.unionByName(windows).repartition(parts, "session", "file").sortWithinPartitions("session", "file", "__at", "__kind", "start", "task_no", "__row")
+    taken = cut(both.mapInArrow(_take_nearest, "__row string, task_no bigint"))
+    back = F.from_json("__row", origins.select(row.alias("r")).schema["r"].dataType)
+    placed = taken.select(back.alias("r"), "task_no").select("r.*", "task_no")
+    rest = placed.filter("task_no IS NULL").drop("task_no").unionByName(origins.filter("file IS NULL OR file = ''"))
+    at = previous(tasks.select("session", "task_no", "start", "end"), ["session"], ["start", "task_no"], "p", F.struct("task_no", "start", "end"))
+    timed = asof(rest, at, ["session"], "ts", "start", F.struct("task_no", "start", "end", "p"), "t", right_tie=["task_no"])
     edge = (F.col("ts") == F.col("t.start")) & (F.col("t.p.end") == F.col("ts"))
     timed = timed.withColumn("task_no", F.when(edge, F.col("t.p.task_no")).when(F.col("ts") <= F.col("t.end"), F.col("t.task_no")))
-    return (o.join(by_file, "__id").unionByName(timed.filter("task_no IS NOT NULL").select(*o.columns, "task_no"))).drop("__id")
+    return placed.filter("task_no IS NOT NULL").unionByName(timed.filter("task_no IS NOT NULL").select(*origins.columns, "task_no"))
+
+
+def _take_nearest(batches):
+    """Rows come sorted by session, file and time; what is held are the free tasks that can still be near."""
+    key, free = None, {}
+    for batch in batches:
+        out = []
+        for session, file, at, kind, task, start, end, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (session, file) != key:
+                key, free = (session, file), {}
+            if kind == 0:
+                free[task] = (start, end)
+                continue
+            free = {t: se for t, se in free.items() if se[1] + SOURCE_SLACK_NS >= at}
+            best = min(free, key=lambda t: (max(free[t][0] - at, at - free[t][1], 0), free[t][0], t), default=None)
+            free.pop(best, None)
+            out.append((row, best))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], ["__row", "task_no"])
 
 
 def without_idle_reads(inputs: DataFrame, attached: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def _over(s: Scan, window) -> Column:
 
 
 def _scan_in_blocks(df, keys, order, scans, reverse, limit, largest) -> DataFrame:
-    pieces = min(4096, math.ceil(largest / limit) + 1)
+    pieces = math.ceil(largest / limit) + 1
     quantiles = [i / pieces for i in range(1, pieces)]
     bounds = cut(
         df.groupBy(*keys)

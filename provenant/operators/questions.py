@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenant.functions.terms import hash_sum
 from provenant.operators import graph
 from provenant.operators.records import file_steps
 
@@ -80,10 +81,11 @@ def labelled(view: DataFrame, labels: dict[str, str]) -> DataFrame:
     return view.filter(F.col("predicate").isin(*labels)).withColumn("label", name)
 
 
-def newest(view: DataFrame, keys: list[str], at: str, what: list[str]) -> DataFrame:
+def newest(view: DataFrame, keys: list[str], at: str, what: list[str], ident: str = "claim_id") -> DataFrame:
     """The newest claim per key; the smallest id on a tie. Reduced before the shuffle, no sort of a group."""
-    row = F.struct(*what)
-    return view.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(at))).alias("r")).select(*keys, "r.*")
+    last = view.groupBy(*keys).agg(F.max(at).alias("__last"))
+    tied = view.join(last, keys).filter(F.col(at) == F.col("__last"))
+    return tied.groupBy(*keys).agg(F.min_by(F.struct(*what), ident).alias("r")).select(*keys, "r.*")
 
 
 def in_window(view: DataFrame, keyid: Column | str, start, end) -> DataFrame:
@@ -188,8 +190,7 @@ def on_pinned_chains(claims: DataFrame, heads: DataFrame) -> DataFrame:
 def result_hash(answer: DataFrame) -> DataFrame:
     """A hash of an answer as a multiset of rows: the order of rows does not matter, how often one comes does."""
     row = F.sha2(F.to_json(F.struct(*sorted(answer.columns)), {"ignoreNullFields": "false"}), 256)
-    part = lambda i: F.sum(F.conv(F.substring(row, i, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
-    return answer.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(16), part(31)), 256).alias("hash"))
+    return answer.agg(F.count(F.lit(1)).alias("rows"), hash_sum(row).alias("hash"))
 
 
 def open_messages(messages: DataFrame, lanes: DataFrame, closed: DataFrame) -> DataFrame:

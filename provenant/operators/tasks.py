@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.functions.paths import base, path_class, program_name, words
+from provenant.functions.paths import base, path_class, program_name, under, words
 from provenant.functions.terms import EMPTY_SHA256, field_of
 from provenant.operators import graph
 from provenant.operators.ordered import Scan, largest_key, previous, scan
@@ -138,8 +138,9 @@ def _session_env(e: DataFrame) -> DataFrame:
     said = e.filter("op = 'ENV'")
     if said.isEmpty():
         return e
-    own = said.groupBy("session").agg(F.flatten(F.collect_set(F.split("path", ","))).alias("__env"), F.min("ord").alias("__at"))
-    named = F.exists("__env", lambda p: (p != "") & F.col("path").startswith(p))
+    prefixes = F.transform(F.split("path", ","), F.trim)
+    own = said.groupBy("session").agg(F.flatten(F.collect_set(prefixes)).alias("__env"), F.min("ord").alias("__at"))
+    named = F.exists("__env", lambda p: under("path", p))
     early = (F.col("ord") < F.col("__at")) & (F.col("class") != "project") & ~F.col("op").isin(MARKERS)
     env = F.col("class").isin("outside", "system", "temp", "env") & (named | early)
     return e.join(own, "session", "left").withColumn(

@@ -11,7 +11,9 @@ def verified(signature: DataFrame, trust: DataFrame) -> DataFrame:
 
     ``signature.keyid`` is the key that verified, never the declared one.
     """
-    return (signature.filter(F.col("keyid").isNotNull()).select("record_id", "pos", "keyid")
+    # positions count within a registry, so the registry's own place comes first where there are several
+    pos = F.struct("registry_ord", "pos") if "registry_ord" in signature.columns else F.col("pos")
+    return (signature.filter(F.col("keyid").isNotNull()).select("record_id", pos.alias("pos"), "keyid")
             .join(trust.select("keyid", "tier", "name"), "keyid"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenant.functions.terms import hash_sum
+
 
 def as_union(inputs: dict[str, DataFrame]) -> DataFrame:
     """Rows of every registry with its name and place in the order; own first."""
@@ -47,12 +49,9 @@ def by_id(work: DataFrame, claims: DataFrame, ids: DataFrame) -> DataFrame:
 def stamp(rows: DataFrame, keys: list[str], line) -> DataFrame:
     """A digest of a set of rows that does not depend on their order; equal stamps mean nothing to do.
 
-    Sums part of each row's hash, so no group is ever gathered in one place.
+    Sums each row's hash in pieces, so no group is ever gathered in one place.
     """
-    part = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(part).cast("decimal(38,0)").cast("string")), 256).alias("stamp"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), hash_sum(F.sha2(line, 256)).alias("stamp"))
 
 
 def moved(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,9 +85,9 @@ def latest_installations(installs: DataFrame) -> DataFrame:
 
 
 def after_cursor(held: DataFrame, cursor: DataFrame) -> DataFrame:
-    """Rows behind the kept position of their registry and layer; all of them where the epoch changed."""
+    """Rows behind the kept position of their registry and layer; all of them where a later epoch began, none of an earlier one."""
     c = cursor.select("registry", "layer", F.col("epoch").alias("__e"), F.col("seq").alias("__s"))
-    new = F.col("__e").isNull() | (F.col("__e") != F.col("epoch")) | (F.col("seq") > F.col("__s"))
+    new = F.col("__e").isNull() | (F.col("epoch") > F.col("__e")) | ((F.col("epoch") == F.col("__e")) & (F.col("seq") > F.col("__s")))
     return held.join(c, ["registry", "layer"], "left").filter(new).drop("__e", "__s")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from provenant.functions.terms import XSD, typed, valid_iri
 from provenant.operators.scopes import positions
 from provenant.operators.trust import verified
+from provenant.session import cut
 
 # Names of this vocabulary.
 NS = "urn:prov:"
@@ -173,30 +174,37 @@ def expand(curie, prefixes: DataFrame, df: DataFrame, name: str) -> DataFrame:
         .otherwise(c)).drop("__p", "__i")
 
 
-def typed_fields(fields: DataFrame, types: DataFrame) -> DataFrame:
-    """Fields with the type their template declares: ``types`` has (template, key, type)."""
-    return fields.join(types, ["template", "key"], "left").withColumn("term", typed("type", "value")).select(
+def typed_fields(fields: DataFrame, types: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """Fields with the type their template declares: ``types`` has (template, key, type), ``prefixes`` (prefix, iri)."""
+    named = fields.withColumn("__r", F.col("value")) if prefixes is None else expand("value", prefixes, fields, "__r")
+    return named.join(types, ["template", "key"], "left").withColumn("term", typed("type", "value", "__r", reserved)).select(
         "claim_id", "key", F.col("term.type").alias("term_type"), F.col("term.value").alias("value"), F.col("term.datatype").alias("datatype"))
 
 
-def nested_fields(objects: DataFrame, levels: int = 16) -> DataFrame:
-    """JSON objects as rows ``(claim_id, path, key, value)``, one per scalar, to any depth up to ``levels``.
+def nested_fields(objects: DataFrame) -> DataFrame:
+    """JSON objects as rows ``(claim_id, path, key, value)``, one per scalar, to any depth.
 
-    An object whose only key is ``hash`` stands for what it names. Deeper nesting than ``levels`` raises.
+    An object whose only key is ``hash`` stands for what it names. The elements of a list are opened as well: its
+    objects have the list's key and their place as a part of the path, its scalars are a row each. A layer is opened
+    per round, until none is left.
     """
-    layer = objects.select("claim_id", F.lit("").alias("path"), F.col("object").alias("json"))
-    out = None
-    for depth in range(levels):
-        items = layer.select("claim_id", "path", F.explode(F.from_json("json", "map<string,string>")).alias("key", "value"))
-        inner = F.col("value").rlike(r"^\s*\{")
-        single = F.from_json("value", "map<string,string>")
-        names = inner & (F.size(single) == 1) & single["hash"].isNotNull()
-        plain = items.filter(~inner | names).select("claim_id", "path", "key", F.when(names, single["hash"]).otherwise(F.col("value")).alias("value"))
+    fields = lambda c: F.explode(F.from_json(c, "map<string,string>")).alias("key", "value")
+    items, out = objects.select("claim_id", F.lit("").alias("path"), fields("object")), None
+    single, listed = F.from_json("value", "map<string,string>"), F.from_json("value", "array<string>")
+    is_object, is_list = (F.coalesce(F.col("value").rlike(form) & read.isNotNull(), F.lit(False)) for form, read in ((r"^\s*\{", single), (r"^\s*\[", listed)))
+    names = F.coalesce((F.size(single) == 1) & single["hash"].isNotNull(), F.lit(False))
+    inside = lambda v: F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False))
+    place = lambda i: F.concat("key", F.lit("["), i.cast("string"), F.lit("]"))
+    elements = F.transform(listed, lambda v, i: F.struct(F.when(inside(v), place(i)).otherwise(F.col("key")).alias("key"), v.alias("value")))
+    while True:
+        items = cut(items)
+        opened = is_object & ~names | is_list
+        plain = items.filter(~opened).select("claim_id", "path", "key", F.when(is_object, single["hash"]).otherwise(F.col("value")).alias("value"))
         out = plain if out is None else out.unionByName(plain)
-        layer = items.filter(inner & ~names).select("claim_id", F.concat("path", "key", F.lit("/")).alias("path"), F.col("value").alias("json"))
-        if layer.isEmpty():
+        if items.filter(opened).isEmpty():
             return out
-    raise ValueError(f"objects are nested deeper than {levels} levels")
+        deeper = items.filter(is_object & ~names).select("claim_id", F.concat("path", "key", F.lit("/")).alias("path"), fields("value"))
+        items = deeper.unionByName(items.filter(is_list).select("claim_id", "path", F.explode(elements).alias("e")).select("claim_id", "path", "e.*"))
 
 
 def signer_labels(nodes: DataFrame, trust: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from provenant.operators import trust as T
 from provenant.operators import unions as U
 from provenant.operators import view as V
 from provenant.operators.scopes import heads
-from provenant.plans.registry import query
+from provenant.plans.registry import hash_sum_sql, query
 from provenant.plans.view import LABELS, labels, nodes, view
 
 
@@ -145,7 +145,7 @@ def _(t):
     return Q.labelled(trusted(t), {"view": "description", "click": "rationale"}).select("subject", "claim_id", "label")
 
 
-@query("latest_description", "SELECT subject, arg_max(claim_id, c.at) AS claim_id, arg_max(name, c.at) AS name FROM trusted_claim c WHERE predicate='view' GROUP BY subject")
+@query("latest_description", "SELECT subject, claim_id, name FROM trusted_claim c WHERE predicate='view' QUALIFY row_number() OVER (PARTITION BY subject ORDER BY c.at DESC, claim_id)=1")
 def _(t):
     return Q.newest(trusted(t).filter("predicate = 'view'"), ["subject"], "at", ["claim_id", "name"])
 
@@ -324,7 +324,8 @@ def _(t):
     return Q.on_pinned_chains(t.claim, pinned).select("claim_id")
 
 
-@query("result_hash")
+@query("result_hash", f"""WITH r AS (SELECT sha256('{{{{"claim_id":"'||claim_id||'","predicate":"'||predicate||'","subject":"'||subject||'","tier":"'||tier||'"}}}}') AS h FROM trusted_claim)
+SELECT count(*) AS rows, {hash_sum_sql("h")} AS hash FROM r""".replace("{{", "{").replace("}}", "}"))
 def _(t):
     return Q.result_hash(trusted(t).select("claim_id", "subject", "predicate", "tier"))
 

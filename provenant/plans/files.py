@@ -382,10 +382,10 @@ def _(t):
     return X.tools_of(c, ["toolO", "toolF"]).select(F.col("step").alias("record_id"), F.array_join("tools", ",").alias("tools"))
 
 
-@query("parents_in_control_files", "SELECT '/m/'||p_partkey||'.mod' AS path, CAST(p_partkey-1 AS VARCHAR) AS parent, 'w'||(p_partkey-1) AS record FROM part WHERE p_partkey-1 IN (SELECT p_partkey FROM part)")
+@query("parents_in_control_files", "SELECT '/m/'||p_partkey||'/'||p_partkey||'.mod' AS path, CAST(p_partkey-1 AS VARCHAR) AS parent, 'w'||(p_partkey-1) AS record FROM part WHERE p_partkey-1 IN (SELECT p_partkey FROM part)")
 def _(t):
     p = t.base("part").select("p_partkey")
-    path = lambda ext: F.concat(F.lit("/m/"), "p_partkey", F.lit(ext)).alias("path")
+    path = lambda ext: F.concat(F.lit("/m/"), "p_partkey", F.lit("/"), "p_partkey", F.lit(ext)).alias("path")
     control = p.select(path(".mod"), F.concat(F.lit("$PROBLEM x\n; based_on: "), (F.col("p_partkey") - 1).cast("string"), F.lit("\n$DATA d\n")).alias("text"))
     outs = p.select(path(".lst"), F.concat(F.lit("lst"), "p_partkey").alias("sha"))
     pub = p.select(F.concat(F.lit("lst"), "p_partkey").alias("sha"), F.concat(F.lit("w"), "p_partkey").alias("record"), F.col("p_partkey").alias("seq"))

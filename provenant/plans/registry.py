@@ -34,6 +34,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def hash_sum_sql(digest: str) -> str:
+    """The check's form of ``terms.hash_sum``."""
+    piece = "sum(CAST(CAST('0x'||substr({d},{at},13) AS BIGINT) AS DECIMAL(38,0)))::VARCHAR"
+    return "sha256(count(*)||':'||" + "||':'||".join(piece.format(d=digest, at=at) for at in (1, 14, 27, 40, 53)) + ")"
+
+
 def load_all() -> None:
     for area in AREAS:
         importlib.import_module(f"provenant.plans.{area}")

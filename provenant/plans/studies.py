@@ -76,10 +76,16 @@ def _(t):
     return stats.select("n", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"))
 
 
-@query("ratio_interval")
+@query("ratio_interval", """WITH RECURSIVE p AS (SELECT l_suppkey, avg(l_extendedprice) FILTER (l_returnflag='A') AS a, avg(l_extendedprice) FILTER (l_returnflag='N') AS n FROM lineitem GROUP BY l_suppkey),
+s AS (SELECT count(*) AS n, avg(ln(a)-ln(n)) AS m, stddev_samp(ln(a)-ln(n)) AS sd FROM p WHERE a IS NOT NULL AND n IS NOT NULL),
+b AS (SELECT n, n-1.0 AS df, 0.0::DOUBLE AS lo, 700.0::DOUBLE AS hi, 0 AS i FROM s UNION ALL
+  SELECT n, df, CASE WHEN c<0.45 THEN x ELSE lo END, CASE WHEN c<0.45 THEN hi ELSE x END, i+1 FROM (SELECT *, x/3000*exp(lgamma((df+1)/2)-lgamma(df/2))/sqrt(df*pi())*
+    list_sum(list_transform(range(0,1001), lambda k: CASE WHEN k IN (0,1000) THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END*pow(1+(x*k/1000)*(x*k/1000)/df,-(df+1)/2))) AS c
+    FROM (SELECT *, (lo+hi)/2 AS x FROM b WHERE i<60)))
+SELECT s.n, round(exp(m),6) AS ratio, round(exp(m-lo*sd/sqrt(s.n)),6) AS low, round(exp(m+lo*sd/sqrt(s.n)),6) AS high FROM s, b WHERE i=60""")
 def _(t):
     stats = S.paired_logs(t.base("lineitem"), "l_suppkey", "l_returnflag", "l_extendedprice", ("A", "N"))
-    return S.ratio_interval(stats).select("n", "ratio", "low", "high")
+    return S.ratio_interval(stats).select("n", *[F.round(c, 6).alias(c) for c in ("ratio", "low", "high")])
 
 
 @query("simple_regression", "SELECT l_returnflag AS flag, round(regr_slope(l_extendedprice,l_quantity),6) AS slope, round(corr(l_quantity,l_extendedprice),9) AS r, regr_count(l_extendedprice,l_quantity) AS n FROM lineitem GROUP BY 1")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from provenant.operators import unions as U
 from provenant.operators.ordered import previous
-from provenant.plans.registry import query
+from provenant.plans.registry import hash_sum_sql, query
 
 
 def held_claims(t):
@@ -48,7 +48,7 @@ def _(t):
 
 
 @query("registry_stamp", f"""WITH {HELD}
-SELECT registry, count(*) AS n, sha256(count(*)||':'||sum(CAST(CAST(('0x'||substr(sha256(claim_id),1,15)) AS BIGINT) AS DECIMAL(38,0)))::VARCHAR) AS stamp
+SELECT registry, count(*) AS n, {hash_sum_sql("sha256(claim_id)")} AS stamp
 FROM held GROUP BY registry""")
 def _(t):
     return U.stamp(held_claims(t), ["registry"], F.col("claim_id"))

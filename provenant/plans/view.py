@@ -110,20 +110,36 @@ WITH f AS (SELECT claim_id, predicate, unnest(['level','owner','day','amount'])
    unnest([level, 'urn:person:'||person, strftime(c.at,'%Y-%m-%d'), CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)]) AS value FROM trusted_claim c)
 SELECT claim_id, key, CASE WHEN key='owner' AND predicate<>'signup' THEN 'iri' ELSE 'literal' END AS term_type, value,
   CASE WHEN predicate='signup' THEN NULL WHEN key='day' THEN 'http://www.w3.org/2001/XMLSchema#date'
-       WHEN key='amount' THEN 'http://www.w3.org/2001/XMLSchema#integer' END AS datatype FROM f""")
+       WHEN key='amount' THEN 'http://www.w3.org/2001/XMLSchema#integer' END AS datatype FROM f
+UNION ALL SELECT claim_id, 'file', CASE WHEN predicate='signup' THEN 'literal' ELSE 'iri' END,
+  CASE WHEN predicate='signup' THEN 'sha256:'||upper(sha256(subject)) ELSE 'urn:sha256:'||sha256(subject) END, NULL FROM trusted_claim
+UNION ALL SELECT claim_id, 'whom', 'literal', 'urn:person:'||person, NULL FROM trusted_claim
+UNION ALL SELECT claim_id, 'grade', CASE WHEN predicate='signup' OR level='L0' THEN 'literal' ELSE 'iri' END,
+  CASE WHEN level='L0' THEN 'urn:grade:L0' WHEN predicate='signup' THEN 'g:'||level ELSE 'https://grades.example/'||level END, NULL FROM trusted_claim""")
 def _(t):
     named = V.aliased(fields(t), templates(t), aliases(t))
-    types = templates(t).select(F.col("name").alias("template"), F.explode(F.create_map(
-        F.lit("level"), F.lit("enum"), F.lit("owner"), F.lit("ref"), F.lit("day"), F.lit("date"), F.lit("amount"), F.lit("integer"))).alias("key", "type"))
-    return V.typed_fields(named, types)
+    more = fields(t).filter("key = 'level'").join(t.claim.select("claim_id", "subject", "person", "level"), "claim_id").select("claim_id", "predicate", F.explode(F.create_map(
+        F.lit("file"), F.concat(F.lit("sha256:"), F.upper(F.sha2("subject", 256))), F.lit("whom"), F.concat(F.lit("urn:person:"), "person"),
+        F.lit("grade"), F.when(F.col("level") == "L0", "urn:grade:L0").otherwise(F.concat(F.lit("g:"), "level")))).alias("key", "value"))
+    kinds = {"level": "enum", "owner": "iri", "day": "date", "amount": "integer", "file": "ref", "whom": "ref", "grade": "enum"}
+    types = templates(t).select(F.col("name").alias("template"), F.explode(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])).alias("key", "type"))
+    prefixes = t.base("region").filter("r_regionkey = 0").select(F.lit("g").alias("prefix"), F.lit("https://grades.example/").alias("iri"))
+    return V.typed_fields(named.unionByName(V.aliased(more, templates(t), aliases(t))), types, prefixes)
 
 
 @query("nested_fields", """
 SELECT claim_id, '' AS path, 'by' AS key, person AS value FROM claim UNION ALL SELECT claim_id, '', 'ref', subject FROM claim
-UNION ALL SELECT claim_id, 'qualification/', 'level', level FROM claim UNION ALL SELECT claim_id, 'qualification/role/', 'name', predicate FROM claim""")
+UNION ALL SELECT claim_id, 'qualification/', 'level', level FROM claim UNION ALL SELECT claim_id, 'qualification/role/', 'name', predicate FROM claim
+UNION ALL SELECT claim_id, 'seen['||i||']/', 'at', r FROM (SELECT claim_id, unnest(registries) AS r, unnest(range(len(registries))) AS i FROM claim)
+UNION ALL SELECT claim_id, '', 'tags', unnest([predicate, level]) FROM claim
+UNION ALL SELECT claim_id, repeat('d/', 20), 'leaf', keyid FROM claim""")
 def _(t):
+    deep = F.struct(F.col("keyid").alias("leaf"))
+    for _ in range(20):
+        deep = F.struct(deep.alias("d"))
     obj = F.to_json(F.struct(F.col("person").alias("by"), F.struct(F.col("subject").alias("hash")).alias("ref"),
-                             F.struct("level", F.struct(F.col("predicate").alias("name")).alias("role")).alias("qualification")))
+                             F.struct("level", F.struct(F.col("predicate").alias("name")).alias("role")).alias("qualification"),
+                             F.transform("registries", lambda r: F.struct(r.alias("at"))).alias("seen"), F.array("predicate", "level").alias("tags"), deep["d"].alias("d")))
     return V.nested_fields(t.claim.select("claim_id", obj.alias("object")))
 
 

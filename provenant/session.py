@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 # Rows one task may hold for one key before the key is split into blocks (see operators.ordered).
 HOT_ROWS_CONF = "spark.provenant.hotKeyRows"
 HOT_ROWS_DEFAULT = 2_000_000
+_FOLDERS: set[str] = set()
 
 
 def local_session(cpus: str | int = "*", app: str = "provenant", **conf: str) -> SparkSession:
@@ -47,6 +50,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def app_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder; it is removed when the program ends."""
+    folder = f"{shared_folder(spark)}/provenant/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def remove() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone by then
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+        atexit.register(remove)
+    return folder
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that its lineage ends there."""
     return cut_counted(df, partition_by)[0]
@@ -55,7 +74,7 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 def cut_counted(df: DataFrame, partition_by: list[str] | None = None) -> tuple[DataFrame, int]:
     """``cut`` that also tells the number of rows, counted by the write itself."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/provenant/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{app_folder(spark)}/{uuid.uuid4().hex}"
     rows = Observation()
     writer = df.observe(rows, F.count(F.lit(1)).alias("n")).write
     if partition_by:

@@ -15,11 +15,12 @@ def feed(held: DataFrame, cursor: DataFrame, trusted: DataFrame, limit: int) ->
     ``held`` has (registry, registry_ord, layer, epoch, seq, record_id), ``trusted`` (record_id, signers).
     """
     new = after_cursor(held, cursor)
-    order = ["registry_ord", "layer", "seq"]
+    order = ["registry_ord", "layer", "epoch", "seq"]
     page = new.orderBy(*order).limit(limit + 1)
     more = page.count() > limit
     page = page.orderBy(*order).limit(limit).join(trusted, "record_id", "left")
-    after = page.groupBy("registry", "layer").agg(F.max("epoch").alias("epoch"), F.max("seq").alias("seq"), F.count_if(F.col("signers").isNull()).alias("untrusted"))
+    after = page.groupBy("registry", "layer").agg(F.max(F.struct("epoch", "seq")).alias("m"), F.count_if(F.col("signers").isNull()).alias("untrusted")).select(
+        "registry", "layer", "m.epoch", "m.seq", "untrusted")
     kept = cursor.select("registry", "layer", "epoch", "seq").join(after.select("registry", "layer"), ["registry", "layer"], "left_anti").withColumn("untrusted", F.lit(0).cast("bigint"))
     return page.filter("signers IS NOT NULL"), after.unionByName(kept), more
 

@@ -121,6 +121,15 @@ def test_origins_by_file_and_by_time(spark):
     assert pairs(L.attach_origins(o, tasks, src), "ts", "task_no") == [(9 * 10**9, 1), (10**10, 0)]
 
 
+def test_each_execution_of_a_file_takes_a_step_of_its_own(spark):
+    s = 10**9
+    tasks = spark.createDataFrame([("s", k, k * s // 2, k * s // 2 + 10) for k in range(4)] + [("s", 9, 50 * s, 51 * s)], "session string, task_no bigint, start bigint, end bigint")
+    src = spark.createDataFrame([("s", k, "/p/a.R") for k in range(4)], "session string, task_no bigint, path string")
+    o = spark.createDataFrame([("s", s, "/p/a.R")] * 4 + [("s", 50 * s + 5, "/p/b.R")], "session string, ts bigint, file string")
+    got = L.attach_origins(o, tasks.withColumn("script", F.when(F.col("task_no") == 9, "/p/b.R").otherwise("")), src)
+    assert pairs(got, "file", "task_no") == [("/p/a.R", 0), ("/p/a.R", 1), ("/p/a.R", 2), ("/p/a.R", 3), ("/p/b.R", 9)]
+
+
 @pytest.mark.parametrize("code,names", [
     ("y <- mean(x)", ["x"]), ("pop <- read.csv('a.csv'); head(pop)", []), ("f(a = b, c == d)", ["b", "c", "d"]), ("x$y <- 1", ["x"]), ("x <- x + 1", ["x"]),
     ("g <- function(u, v = 2) u + w", ["w"]), ("# fit's own\nprint(\"k # z\", k)", ["k"]), ("for (i in 1:n) s[i] <- i", ["n", "s"])])
