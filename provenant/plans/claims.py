@@ -123,13 +123,15 @@ def _(t):
 
 
 @query("everything_about_a_node", """
-SELECT p, o FROM (SELECT 'kind' AS p, kind AS o, record_id FROM work UNION ALL SELECT 'label', cmd, record_id FROM work)
+SELECT p, o FROM (SELECT 'urn:prov:kind' AS p, kind AS o, record_id FROM work UNION ALL SELECT 'http://www.w3.org/2000/01/rdf-schema#label', cmd, record_id FROM work
+  UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:prov:Work', record_id FROM work
+  UNION ALL SELECT DISTINCT 'http://www.w3.org/ns/prov#used', 'urn:file:'||hash, record_id FROM work_file WHERE role='in'
+  UNION ALL SELECT DISTINCT 'http://www.w3.org/ns/prov#wasAttributedTo', 'urn:key:'||keyid, record_id FROM verified)
 WHERE record_id=(SELECT min(record_id) FROM work)""")
 def _(t):
     q = V.project_work(t.work, t.work_file, t.signature, t.trust_key)
     node = V.iri("work", F.lit(t.work.agg(F.min("record_id")).first()[0]))
-    short = F.when(F.col("p") == V.LABEL, "label").when(F.col("p") == V.NS + "kind", "kind")
-    return Q.about_node(q.filter("o_type = 'literal'"), node).select(short.alias("p"), "o")
+    return Q.about_node(q, node).distinct()
 
 
 @query("users_with_signer", """

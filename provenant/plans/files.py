@@ -232,8 +232,7 @@ def _(t):
 
 
 def call_tables(t):
-    files = t.work_file.select(F.col("record_id").alias("call"), F.when(F.col("role") == "in", "read").otherwise("write").alias("role"), "path", F.col("hash").alias("sha"))
-    return files.filter("sha NOT LIKE 'supp:%'")
+    return t.work_file.select(F.col("record_id").alias("call"), F.when(F.col("role") == "in", "read").otherwise("write").alias("role"), "path", F.col("hash").alias("sha"))
 
 
 KEPT = "kept AS (SELECT DISTINCT hash AS sha FROM work_file WHERE hash LIKE 'part:%' AND hash NOT LIKE 'part:1%')"
@@ -242,8 +241,8 @@ KEPT = "kept AS (SELECT DISTINCT hash AS sha FROM work_file WHERE hash LIKE 'par
 @query("producible_files", f"""WITH RECURSIVE {KEPT},
 ok AS (SELECT s.o_custkey, s.n, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey=o_orderkey AND 'part:'||l_partkey NOT IN (SELECT sha FROM kept)) AS good FROM states s),
 mk AS (SELECT o_custkey, n FROM ok WHERE n=1 AND good UNION ALL SELECT o.o_custkey, o.n FROM mk JOIN ok o ON o.o_custkey=mk.o_custkey AND o.n=mk.n+1 WHERE o.good)
-SELECT DISTINCT hash AS sha, CASE WHEN hash IN (SELECT sha FROM kept) THEN 'kept' WHEN hash IN (SELECT 'cust:'||o_custkey||':'||n FROM mk) THEN 'producible' ELSE 'lost' END AS state
-FROM work_file WHERE hash NOT LIKE 'supp:%'""")
+SELECT DISTINCT hash AS sha, CASE WHEN hash IN (SELECT sha FROM kept) THEN 'kept' WHEN hash IN (SELECT f.hash FROM work_file f JOIN states s ON f.record_id='w'||s.o_orderkey JOIN mk USING (o_custkey, n) WHERE f.role='out') THEN 'producible' ELSE 'lost' END AS state
+FROM work_file""")
 def _(t):
     files = call_tables(t)
     kept = files.filter("sha LIKE 'part:%' AND sha NOT LIKE 'part:1%'").select("sha").distinct()
@@ -255,7 +254,8 @@ def _(t):
 SELECT target, 'run' AS kind, 'w'||o_orderkey AS item FROM x
 UNION SELECT target, CASE WHEN w.hash IN (SELECT sha FROM kept) THEN 'put' ELSE 'lost' END, w.hash FROM x JOIN work_file w ON w.record_id='w'||o_orderkey AND w.role='in' AND w.hash LIKE 'part:%'""")
 def _(t):
-    files = call_tables(t)
+    """Plans for the last states; what else their makers wrote is no target."""
+    files = call_tables(t).filter("sha NOT LIKE 'supp:%'")
     kept = files.filter("sha LIKE 'part:%' AND sha NOT LIKE 'part:1%'").select("sha").distinct()
     made = files.filter("role = 'write'").select("sha")
     targets = made.join(files.filter("role = 'read'").select("sha"), "sha", "left_anti").distinct()
@@ -291,11 +291,11 @@ def _(t):
 
 @query("workflow_candidates", """WITH w AS (SELECT substr(owner,2) AS step, string_split(split_part(cmd,'&& ',2),' ') AS ws FROM work), e AS (SELECT step, unnest(ws) AS word, generate_subscripts(ws,1)-1 AS pos FROM w),
 p AS (SELECT step, 1 AS kind, 'word '||pos AS name FROM e GROUP BY step, pos HAVING count(DISTINCT word)>1),
-f AS (SELECT DISTINCT substr(w.owner,2) AS step, 0 AS kind, path AS name FROM work_file JOIN work w USING (record_id) WHERE role='in' AND path LIKE '/p/%')
+f AS (SELECT DISTINCT substr(w.owner,2) AS step, 0 AS kind, path AS name FROM work_file JOIN work w USING (record_id) WHERE role='in')
 SELECT step, kind, name, row_number() OVER (PARTITION BY step ORDER BY kind, name) AS number FROM (SELECT * FROM p UNION ALL SELECT * FROM f)""")
 def _(t):
     ex = W.executions(t.work, t.work_file)
-    files = t.work_file.filter("role = 'in' AND path LIKE '/p/%'").join(ex.select("record_id", "step"), "record_id").select("step", "path")
+    files = t.work_file.filter("role = 'in'").join(ex.select("record_id", "step"), "record_id").select("step", "path")
     return W.candidates(files, W.parameters(ex))
 
 

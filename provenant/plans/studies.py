@@ -53,10 +53,11 @@ def _(t):
 
 
 @query("extrapolated_start", f"""WITH {SM}, f AS (SELECT subject, max(time) FILTER (fwd=1) AS t1, max(conc) FILTER (fwd=1) AS c1, max(time) FILTER (fwd=2) AS t2, max(conc) FILTER (fwd=2) AS c2 FROM st GROUP BY subject)
-SELECT subject, round(ln(c1*exp((ln(c1)-ln(c2))/(t2-t1)*t1)),3) AS ln_start FROM f WHERE t2>t1 AND t1>0 AND abs((ln(c1)-ln(c2))/(t2-t1)*t1)<300""")
+SELECT subject, CASE WHEN abs((ln(c1)-ln(c2))/(t2-t1)*t1)<300 THEN round(ln(c1*exp((ln(c1)-ln(c2))/(t2-t1)*t1)),3) END AS ln_start FROM f WHERE t2>t1 AND t1>0""")
 def _(t):
     rows = S.with_start(samples(t), ["subject"], "time", "conc", ("id",)).filter("time = 0")
-    return rows.select("subject", F.round(F.ln("conc"), 3).alias("ln_start")).filter("abs(ln_start) < 300 AND ln_start > -300")
+    # beyond e**300 the value itself is out of range: the subject stays, its start is unknown
+    return rows.select("subject", F.when(F.abs(F.ln("conc")) < 300, F.round(F.ln("conc"), 3)).alias("ln_start"))
 
 
 @query("median_clearance", f"""WITH {SM}, r AS (SELECT subject, -regr_slope(ln(conc), time) AS l FROM st WHERE back<=3 GROUP BY subject HAVING count(*)=3),

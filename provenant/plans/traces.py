@@ -216,10 +216,10 @@ def _(t):
 
 
 @query("document_chunks", """
-SELECT doc_id, 'd'||doc_id AS label, 4 AS start_line, 4+length(text)-length(replace(text,chr(10),'')) AS end_line FROM documents WHERE position('```' IN text)=0""")
+SELECT doc_id, 'd'||doc_id AS label, 4 AS start_line, 4+length(text)-length(replace(text,chr(10),'')) AS end_line FROM documents""")
 def _(t):
-    """Every document as the body of a labelled chunk."""
-    d = t.base("documents").filter(~F.contains("text", F.lit("```"))).select(F.col("doc_id").alias("file"), F.concat(
+    """Every document as the body of a labelled chunk; fences of its own are quoted, as they would end the chunk."""
+    d = t.base("documents").withColumn("text", F.replace("text", F.lit("```"), F.lit("'''"))).select(F.col("doc_id").alias("file"), F.concat(
         F.lit("# Title\n\n```{r d"), "doc_id", F.lit(", echo=FALSE}\n"), "text", F.lit("\n```\ntext\n")).alias("text"))
     return L.chunks(d).select(F.col("file").alias("doc_id"), "label", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 

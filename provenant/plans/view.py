@@ -183,7 +183,6 @@ def _(t):
 
 @query("derived_from", """
 SELECT DISTINCT o.hash, i.hash AS source FROM work_file o JOIN work_file i USING (record_id)
-WHERE o.role='out' AND i.role='in' AND o.hash LIKE 'cust:%'""")
+WHERE o.role='out' AND i.role='in'""")
 def _(t):
-    states = t.work_file.filter("role = 'out' AND hash LIKE 'cust:%'").select("hash")
-    return V.derived_from(t.work_file, states)
+    return V.derived_from(t.work_file, t.work_file.filter("role = 'out'").select("hash"))
