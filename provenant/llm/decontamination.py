@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from provenant.llm.common import Codes, code_array, list_column, lists, rows, stored, without, words
 
-SEGMENT_WORDS = 500_000
+SEGMENT_WORDS = 2_000_000
 # Unused positions between documents: no phrase or span of up to so many words crosses a boundary.
 GAP = 1024
 WINDOW = 10
