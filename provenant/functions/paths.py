@@ -7,25 +7,23 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prefixes that are never data, temporary files, and environment independent of any runtime.
+# Prefixes that are never data.
 SYSTEM_PREFIXES = ["/proc/", "/sys/", "/dev/", "/etc/", "/run/", "/usr/share/", "/var/lib/", "/var/cache/", "/usr/lib/os-release"]
-TEMP_PREFIXES = ["/tmp/Rtmp", "/tmp/cc", "/tmp/registration_", "/tmp/kernel-", "/tmp/kallichore-", "/tmp/.lark_cache",
-                 "/tmp/quarto-session", "/var/tmp/Rtmp"]
-ENV_PREFIXES = ["/usr/lib/", "/usr/local/lib/", "/opt/", "/lib/", "/lib64/", "/usr/bin/", "/usr/local/bin/", "/bin/",
-                "/usr/libexec/", "/usr/include/"]
-HOME_ENV = [".cache/", ".positron-server/", ".local/share/uv/", ".local/opt/", ".local/bin/", ".local/lib/", "R/x86_64-pc-linux-gnu-library/",
-            "R/aarch64-unknown-linux-gnu-library/", ".gitconfig"]
+# Prefixes of temporary files.
+TEMP_PREFIXES = ["/tmp/Rtmp", "/tmp/cc", "/tmp/registration_", "/tmp/kernel-", "/tmp/kallichore-", "/tmp/.lark_cache", "/tmp/quarto-session", "/var/tmp/Rtmp"]
+# Prefixes of environment that are independent of any runtime.
+ENV_PREFIXES = ["/usr/lib/", "/usr/local/lib/", "/opt/", "/lib/", "/lib64/", "/usr/bin/", "/usr/local/bin/", "/bin/", "/usr/libexec/", "/usr/include/"]
+# The same below a home folder. A recorder's own folder there is given as one of env_prefixes.
+HOME_ENV = [".cache/", ".positron-server/", ".local/share/uv/", ".local/opt/", ".local/bin/", ".local/lib/", "R/x86_64-pc-linux-gnu-library/", "R/aarch64-unknown-linux-gnu-library/", ".gitconfig"]
 STARTUP_FILE = r"^(\.Renviron.*|\.Rprofile|\.RData|\.Rhistory)$"
 VERSION_CONTROL = r"/\.git/|/\.git$|/\.hg/|/\.svn/"
-WORK_FILE = (
-    r"(^|/)(FCON|FSTREAM|FDATA|FDATA\.csv|FSIZES|FREPORT|FSUBS|FSUBS2|FSUBS\.f90|FSUBS_MU\.F90|FMSG|FLIB|PRSIZES\.f90"
-    r"|LINK\.LNK|LINKC\.LNK|compile\.lnk|nonmem|nmprd4p\.mod|OUTPUT|INTER|PRDERR|OFV\.TXT|JUNK|newline|garbage\.out"
-    r"|trash\.out|trash\.tmp|nmprd4p\.mod0|[^/]+\.knit\.md|[^/]+\.rmarkdown|gfortran\.txt|FILE\d+|fort\.\d+|tempzzzz\d*"
-    r"|temporaryfile\.xml|\w+\.set)$|(^|/)temp_dir/"
-)
+# Fixed value: files that tools leave while they work.
+WORK_FILE = r"(^|/)(FCON|FSTREAM|FDATA|FDATA\.csv|FSIZES|FREPORT|FSUBS|FSUBS2|FSUBS\.f90|FSUBS_MU\.F90|FMSG|FLIB|PRSIZES\.f90|LINK\.LNK|LINKC\.LNK|compile\.lnk|nonmem|nmprd4p\.mod|OUTPUT|INTER|PRDERR|OFV\.TXT|JUNK|newline|garbage\.out|trash\.out|trash\.tmp|nmprd4p\.mod0|[^/]+\.knit\.md|[^/]+\.rmarkdown|gfortran\.txt|FILE\d+|fort\.\d+|tempzzzz\d*|temporaryfile\.xml|\w+\.set)$|(^|/)temp_dir/"
+# Programs that help others.
 HELPER_PROGRAMS = ["rm", "cp", "mv", "cat", "sed", "grep", "uname", "which", "date", "basename", "dirname", "mkdir", "ls", "sh",
                    "bash", "env", "wc", "tr", "head", "tail", "cut", "expr", "readlink", "touch", "sleep", "true", "false",
                    "test", "[", "chmod", "ln", "f951", "as", "x86_64-linux-gnu-as", "collect2", "ld", "cc1"]
+# Programs that run a script named after them.
 INTERPRETERS = ["bash", "sh", "dash", "perl", "python", "python3"]
 
 
