@@ -47,7 +47,5 @@ def values(results: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header row; every column is text. Names come from the header line alone."""
-    names = spark.read.text(path).limit(1).first()[0].strip().split(",")
-    schema = T.StructType([T.StructField(n.strip('"') or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header row, whose names may be quoted; every column is text."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
