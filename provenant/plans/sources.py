@@ -105,7 +105,7 @@ def _(t):
     return read("union", "record_id", "kind").unionByName(read("names", "keyid", "label")).unionByName(read("keys", "keyid", "tier"))
 
 
-@query("batch_with_errors", """SELECT seq AS line, CASE predicate WHEN 'signup' THEN 'unknown template' WHEN 'click' THEN 'missing fields why' END AS error FROM claim WHERE predicate IN ('signup','click')""")
+@query("batch_with_errors", """SELECT seq AS line, CASE predicate WHEN 'signup' THEN 'unknown template' ELSE 'missing fields why' END AS error FROM claim WHERE predicate NOT IN ('view','purchase')""")
 def _(t):
     at = folder(t)
     fields = F.when(F.col("predicate") == "view", F.create_map(F.lit("why"), F.col("claim_id"), F.lit("of"), F.lit("b"))).otherwise(F.create_map(F.lit("of"), F.col("seq").cast("string")))
