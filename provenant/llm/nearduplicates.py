@@ -11,8 +11,8 @@ A document is the multiset of its shingles of five words; two documents are link
 2. Equal multisets are one text, represented by the smallest doc_id. ``BANDS`` bands of ``ROWS`` slots are keys; a pair at 0.8
    shares none with a probability of 4e-8, and texts that share one are candidates.
 3. Within a key no pairs are enumerated. In the first round one member is compared with all others; then classes are joined, and
-   keys that hold one class are closed. In later rounds centres are drawn among the members outside a key's largest class and
-   compared with the members of other classes: pair by pair where a key has few members, else in blocks of centres and
+   keys that hold one class are closed. In later rounds centres among the members outside a key's largest class, first a sample
+   in the largest key of each text and then all, are compared with the members of other classes: pair by pair where a key has few members, else in blocks of centres and
    members, which give a spanning forest of what they link. A centre has met all and leaves its key, and a key is closed
    once those left are of one class. Then no link between classes is left untested.
 4. A comparison first looks at 8-bit prints of the slots (six standard errors below the threshold), then counts the
@@ -226,14 +226,19 @@ def _classes_of_texts(given, signed, reps, members, threshold) -> DataFrame:
         held = stored(held.join(mixed, "key").select("key", "node", "label", "n"))
         if held.limit(1).count() == 0:
             return labels
-        drawn = stored(_drawn(held, rounds))
+        met = held
+        if rounds == 1:
+            # a first sample of centres meets each text once, in its largest key, and leaves no key for that
+            most = held.groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
+            met = stored(held.join(most, ["key", "node"]))
+        drawn = stored(_drawn(met, rounds))
         small = F.col("n") <= FEW if rounds else F.lit(True)
-        edges = _pair_by_pair(held.where(small), drawn.where(small), prints, bodies, threshold)
+        edges = _pair_by_pair(met.where(small), drawn.where(small), prints, bodies, threshold)
         if rounds:
-            edges = edges.unionByName(_in_blocks(held.where(~small), drawn.where(~small), bodies, threshold))
+            edges = edges.unionByName(_in_blocks(met.where(~small), drawn.where(~small), bodies, threshold))
         links = stored(links.unionByName(edges))
         labels, rounds = components(links), rounds + 1
-        held = held.join(drawn.selectExpr("key", "centre AS node"), ["key", "node"], "left_anti").select("key", "node", "label")
+        held = (held if rounds == 2 else held.join(drawn.selectExpr("key", "centre AS node"), ["key", "node"], "left_anti")).select("key", "node", "label")
 
 
 def _drawn(held: DataFrame, rounds: int) -> DataFrame:
