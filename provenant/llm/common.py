@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.session import shared_folder
+from provenant.session import app_folder
 
 # A-Z in lower case; every other ASCII byte that is neither a digit nor a-z becomes a blank.
 _WORD_BYTES = bytes(
@@ -23,8 +23,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A folder of its own below the one that driver and executors share."""
-    return f"{shared_folder(spark)}/provenant/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A folder of its own below the one that driver and executors share; it is removed when the program ends."""
+    return f"{app_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

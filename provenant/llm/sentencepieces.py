@@ -135,7 +135,9 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
     name, n = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     (blocks.write.bucketBy(n, "block").option("compression", "zstd").option("path", new_folder(spark))
      .format("parquet").saveAsTable(name))
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files lie in a folder of their own
+    return table
 
 
 def _blocks(shares: int):
