@@ -150,7 +150,8 @@ def learn(docs: DataFrame) -> DataFrame:
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (part != HELD_OUT)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), part.alias("part"))
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")) / F.lit(2.0**64) + 0.5
     wanted = labelled.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("share"))
-    sample = labelled.withColumn("draw", draw).join(wanted, "lang").where("draw < share").select("draw", "lang", "part", "text")
+    # one row per language, as the model that is learned; texts are drawn where they are read
+    sample = labelled.withColumn("draw", draw).join(F.broadcast(wanted), "lang").where("draw < share").select("draw", "lang", "part", "text")
     return sample.repartition(1).mapInArrow(_fit, MODEL)
 
 
