@@ -140,6 +140,28 @@ def test_lines(spark, least):
     assert all(r.text is None or r.text.strip() or not (r.text == "" and r.doc_id == 2004) for r in left.collect())
 
 
+def test_lines_of_blocks(spark):
+    """Every line of a block on many sites goes, also where the first document has no site; copies of a whole text are one text."""
+    strip = "".join(map(chr, range(0x21)))
+    docs = [(i, f"own {i} a\nhead\nmiddle\nfoot\nown {i} b", f"s{i}") for i in range(1, 13)]
+    docs += [(20 + i, f"first\nsecond\nown {i} c", f"s{i}") for i in range(12)] + [(40 + i, f"own {i} d\nlast but one\nlast", f"s{i}") for i in range(12)]
+    docs += [(0, "own e\nhead\nmiddle\nfoot", None)] + [(60 + i, "whole\ncopy", f"s{i}") for i in range(20)] + [(80 + i, f"nine {i}\nnine", f"s{i % 9}") for i in range(30)]
+    docs += [(120, "unsited", None), *[(121 + i, f"x{i}\nunsited", f"s{i}" if i else None) for i in range(10)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    texts = {}
+    for doc, t, site in docs:
+        texts[t] = min(texts.get(t, (True, 2**64, "")), (site is None, doc, site or ""))
+    sites = defaultdict(set)
+    for t, (none, _, site) in texts.items():
+        for x in t.split("\n"):
+            sites[x.strip(strip)] |= set() if none else {site}
+    keeper = {x: min(doc for doc, t, _ in docs if x in t.split("\n")) for x in sites}
+    gone = {x for x in sites if len(sites[x]) >= 10}
+    assert gone == {"head", "middle", "foot", "first", "second", "last but one", "last"}
+    want = {doc: "\n".join(x for x in t.split("\n") if x not in gone or keeper[x] == doc) for doc, t, _ in docs}
+    assert {r.doc_id: r.text for r in ld.clean(df).collect()} == want
+
+
 def brute_windows(docs, n=50):
     words = [(doc, re.findall("[^\x20\x09-\x0d]+", t or "")) for doc, t in docs]
     first = {}
