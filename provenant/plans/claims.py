@@ -7,6 +7,7 @@ from provenant.operators import trust as T
 from provenant.operators import unions as U
 from provenant.operators import view as V
 from provenant.operators.scopes import heads
+from provenant.plans.records import BEHIND, _latest
 from provenant.plans.registry import hash_sum_sql, query
 from provenant.plans.view import LABELS, labels, nodes, view
 
@@ -189,6 +190,13 @@ def _(t):
     return Q.all_sources(t.work_file, out.join(t.work_file.filter("role = 'in'").select("hash"), "hash", "left_anti"))
 
 
+@query("all_sources_of_outputs", f"""WITH RECURSIVE {BEHIND}
+SELECT b.hash, i.hash AS source, min(i.path) AS path FROM (SELECT DISTINCT hash, record_id FROM behind) b JOIN work_file i ON i.record_id=b.record_id AND i.role='in'
+GROUP BY ALL""")
+def _(t):
+    return Q.all_sources(t.work_file, _latest(t))
+
+
 @query("trusted_production", """
 SELECT hash, bool_or(v.record_id IS NOT NULL) AS trusted FROM work_file f LEFT JOIN (SELECT DISTINCT record_id FROM verified) v USING (record_id)
 WHERE role='out' GROUP BY hash""")

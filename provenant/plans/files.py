@@ -13,6 +13,7 @@ from provenant.operators import records as R
 from provenant.operators import trust as T
 from provenant.operators import workflows as W
 from provenant.operators.ordered import asof
+from provenant.plans.records import _latest
 from provenant.plans.registry import query
 from provenant.session import cut
 
@@ -262,6 +263,20 @@ def _(t):
     return CA.reproduction_plan(targets, files, kept, t.work.select(F.col("record_id").alias("call"), F.col("seq").alias("ord"))).distinct()
 
 
+@query("reproduction_plans_of_outputs", f"""WITH {KEPT}, last AS (SELECT o_custkey, max(n) AS n FROM states GROUP BY o_custkey),
+first AS (SELECT l_suppkey, min(l_orderkey) AS o_orderkey FROM lineitem GROUP BY l_suppkey),
+x AS (SELECT 'cust:'||l.o_custkey||':'||l.n AS target, s.o_orderkey FROM last l JOIN states s USING (o_custkey)
+UNION ALL SELECT 'supp:'||l_suppkey, s.o_orderkey FROM first JOIN states f USING (o_orderkey) JOIN states s ON s.o_custkey=f.o_custkey AND s.n<=f.n)
+SELECT target, 'run' AS kind, 'w'||o_orderkey AS item FROM x
+UNION SELECT target, CASE WHEN w.hash IN (SELECT sha FROM kept) THEN 'put' ELSE 'lost' END, w.hash FROM x JOIN work_file w ON w.record_id='w'||o_orderkey AND w.role='in' AND w.hash LIKE 'part:%'""")
+def _(t):
+    """Plans for every last output; a supplier's file is made by the first of its many calls."""
+    files = call_tables(t)
+    kept = files.filter("sha LIKE 'part:%' AND sha NOT LIKE 'part:1%'").select("sha").distinct()
+    targets = _latest(t).withColumnRenamed("hash", "sha")
+    return CA.reproduction_plan(targets, files, kept, t.work.select(F.col("record_id").alias("call"), F.col("seq").alias("ord"))).distinct()
+
+
 @query("reusable_records", """WITH lost AS (SELECT DISTINCT record_id FROM work_file WHERE role='out' AND hash LIKE 'supp:%1')
 SELECT 'c'||o_custkey AS key, 'w'||o_orderkey AS record_id FROM orders WHERE 'w'||o_orderkey IN (SELECT record_id FROM verified) AND o_orderpriority<>'4-NOT SPECIFIED' AND 'w'||o_orderkey NOT IN (SELECT record_id FROM lost)""")
 def _(t):
@@ -306,9 +321,7 @@ def _(t):
 
 @query("executions_behind_endpoints", "SELECT record_id FROM work WHERE record_id IN (SELECT record_id FROM verified)")
 def _(t):
-    out = t.work_file.filter("role = 'out' AND hash LIKE 'cust:%'").select("hash")
-    ends = out.join(t.work_file.filter("role = 'in'").select("hash"), "hash", "left_anti")
-    return W.behind_endpoints(t.work_file, ends, T.verified(t.signature, t.trust_key).select("record_id").distinct())
+    return W.behind_endpoints(t.work_file, _latest(t), T.verified(t.signature, t.trust_key).select("record_id").distinct())
 
 
 @query("reference_runs", "SELECT p_brand AS workflow, 'step '||p_size AS step, 'w'||p_partkey AS record_id FROM part JOIN orders ON o_orderkey=p_partkey")

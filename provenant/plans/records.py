@@ -120,6 +120,20 @@ def _(t):
     return R.lineage(t.work_file, states)
 
 
+LAST = """fin AS (SELECT DISTINCT hash FROM work_file WHERE role='out' AND hash NOT IN (SELECT hash FROM work_file WHERE role='in'))"""
+# Every last output's producers, the producers of their inputs, and so on.
+BEHIND = LAST + """,
+made AS (SELECT DISTINCT hash, record_id FROM work_file WHERE role='out'),
+up AS (SELECT DISTINCT i.record_id AS src, m.record_id AS dst FROM work_file i JOIN made m USING (hash) WHERE i.role='in'),
+behind AS (SELECT hash, record_id, CAST(0 AS BIGINT) AS depth FROM fin JOIN made USING (hash)
+  UNION ALL SELECT b.hash, up.dst, b.depth+1 FROM behind b JOIN up ON up.src=b.record_id)"""
+
+
+@query("lineage_of_last_outputs", f"WITH RECURSIVE {BEHIND} SELECT hash, record_id, min(depth) AS depth FROM behind GROUP BY ALL")
+def _(t):
+    return R.lineage(t.work_file, _latest(t))
+
+
 @query("pedigree_three_hops", """
 WITH prod AS (SELECT DISTINCT hash, record_id FROM work_file WHERE role='out'),
 e AS (SELECT DISTINCT i.record_id AS src, p.record_id AS dst FROM work_file i JOIN prod p ON i.hash=p.hash WHERE i.role='in'),
@@ -136,6 +150,20 @@ def _(t):
     return R.pedigree(t.work_file, heads, hops=3)
 
 
+@query("pedigree_of_last_outputs", f"""
+WITH {LAST}, prod AS (SELECT DISTINCT record_id, hash FROM work_file WHERE role='out'),
+e AS (SELECT DISTINCT i.record_id AS src, p.record_id AS dst FROM work_file i JOIN prod p ON i.hash=p.hash WHERE i.role='in'),
+w0 AS (SELECT DISTINCT record_id AS root, record_id FROM prod JOIN fin USING (hash)),
+w1 AS (SELECT DISTINCT root, dst AS record_id FROM w0 JOIN e ON src=record_id),
+w2 AS (SELECT DISTINCT root, dst AS record_id FROM w1 JOIN e ON src=record_id),
+w3 AS (SELECT DISTINCT root, dst AS record_id FROM w2 JOIN e ON src=record_id)
+SELECT root, record_id, min(level) AS level FROM (SELECT *, CAST(0 AS BIGINT) AS level FROM w0 UNION ALL
+  SELECT *, 1 FROM w1 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 3 FROM w3) GROUP BY ALL""")
+def _(t):
+    heads = R.producers(t.work_file, _latest(t)).select("record_id").distinct()
+    return R.pedigree(t.work_file, heads, hops=3)
+
+
 @query("uses_one_hop", """
 SELECT DISTINCT o.record_id AS root, i.record_id AS record_id
 FROM work_file o JOIN work_file i ON o.hash=i.hash AND o.role='out' AND i.role='in' WHERE o.record_id<>i.record_id""")
@@ -212,8 +240,7 @@ WITH r AS (SELECT record_id, arg_min(keyid,pos) AS keyid, arg_min(tier,pos) AS t
 SELECT w.record_id, n-1 AS level, kind, cmd, keyid, tier FROM work w JOIN states ON record_id='w'||o_orderkey
 LEFT JOIN r USING (record_id)""")
 def _(t):
-    states = _latest(t).filter(F.col("hash").startswith("cust:"))
-    return R.workflow_trace(t.work, t.work_file, t.signature, t.trust_key, states)
+    return R.workflow_trace(t.work, t.work_file, t.signature, t.trust_key, _latest(t))
 
 
 @query("source_status", """
@@ -282,10 +309,18 @@ def _(t):
 WITH mine AS (SELECT DISTINCT record_id FROM work_file JOIN work USING (record_id) WHERE role='out' AND environment='env-o')
 SELECT 'w'||o_orderkey AS record_id FROM states WHERE 'w'||o_orderkey NOT IN (SELECT record_id FROM mine)""")
 def _(t):
-    states = _latest(t).filter(F.col("hash").startswith("cust:"))
+    # Steps recorded here wrote customer states.
     outs = t.work_file.filter("role = 'out' AND hash LIKE 'cust:%'").join(
         t.work.filter("environment = 'env-o'").select("record_id"), "record_id", "left_semi")
-    return R.published_upstream(t.work_file, states, outs)
+    return R.published_upstream(t.work_file, _latest(t), outs)
+
+
+@query("published_upstream_of_outputs", """
+WITH mine AS (SELECT DISTINCT hash FROM work_file JOIN work USING (record_id) WHERE role='out' AND environment='env-o')
+SELECT record_id FROM work WHERE record_id NOT IN (SELECT record_id FROM work_file WHERE role='out' AND hash IN (SELECT hash FROM mine))""")
+def _(t):
+    outs = t.work_file.filter("role = 'out'").join(t.work.filter("environment = 'env-o'").select("record_id"), "record_id", "left_semi")
+    return R.published_upstream(t.work_file, _latest(t), outs)
 
 
 @query("reproduced_outputs", """
