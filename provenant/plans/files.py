@@ -7,14 +7,17 @@ file edited by hand.
 
 from pyspark.sql import functions as F
 
+from provenant.functions.terms import field_of
 from provenant.operators import calls as CA
 from provenant.operators import files as X
+from provenant.operators import links as L
 from provenant.operators import records as R
 from provenant.operators import trust as T
 from provenant.operators import workflows as W
 from provenant.operators.ordered import asof
 from provenant.plans.records import _latest
 from provenant.plans.registry import query
+from provenant.plans.traces import USES, variables
 from provenant.session import cut
 
 STEPS = """steps AS (SELECT event_id AS step, 's'||user_id AS session, epoch_us(ts) AS "end", event_type, k, value FROM trace_source WHERE event_type IN ('purchase','click','view')),
@@ -107,6 +110,23 @@ def _(t):
     return X.verdicts(recipe, X.recipe_sources(recipe, s.inputs), none, steps)
 
 
+@query("recipe_verdicts_with_variables", f"""WITH RECURSIVE {RECIPES},
+df AS (SELECT session, k, step FROM steps WHERE event_type='purchase'),
+us AS (SELECT u.step, d.step AS def_step FROM (SELECT session, k, step FROM steps WHERE event_type='click') u ASOF JOIN df d ON u.session=d.session AND u.k=d.k AND u.step>d.step),
+nd AS (SELECT DISTINCT rec.target FROM rec JOIN steps s USING (step) JOIN us USING (step) JOIN steps d ON d.step=us.def_step WHERE s.value>=3 AND d.value<3),
+h AS (SELECT target, bool_or(status='changed-outside') AS hand FROM rec JOIN inp USING (step) WHERE from_step IS NULL GROUP BY target),
+i AS (SELECT target, count(*) FILTER (value<3) AS interactive FROM rec JOIN steps USING (step) GROUP BY target)
+SELECT target, interactive, CASE WHEN interactive>0 THEN 'interactive' WHEN target IN (SELECT target FROM nd) THEN 'scripts-need-session' WHEN coalesce(hand,false) THEN 'scripts-with-gaps' ELSE 'scripts' END AS verdict FROM i LEFT JOIN h USING (target)""")
+def _(t):
+    """As before; a click is code that uses the variable its session's last purchase of the same key defined."""
+    s = Steps(t)
+    recipe = cut(s.recipes())
+    steps = s.steps.withColumn("script", F.when(F.col("value") >= 3, F.concat(F.lit("/proj/step"), "k", F.lit(".R"))))
+    of = lambda kind: s.steps.filter(F.col("event_type") == kind).select("session", F.col("step").alias("task_no"), F.concat(F.lit("x"), "k").alias("name"))
+    uses = L.variable_uses(of("click"), of("purchase")).select(F.col("task_no").alias("step"), F.col("def_task").alias("def_step"))
+    return X.verdicts(recipe, X.recipe_sources(recipe, s.inputs), uses, steps)
+
+
 @query("recipe_gaps", f"""WITH RECURSIVE {RECIPES},
 g AS (SELECT target, path||' was changed by hand' AS gap, 1 AS n FROM (SELECT DISTINCT target, path, sha FROM rec JOIN inp USING (step) WHERE status='changed-outside')
 UNION ALL SELECT target, 'ended with an error', 1 FROM rec JOIN steps USING (step) WHERE value>100)
@@ -120,6 +140,20 @@ def _(t):
     return X.gaps(recipe, X.recipe_sources(recipe, s.inputs), net, none.select("step", F.lit("").alias("program")), steps)
 
 
+@query("recipe_gaps_with_network", f"""WITH RECURSIVE {RECIPES},
+g AS (SELECT target, path||' was changed by hand' AS gap, 1 AS n FROM (SELECT DISTINCT target, path, sha FROM rec JOIN inp USING (step) WHERE status='changed-outside')
+UNION ALL SELECT target, 'network access to inet:10.0.0.'||k||':443', 1 FROM rec JOIN steps USING (step) WHERE event_type='click' AND value<5
+UNION ALL SELECT target, 'ended with an error', 1 FROM rec JOIN steps USING (step) WHERE value>100)
+SELECT target, gap, count(*) AS times FROM g GROUP BY ALL""")
+def _(t):
+    """As before, with the remote connects of the trace; the trace has no spawns, so no program in it is unrecorded."""
+    s = Steps(t)
+    recipe = cut(s.recipes())
+    steps = s.steps.withColumn("status", F.when(F.col("value") > 100, "err").otherwise("ok")).withColumn("code", F.lit("run()"))
+    net = t.trace_event.filter("op = 'connect'").select(F.floor(F.col("ord") / 2).alias("step"), field_of("extra", "class").alias("class"), F.col("path").alias("address"))
+    return X.gaps(recipe, X.recipe_sources(recipe, s.inputs), net, s.steps.limit(0).select("step", F.lit("").alias("program")), steps)
+
+
 @query("stories", f"""WITH RECURSIVE {STEPS},
 e2 AS (SELECT DISTINCT step AS src, w AS dst FROM inp WHERE w IS NOT NULL),
 rec AS (SELECT step AS target, step, CAST(0 AS BIGINT) AS depth FROM outp UNION ALL SELECT r.target, e.dst, r.depth+1 FROM rec r JOIN e2 e ON e.src=r.step)
@@ -221,6 +255,16 @@ def _(t):
     return X.expired(last, 1706500000000000, last.filter("session LIKE '%7'"), none, none)
 
 
+@query("expired_sessions_of_projects", f"""WITH {STEPS}, l AS (SELECT session, max("end") AS last FROM steps GROUP BY session)
+SELECT session FROM l WHERE last<1706500000000000 AND session NOT LIKE '%7' AND session NOT LIKE '%3' AND session NOT LIKE '%4_'""")
+def _(t):
+    """Sessions in 7 are kept, sessions in 3 are noted; a session's last digit but one names its project, of which 4 is kept."""
+    last = Steps(t).steps.groupBy("session").agg(F.max("end").alias("last")).withColumn("project", F.concat(F.lit("/proj/"), F.expr("substring(substring(session, 2), -2, 1)")))
+    last = last.withColumn("project", F.when(F.length("session") > 2, F.col("project")).otherwise("/proj"))
+    kept = last.select("project").distinct().filter("project = '/proj/4'")
+    return X.expired(last, 1706500000000000, last.filter("session LIKE '%7'"), last.filter("session LIKE '%3'"), kept)
+
+
 @query("evicted_files", """WITH d AS (SELECT sha256(text) AS sha, min(doc_id) AS u, min(n_chars) AS size FROM documents GROUP BY 1),
 r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY u, sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM d)
 SELECT sha, size FROM r WHERE b<(SELECT sum(size) FROM d)-500000""")
@@ -339,6 +383,19 @@ def _(t):
     return W.draft(ins, s.outputs, ins.limit(0).select("step", "path", "sha"))
 
 
+@query("draft_with_objects", f"""WITH {STEPS}, {USES},
+u AS (SELECT u.task_no AS step, d.name FROM use u ASOF JOIN def d ON u.session=d.session AND u.name=d.name AND u.task_no>d.task_no)
+SELECT step, 'in' AS role, path, sha, true AS selected, CASE WHEN status='changed-outside' THEN 'changed by hand before it was read' END AS note FROM inp
+UNION ALL SELECT step, 'out', path, sha, true, NULL FROM outp
+UNION ALL SELECT step, 'in', '/in/'||substr(name, 2), 'h', true, 'read by an earlier step whose object it uses' FROM u""")
+def _(t):
+    s = Steps(t)
+    define, code = variables(t)
+    read = define.select("session", "task_no", F.concat(F.lit("/in/"), F.expr("substring(name, 2)")).alias("path"), F.lit("h").alias("sha"))
+    reached = L.via_objects(L.variable_uses(L.names_used(code), define), read).select(F.col("task_no").alias("step"), "path", "sha")
+    return W.draft(s.inputs.withColumn("class", F.lit("project")), s.outputs, reached)
+
+
 @query("own_files_known", "SELECT DISTINCT path, sha FROM manifest WHERE sha IN (SELECT sha256(text) FROM documents WHERE lang='en')")
 def _(t):
     mine = t.manifest.filter("lang = 'en'").select("sha")

@@ -189,6 +189,18 @@ def _(t):
     return L.attach_origins(views, tasks, none).select("event_id", "task_no")
 
 
+@query("executions_by_file")
+def _(t):
+    """Views are console runs of their key's file; a task sourced the files its commands named. Greedy matching has no SQL."""
+    events = cut(K.numbered_events(t.trace_event))
+    tasks = cut(K.task_rows(events))
+    views = t.base("events").filter("event_type = 'view'").select(
+        F.concat(F.lit("s"), "user_id").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts"),
+        F.concat(F.lit("/proj/"), F.get_json_object("props", "$.k"), F.lit(".csv")).alias("file"), "event_id")
+    ran = events.filter("op = 'exec'").select("session", "task_no", F.element_at(F.split("extra", " -i "), -1).alias("path"))
+    return L.attach_origins(views, tasks, ran).select("event_id", "task_no")
+
+
 USES = """def AS (SELECT DISTINCT 's'||user_id AS session, 'x'||k AS name, event_id AS task_no FROM trace_source WHERE event_type='purchase'),
 use AS (SELECT DISTINCT 's'||user_id AS session, 'x'||k AS name, event_id AS task_no FROM trace_source WHERE event_type='view')"""
 
@@ -284,4 +296,4 @@ def _(t):
     from provenant.sources.store import pending
     seen = t.trace_event.filter("op IN ('open', 'closew')").select("path", F.nullif(field_of("extra", "sha256"), F.lit("")).alias("sha"), "op")
     kept = seen.filter("op = 'closew'").select("sha")
-    return pending(seen.select("path", "sha"), seen.limit(0).select("path", "sha"), kept).select("sha")
+    return pending(seen.select("path", "sha"), calls(t)[1].select("path", "sha"), kept).select("sha")
