@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from provenant.llm import archives, decontamination, languages, linededup, nearduplicates, neighbours, sentencepieces, substrings, tokencounts, toxicity
+from provenant.llm import archives, decontamination, hardnegatives, languages, linededup, nearduplicates, neighbours, scaled, sentencepieces, spellings, substrings
+from provenant.llm import tokencounts, topk, toxicity
 from provenant.llm.common import table
 
 # Where the vocabulary files lie; only the driver reads them.
@@ -63,5 +64,21 @@ def op10_toxicity(spark, folder):
     return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_near_duplicates, op4_sentencepiece, op5_token_counts, op6_language_id, op7_substring_dedup, op8_warc, op9_nearest_neighbours, op10_toxicity)}
-SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL, "op7_substring_dedup": substrings.SQL, "op8_warc": archives.SQL}
+def op11_topk(spark, folder):
+    return topk.best(scaled.usable(table(spark, folder, "embeddings")))
+
+
+def op12_spellings(spark, folder):
+    found = spellings.runs(table(spark, folder, "documents")).select(spellings.damaged(F.col("run"), F.col("doc_id")).alias("word"))
+    return spellings.forms(spellings.vocabulary(found))
+
+
+def op13_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(scaled.usable(table(spark, folder, "embeddings"), keep={"label": label}).where("label IS NOT NULL"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_near_duplicates, op4_sentencepiece, op5_token_counts, op6_language_id, op7_substring_dedup, op8_warc, op9_nearest_neighbours, op10_toxicity,
+           op11_topk, op12_spellings, op13_hard_negatives)}
+SQL = {"op1_decontamination": decontamination.SQL, "op2_line_dedup": linededup.SQL, "op7_substring_dedup": substrings.SQL, "op8_warc": archives.SQL,
+       "op11_topk": topk.SQL, "op12_spellings": spellings.SQL, "op13_hard_negatives": hardnegatives.SQL}
