@@ -1,12 +1,12 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
-1. Equal vectors are one entry with its smallest ids, one more than wanted. Entries lie in blocks by their hash; for each dimension a
-   block has one list of (component, entry) in order of the component: the table of lists.
+1. Equal vectors are one entry with its smallest ids, one more than wanted. Entries lie in blocks by their hash, numbered by their
+   smallest id; for each dimension a block has one list of (component, entry) in order of the component: the table of lists.
 2. A query reads the lists of a block from the end at which its own component makes the products greatest, all in equal steps,
    and never looks an entry up. What it has read of an entry gives the entry bounds: what is unread adds at most the products at
-   the places reached, and at most and at least plus or minus the length of the unread part (lists carry the squared length with the entry)
-   times the length of the query's part.
-3. An entry whose upper bound is below the k-th best lower bound is an outsider. Reading ends when all but ``LEFT`` entries of the block,
+   the places reached, and at least minus the length of the unread part (lists carry the squared length with the entry)
+   times the length of the query's part. Many queries read the lists of a block together.
+3. An entry whose upper bound is below the k-th best lower bound, or below the floor of step 5, is an outsider. Reading ends when all but ``LEFT`` entries of the block,
    the unseen ones included, are outsiders, or at the end of the lists.
 4. The entries left over get their final scores by one join with the vectors.
 5. Blocks are taken in passes, each of ``GROWTH`` times as many blocks as all before; a pass starts with the k-th best final score of those
@@ -44,7 +44,7 @@ def entries_of(vectors: DataFrame, wanted: int = WANTED) -> DataFrame:
     merged = stored(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     blocks = -(-merged.count() // BLOCK)
     placed = merged.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(max(1, blocks))))
-    return stored(placed.withColumn("entry", F.row_number().over(Window.partitionBy("block").orderBy("v")) - 1))
+    return stored(placed.withColumn("entry", F.row_number().over(Window.partitionBy("block").orderBy(F.col("ids")[0], "v")) - 1))
 
 
 def sorted_lists(entries: DataFrame) -> DataFrame:
@@ -65,69 +65,71 @@ def sorted_lists(entries: DataFrame) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of one block, to be read from either end."""
+    """The sorted lists of one block, read in equal steps from both ends for a group of queries at once."""
 
     def __init__(self, components: np.ndarray, members: np.ndarray, masses: np.ndarray):
-        d, self.rows = components.shape
-        self.dims = d
-        both = lambda a: np.ascontiguousarray(np.stack([a, a[:, ::-1]]))
-        self.components, self.members, self.masses = both(components.astype(np.float64)), both(members.astype(np.int64)), both(masses)
-        self.cells = self.members * d + np.arange(d)[None, :, None]
-        self.heaviest = float(masses.max(initial=0.0))
-
-    def left_over(self, query: np.ndarray, wanted: int, floor: float, left: int = LEFT) -> tuple[np.ndarray, int]:
-        """Entries that may be among the ``wanted`` best and reach ``floor``, and how deep the lists were read."""
-        dims = np.flatnonzero(query)
-        n, step = self.rows, max(1, -(-self.rows // STEPS))
-        q = query.astype(np.float64)
-        if not len(dims):
-            return np.arange(n), 0
-        ends = (q > 0).astype(np.int64)[dims]
-        squares, weights = q * q, q[dims][:, None]
-        unread = np.ones((n, self.dims), np.float32)
-        flat, got, mass, length = unread.reshape(-1), np.zeros(n), np.zeros(n), np.full(n, self.heaviest)
-        # float sums of whole numbers: a bound may be off by rounding, never by more than this
-        slack = 1.0 + 1e-4 * float(np.sqrt(squares.sum() * self.heaviest))
+        self.dims, self.rows = components.shape
+        self.components, self.members, self.masses = components.astype(np.float32), members.astype(np.int64), masses
+
+    def left_over(self, queries: np.ndarray, wanted: int, floors: np.ndarray, left: int = LEFT):
+        """For each query its number, the entries that may be among the ``wanted`` best and reach its floor, and how deep it read.
+
+        ``top`` and ``bottom`` hold what has been read from either end, with zeros for the rest, and ``above`` and ``below`` mark what has not. A query reads
+        the top of a list where its component is positive, the bottom where it is negative, and no list where it is zero.
+        """
+        n, step, where = self.rows, max(1, -(-self.rows // STEPS)), np.arange(self.dims)[:, None]
+        top, bottom = np.zeros((n, self.dims), np.float32), np.zeros((n, self.dims), np.float32)
+        above, below = np.ones((n, self.dims), np.float32), np.ones((n, self.dims), np.float32)
+        length = np.full(n, self.masses.max(initial=0.0))
+        up, down, floors = np.maximum(queries, 0).astype(np.float32), np.minimum(queries, 0).astype(np.float32), floors.astype(np.float64)
+        # bounds are sums of rounded products; they are never off by more than this
+        slack = (1.0 + 1e-4 * np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1) * self.masses.max(initial=0.0)))[:, None]
+        asking = np.arange(len(queries))
         for start in range(0, n, step):
             stop = min(n, start + step)
-            x, who = self.components[ends, dims, start:stop], self.members[ends, dims, start:stop].ravel()
-            flat[self.cells[ends, dims, start:stop].ravel()] = 0
-            got += np.bincount(who, (x * weights).ravel(), n)
-            mass += np.bincount(who, (x * x).ravel(), n)
-            length[who] = self.masses[ends, dims, start:stop].ravel()
-            reached = np.zeros(self.dims)
-            reached[dims] = x[:, -1] * q[dims]
-            rest = np.sqrt(np.maximum(length - mass, 0.0) * np.maximum(unread @ squares.astype(np.float32), 0.0))
-            if stop == n:
-                rest[:] = 0.0
-            low = got - rest
-            floor_here = floor
-            if n > wanted:
+            for read, unread, reads in ((top, above, slice(n - stop, n - start)), (bottom, below, slice(start, stop))):
+                who = self.members[:, reads]
+                read[who, where], unread[who, where] = self.components[:, reads], 0
+                length[who] = self.masses[:, reads]
+            u, d = up[asking], down[asking]
+            got = u @ top.T + d @ bottom.T
+            floor = floors[asking, None]
+            if n > wanted and np.isneginf(floor).any():
+                # what is unread of an entry has the rest of its length, and adds at least minus that times the query's length there
+                rest = length - ((u > 0).astype(np.float32) @ np.square(top).T + (d < 0).astype(np.float32) @ np.square(bottom).T)
+                share = np.square(u) @ above.T + np.square(d) @ below.T
+                low = got - np.sqrt(np.maximum(rest, 0.0) * np.maximum(share, 0.0))
                 # one more than wanted, as one of them may be the query itself
-                floor_here = max(floor, float(np.partition(low, n - wanted - 1)[n - wanted - 1]))
-            ahead = unread @ reached.astype(np.float32) if stop < n else 0.0
-            inside = np.flatnonzero(got + np.minimum(ahead, rest) + slack >= floor_here - slack)
-            if len(inside) <= left or stop == n:
-                return inside, stop
-        raise AssertionError("lists end")
+                floor = np.maximum(floor, np.partition(low, n - wanted - 1, axis=1)[:, [n - wanted - 1]] - slack[asking])
+            ahead = (u * self.components[:, n - stop]) @ above.T + (d * self.components[:, stop - 1]) @ below.T
+            inside = got + ahead + slack[asking] >= floor
+            ended = np.flatnonzero((inside.sum(axis=1) <= left) | (stop == n))
+            for i in ended:
+                found = np.flatnonzero(inside[i])
+                if stop == n and len(found) > wanted + 1:
+                    # all is read, so scores are known and ties are decided: entries are numbered by their smallest id
+                    scores = top[found].astype(np.int64) @ queries[asking[i]].astype(np.int64)
+                    found = np.sort(found[np.lexsort((found, -scores))[: wanted + 1]])
+                yield int(asking[i]), found, stop
+            asking = np.delete(asking, ended)
+            if not len(asking):
+                return
 
 
 def _search(given: pa.Table, asked: pa.Table, wanted: int) -> pa.Table:
-    who, where, depth = [], [], []
+    who, where, depth, b = [], [], [], 0
     if given.num_rows and asked.num_rows:
-        given = given.sort_by("dim")
+        given, b = given.sort_by("dim"), given["block"][0].as_py()
         block = Lists(matrix(given["components"]), matrix(given["members"]), matrix(given["masses"]))
-        for number, query, floor in zip(asked["query"].to_pylist(), matrix(asked["qv"]), asked["floor"].to_pylist(), strict=True):
-            inside, stop = block.left_over(query, wanted, -np.inf if floor is None else float(floor))
-            who.append(np.full(len(inside), number, np.int64))
-            where.append(inside.astype(np.int32))
+        numbers = asked["query"].to_numpy()
+        floors = np.array([-np.inf if f is None else float(f) for f in asked["floor"].to_pylist()])
+        for i, inside, stop in block.left_over(matrix(asked["qv"]), wanted, floors):
+            who.append(np.full(len(inside), numbers[i]))
+            where.append(inside)
             depth.append(np.full(len(inside), stop / block.rows))
-        b = given["block"][0].as_py()
-    else:
-        b = None
-    join = lambda a, t: pa.array(np.concatenate(a), t) if a else pa.array([], t)
+    join = lambda a, t: pa.array(np.concatenate(a) if a else [], t)
     who = join(who, pa.int64())
-    return pa.Table.from_arrays([who, pa.array([b] * len(who), pa.int64()), join(where, pa.int32()), join(depth, pa.float64())], ["query", "block", "entry", "depth"])
+    return pa.Table.from_arrays([who, pa.array(np.full(len(who), b), pa.int64()), join(where, pa.int32()), join(depth, pa.float64())], ["query", "block", "entry", "depth"])
 
 
 def _product(a, b):
