@@ -46,10 +46,41 @@ REMEMBERED = 400_000
 RIDGE = 1.0
 
 _word = re.compile(r"\w+")
-_quoted = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|„[^“\n]{1,400}“|«[^»\n]{1,400}»|»[^«\n]{1,400}«')
+_mark = re.compile('["“”„«»]')
+# Which marks close what a mark opens.
+_CLOSED_BY = {"“": "”", "„": "“”", "«": "»", "»": "«"}
 FEATURES = 6
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Stretches in quotation marks, in order and apart from each other, of any length and over any number of lines.
+
+    Marks of each kind are paired by themselves in one pass; marks that find no partner mean nothing. A straight mark opens only before
+    what is no blank and not after a letter or digit, and closes only after what is no blank and not before a letter or digit.
+    """
+    opened: dict[str, int] = {}
+    spans = []
+    for m in _mark.finditer(text):
+        c, i = m[0], m.start()
+        before, after = text[i - 1 : i], text[i + 1 : i + 2]
+        if c == '"':
+            closes = before and not before.isspace() and not after.isalnum()
+            partner = c if closes and opened.get(c, i) < i - 1 else None
+        else:
+            partner = max((o for o, closing in _CLOSED_BY.items() if c in closing and opened.get(o, i) < i - 1), key=opened.__getitem__, default=None)
+        if partner:
+            spans.append((opened.pop(partner), i + 1))
+        elif c in _CLOSED_BY or c == '"' and after and not after.isspace() and not before.isalnum():
+            opened[c] = i
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def edits(length: int) -> int:
     """Edits allowed in a term of so many letters."""
     return 0 if length < 4 else 1 if length < 9 else 2
@@ -149,7 +180,7 @@ class Reader:
             return [], len(found)
         places = [i for i, w in enumerate(found) if w in near]
         lower = text.lower()
-        spans = [m.span() for m in _quoted.finditer(lower)]
+        spans = quotations(lower)
         at, edge = [m.start() for m in _word.finditer(lower)], 0
         out = []
         for i in places:
