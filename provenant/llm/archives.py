@@ -39,6 +39,8 @@ from provenant.llm.common import new_folder, rows, stored
 LEAST = 100
 LINES = 500
 ARCHIVE_BYTES = 512 << 20
+# Payload bytes that a reading task hands on at once.
+READ_BYTES = 32 << 20
 
 NOTE = "key string, page_id long, archive string, start long, length long"
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -63,10 +65,10 @@ def _page(identity: str) -> int | None:
     return int(n) if (n := identity.strip("<>").rpartition(":")[2]) else None
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, date: str) -> bytes:
-    """One record as a gzip member. ``first`` is the page that a revisit refers to."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if first is not None else http + payload
+def record(page: int | None, url: str | None, payload: bytes, size: int, digest: str, first: int | None, date: str) -> bytes:
+    """One record as a gzip member. ``first`` is the page that a revisit refers to; its payload of ``size`` bytes is not given."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {_identity(page)}", f"WARC-Date: {date}",
              f"WARC-Target-URI: {quote(url or '', safe=_URI)}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     if first is not None:
@@ -93,15 +95,21 @@ def parse(member: bytes) -> dict:
 
 
 def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """``page_id, url, payload, digest, first`` of ``pages(page_id, url, html)``."""
+    """``page_id, url, payload, size, digest, first`` of ``pages(page_id, url, html)``; the payload of a revisit is empty."""
     given = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     hashed = given.withColumn("digest", F.sha2("payload", 256))
     firsts = (
         hashed.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1 AND first IS NOT NULL").select("digest", "first")
     )
-    first = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    return hashed.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", first.alias("first"))
+    # decided on ids and digests; payloads meet the decisions by page, so the copies of one payload spread over tasks
+    revisits = (
+        hashed.select("page_id", "digest").distinct().join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+        .select(F.col("page_id").alias("page"), F.col("digest").alias("same"), "first")
+    )
+    joined = hashed.join(revisits, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("same")), "left")
+    return joined.select("page_id", "url", F.when(F.col("first").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
+                         F.octet_length("payload").cast("long").alias("size"), "digest", "first")
 
 
 def write(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> DataFrame:
@@ -115,13 +123,13 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> Da
         stream, name, at = None, None, 0
         for batch in batches:
             notes = []
-            for page, url, payload, digest, first in rows([batch], "page_id", "url", "payload", "digest", "first"):
+            for page, url, payload, size, digest, first in rows([batch], "page_id", "url", "payload", "size", "digest", "first"):
                 if stream is None or at >= ARCHIVE_BYTES:
                     if stream is not None:
                         stream.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     stream = system.open_output_stream(f"{top}/{name}", compression=None)
-                data = record(page, url, payload, digest, first, date)
+                data = record(page, url, payload, size, digest, first, date)
                 stream.write(data)
                 notes.append((url_key(url), page, name, at, len(data)))
                 at += len(data)
@@ -254,7 +262,13 @@ def read(located: DataFrame) -> DataFrame:
     def records(batches):
         opened = functools.lru_cache(4)(lambda path: (lambda system, name: system.open_input_file(name))(*_file_system(path)))
         for batch in batches:
-            out = [parse(opened(archive).read_at(length, start)) for archive, start, length in rows([batch], "archive", "start", "length")]
+            out, held = [], 0
+            for archive, start, length in rows([batch], "archive", "start", "length"):
+                out.append(parse(opened(archive).read_at(length, start)))
+                held += len(out[-1]["payload"] or b"")
+                if held >= READ_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, _RECORD)
+                    out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, _RECORD)
 
     parts = int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))
