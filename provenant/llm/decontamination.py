@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` turns the texts into segments of about ``SEGMENT_WORDS`` words. A segment has one row per term with the
+``build_index`` turns the texts into segments of about ``SEGMENT_WORDS`` words or of ``SEGMENT_DOCS`` documents. A segment has one row per term with the
 term's positions (as gaps) and one row, whose term is null, with its documents and their lengths. No shuffle is
 needed to build it and a document never spans segments. ``matches`` joins the terms of the searched phrases with the
 index, ranks the terms of each phrase by the number of postings, sends a phrase only to segments that hold its rarest
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from provenant.llm.common import Codes, code_array, list_column, lists, rows, stored, without, words
 
 SEGMENT_WORDS = 2_000_000
+# Documents without words fill a segment too: each takes ``GAP`` positions, and positions must stay below 2 ** 31.
+SEGMENT_DOCS = 500_000
 # Unused positions between documents: no phrase or span of up to so many words crosses a boundary.
 GAP = 1024
 WINDOW = 10
@@ -43,7 +45,7 @@ def _segments(batches):
         docs.append(doc_id)
         parts.append(code_array(vocabulary, found))
         held += len(found)
-        if held >= SEGMENT_WORDS:
+        if held >= SEGMENT_WORDS or len(docs) >= SEGMENT_DOCS:
             yield _segment((part << 32) + number, vocabulary, docs, parts)
             vocabulary, docs, parts, held, number = Codes(), [], [], 0, number + 1
     if docs:

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from provenant.llm import archives, decontamination, hardnegatives, languages, linededup, nearduplicates, neighbours, scaled, sentencepieces, spellings, substrings
 from provenant.llm import tokencounts, topk, toxicity
 from provenant.llm.common import table
 
-# Where the vocabulary files lie; only the driver reads them.
-TOKENIZERS = os.environ.get("PROVENANT_TOKENIZERS", "/opt/tokenizers")
 MAX_TOKENS = 1024
 
 
 def tokenizer_file(name: str) -> Path:
-    return Path(TOKENIZERS) / name
+    """Where a vocabulary file lies; only the driver reads it."""
+    return Path(public_tokenizers.path(name))
 
 
 def op1_decontamination(spark, folder):

@@ -33,8 +33,13 @@ from pyspark.sql import functions as F
 from provenant.llm.common import Codes, code_array, list_column, new_folder, rows
 
 MARK = "▁"
+# A block is full at so many chunks, letters or documents, whichever comes first.
 BLOCK_CHUNKS = 1_500_000
+BLOCK_LETTERS = 64 << 20
+BLOCK_DOCS = 200_000
+# Documents, and letters of their texts, that are handed on at once.
 ROWS_AT_ONCE = 500
+LETTERS_AT_ONCE = 32 << 20
 # A task keeps the ids of the distinct chunks of one share at a time.
 SHARES_A_PARTITION = 4
 
@@ -143,14 +148,15 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
 def _blocks(shares: int):
     def blocks(batches):
         number = TaskContext.get().partitionId() << 32
-        vocabulary, docs, parts, held = Codes(), [], [], 0
+        vocabulary, docs, parts, held, letters = Codes(), [], [], 0, 0
         for doc_id, text in rows(batches, "doc_id", "text"):
             docs.append(doc_id)
             parts.append(code_array(vocabulary, chunks_of(text)))
             held += len(parts[-1])
-            if held >= BLOCK_CHUNKS:
+            letters += len(text or "")
+            if held >= BLOCK_CHUNKS or letters >= BLOCK_LETTERS or len(docs) >= BLOCK_DOCS:
                 yield _block(number, vocabulary, docs, parts, shares)
-                vocabulary, docs, parts, held, number = Codes(), [], [], 0, number + 1
+                vocabulary, docs, parts, held, letters, number = Codes(), [], [], 0, 0, number + 1
         if docs:
             yield _block(number, vocabulary, docs, parts, shares)
 
@@ -196,8 +202,11 @@ def _joined(blocks: pa.Table, table: pa.Table) -> pa.Table:
     by_rank = np.argsort(ranks)
     sizes, first, chunks = sizes[by_rank], first[by_rank], [chunks[i] for i in by_rank]
     bounds, batches = np.concatenate([[0], np.cumsum(counts)]), []
-    for a in range(0, len(docs), ROWS_AT_ONCE):
-        b = min(a + ROWS_AT_ONCE, len(docs))
+    written = np.concatenate([[0], np.cumsum(np.array([len(c) for c in chunks], np.int64)[codes])])[bounds]
+    a = 0
+    while a < len(docs):
+        # one document at least, else no more letters than a column of texts can hold
+        b = max(a + 1, min(a + ROWS_AT_ONCE, len(docs), int(np.searchsorted(written, written[a] + LETTERS_AT_ONCE, side="right")) - 1))
         here = codes[bounds[a] : bounds[b]]
         n = sizes[here]
         ends = np.cumsum(n)
@@ -208,6 +217,7 @@ def _joined(blocks: pa.Table, table: pa.Table) -> pa.Table:
         batches.append(pa.RecordBatch.from_arrays(
             [pa.array(docs[a:b], pa.int64()), list_column(ids, np.diff(edges), pa.int32()), pa.array(texts, pa.string())],
             ["doc_id", "ids", "decoded"]))
+        a = b
     return pa.Table.from_batches(batches)
 
 

@@ -55,9 +55,22 @@ def test_archives_are_plain_gzip_and_the_index_finds_ties_over_blocks(spark, mon
         assert gzip.decompress(system.open_input_file(path).read()).startswith(b"WARC/1.1\r\n")
 
 
+def test_large_records_are_read_in_small_batches(spark):
+    """More payload than one batch could hold for a worker: 9,000 pages of 260 kB."""
+    df = spark.range(0, 9000, 1, 8).selectExpr("id AS page_id", "'http://h.example/' || id AS url", "repeat(md5(cast(id AS string)), 8125) AS html")
+    found = ar.digest(ar.round_trip(df)).selectExpr("count(*) AS n", "sum(payload_bytes) AS b", "count(DISTINCT payload_digest) AS d", "min(record_type) AS t").first()
+    assert tuple(found) == (9000, 9000 * 260_000, 9000, "response")
+
+
+def test_revisits_carry_no_payload(spark):
+    planned = {r.page_id: r for r in ar.plan(spark.createDataFrame([(i, "u", "p" * 200, "") for i in range(5)] + [(9, "u", "p" * 99, ""), (10, "u", "p" * 99, "")], SCHEMA)).collect()}
+    assert {i: len(r.payload) for i, r in planned.items()} == {0: 200, 1: 0, 2: 0, 3: 0, 4: 0, 9: 99, 10: 99}
+    assert {r["size"] for r in planned.values()} == {200, 99}
+
+
 def test_records():
-    data = ar.record(4, "http://a.example/%41?b=c d", b"", "00", None, "2020-01-01T00:00:00Z")
+    data = ar.record(4, "http://a.example/%41?b=c d", b"", 0, "00", None, "2020-01-01T00:00:00Z")
     assert ar.parse(data)["url"] == "http://a.example/%41?b=c d" and ar.parse(data)["payload"] == b""
     assert zlib.decompress(data, wbits=31).endswith(b"\r\n\r\n")
-    again = ar.parse(ar.record(5, None, b"abc", "11", 4, "2020-01-01T00:00:00Z"))
+    again = ar.parse(ar.record(5, None, b"", 3, "11", 4, "2020-01-01T00:00:00Z"))
     assert (again["record_type"], again["refers_to"], again["payload"], again["payload_bytes"]) == ("revisit", 4, None, 3)

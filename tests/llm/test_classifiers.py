@@ -114,6 +114,41 @@ def test_quotation_and_misspelling(spark, insults, monkeypatch):
     assert [q for _, q, _ in reader.hits(odd[1][1])[0]][-1:] != [] and any(q for _, q, _ in reader.hits(odd[1][1])[0])
 
 
+def brute_quotations(text):
+    """Every mark looks for its partner by itself: the nearest open mark before it that it closes."""
+    closing = {"“": "”", "„": "“”", "«": "»", "»": "«", '"': '"'}
+    opened, inside = {}, [False] * len(text)
+    for i, c in enumerate(text):
+        before, after = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
+        straight_opens, straight_closes = after and not after.isspace() and not before.isalnum(), before and not before.isspace() and not after.isalnum()
+        partners = [(at, o) for o, at in opened.items() if c in closing[o] and at < i - 1 and (c != '"' or straight_closes)]
+        if partners:
+            at, o = max(partners)
+            del opened[o]
+            inside[at : i + 1] = [True] * (i + 1 - at)
+        elif c in closing and (c != '"' or straight_opens):
+            opened[c] = i
+    return inside
+
+
+def test_quotations_of_any_length_and_over_lines():
+    r = random.Random(3)
+    for _ in range(2000):
+        text = "".join(r.choices('ab \n"“”„«»', k=r.randint(0, 40)))
+        inside = [False] * len(text)
+        spans = tx.quotations(text)
+        for a, b in spans:
+            inside[a:b] = [True] * (b - a)
+        assert inside == brute_quotations(text), text
+        assert all(p[1] <= q[0] for p, q in zip(spans, spans[1:], strict=False))
+    reader = tx.Reader(["vermin"], [], {})
+    for between in (" waeio" * 10, " waeio" * 100_000, "\n\n waeio \n"):
+        for a, b in ('""', "“”", "„“", "«»", "»«"):
+            hits = reader.hits(f"says {a}the{between} vermin{between}.{b} and vermin 5\" wide")[0]
+            assert [q for _, q, _ in hits] == [True, False], (a, len(between))
+    assert [q for _, q, _ in reader.hits('an open " mark and vermin “ still vermin')[0]] == [False, False]
+
+
 def test_toxicity_without_labels(spark, insults):
     docs, labels = insults
     assert {r.score for r in tx.score(docs, tx.learn(docs, labels.limit(0))).collect()} == {0.0}

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from provenant.llm import decontamination as dc
@@ -89,36 +90,36 @@ def test_proximity(spark):
         dc.matches(dc.build_index(d), dc.windows(b), span=dc.GAP + 1)
 
 
-def brute_lines(docs, least):
-    strip = "".join(map(chr, range(0x21)))
-    firsts = {}
-    for doc, t, site in docs:
-        if t is None:
-            continue
-        key = doc if doc is not None else 2**63
-        lines = [x.strip(strip) for x in t.split("\n")]
-        lines = ["", *[x for x in lines if x], ""]
-        for a, x, b in zip(lines, lines[1:], lines[2:]):
-            firsts[x, a, b] = min(firsts.get((x, a, b), (2**64, True, "")), (key, site is None, site or ""))
+def brute_lines(docs, least, copies_once=True):
+    """The rule of the module's docstring, word by word."""
+    strip, last = "".join(map(chr, range(0x21))), 2**63 - 1
+    rows = [(last if doc is None else doc, t, site) for doc, t, site in docs if t is not None]
+    if copies_once:
+        sited, first = {}, {}
+        for doc, t, site in rows:
+            first[t] = min(first.get(t, last), doc)
+            if site is not None:
+                sited[t] = min(sited.get(t, (last + 1, "")), (doc, site))
+        rows = [(doc, t, sited.get(t, (0, None))[1]) for t, doc in first.items()]
     sites, keeper = defaultdict(set), {}
-    for (x, _, _), (key, none, site) in firsts.items():
-        keeper[x] = min(keeper.get(x, 2**64), key)
-        if not none:
-            sites[x].add(site)
+    for doc, t, site in rows:
+        for x in {x.strip(strip) for x in t.split("\n")} - {""}:
+            keeper[x] = min(keeper.get(x, last), doc)
+            sites[x] |= set() if site is None else {site}
     out = []
     for doc, t, _ in docs:
         if t is None:
             out.append((doc, 0, 0, None))
             continue
-        lines = t.split("\n")
-        key = doc if doc is not None else 2**63
+        lines, key = t.split("\n"), last if doc is None else doc
         kept = [x for x in lines if not (x.strip(strip) and len(sites[x.strip(strip)]) >= least and keeper[x.strip(strip)] < key)]
         out.append((doc, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least", [3, 10])
-def test_lines(spark, least):
+@pytest.mark.parametrize("copies_once", [True, False])
+@pytest.mark.parametrize("least", [1, 3, 10])
+def test_lines(spark, least, copies_once):
     r = random.Random(2)
     common = [f"common line {k}" for k in range(14)]
     docs = []
@@ -127,19 +128,54 @@ def test_lines(spark, least):
         docs.append((i, "\n".join(lines), f"s{r.randrange(20)}"))
     copy = "a copied text\nof two lines\n" + common[0]
     docs += [(1000 + i, copy, f"s{i}") for i in range(20)]
-    docs += [(2000, None, "s1"), (2001, "", "s1"), (2002, " \n\t\n", "s2"), (2003, "  common line 0 \r\nx\x00", None), (None, "common line 0\ncommon line 1", "s3"), (5, docs[5][1], "s9"), (2004, "common line 0", None)]
-    df = spark.createDataFrame([(*d, 7, "z") for d in docs], "doc_id long, text string, source string, n_chars int, line string")
-    got = sorted((tuple(x) for x in ld.digest(ld.clean(df, least)).collect()), key=str)
-    want = brute_lines(docs, least)
+    docs += [(2000, None, "s1"), (2001, "", "s1"), (2002, " \n\t\n", "s2"), (2003, "  common line 0 \r\nx\x00", None), (None, "common line 0\ncommon line 1", "s3"), (5, docs[5][1], "s9"), (2004, "common line 0", None), (5, "common line 1\nother", "s4")]
+    df = spark.createDataFrame([(*d, 7, *"abcdefg") for d in docs], "doc_id long, text string, source string, n_chars int, line string, doc string, whole string, cut string, kept string, sites string, `a.b` string")
+    got = sorted((tuple(x) for x in ld.digest(ld.clean(df, least, copies_once)).collect()), key=str)
+    want = brute_lines(docs, least, copies_once)
     assert got == want and sum(w[2] for w in want) > (20 if least == 10 else 100)
-    assert ld.digest(ld.clean(df.limit(0), least)).count() == 0
-    left = ld.cleaned(df, least)
+    assert ld.digest(ld.clean(df.limit(0), least, copies_once)).count() == 0
+    left = ld.cleaned(df, least, copies_once)
     assert left.columns == df.columns
     changed = {(r.doc_id, len(r.text)) for r in left.collect() if r.text is not None and r.n_chars != 7}
     assert {n for _, n in changed} == {r.n_chars for r in left.collect() if r.n_chars != 7}
     assert all(r.text is None or r.text.strip() or not (r.text == "" and r.doc_id == 2004) for r in left.collect())
 
 
+@pytest.mark.parametrize("copies_once", [True, False])
+def test_the_sql_states_the_rule(copies_once):
+    """On rows that tell the rules apart: blocks of lines, copies of whole texts, texts without a site."""
+    docs = [(i, f"own {i} a\nhead\nmiddle\nfoot\nown {i} b", f"s{i}") for i in range(1, 13)] + [(0, "own e\nhead\nmiddle\nfoot", None), (13, "", "s"), (14, None, "s")]
+    docs += [(60 + i, "whole\ncopy", None if i < 3 else f"s{i}") for i in range(20)] + [(80 + i, f"nine {i}\nnine", f"s{i % 9}") for i in range(30)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    got = sorted(con.execute(ld.sql(10, copies_once)).fetchall(), key=str)
+    want = brute_lines(docs, 10, copies_once)
+    assert got == want
+    assert sum(w[2] for w in want) == 12 * 3 + (0 if copies_once else 19 * 2)
+
+
+def test_long_documents_of_lines(spark):
+    lines = [f"line {k}" for k in range(200_000)]
+    docs = [(0, "\n".join(lines), "s0"), (1, "\n".join(lines[::-1]), "s1"), (2, "\n".join(lines[:150_000] + lines[:150_000]), "s2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert sorted((tuple(x) for x in ld.digest(ld.clean(df, 3)).collect()), key=str) == brute_lines(docs, 3)
+
+
+def test_runs_of_documents_without_words(spark):
+    """Positions stay below 2 ** 31 however many documents have no words."""
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    docs = spark.range(0, 2_200_000, 1, 1).selectExpr("id AS doc_id", "CASE WHEN id IN (0, 2199999) THEN 'alpha beta gamma' END AS text")
+    assert sorted(r.doc_id for r in dc.matches(dc.build_index(docs), dc.windows(items)).collect()) == [0, 2_199_999]
+
+
+def test_clashing_names_in_the_stages(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma", "x", 1), (2, "delta", "y", 2), (None, "eps", "z", 3)], "doc_id long, text string, gone string, __gone int")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    kept = dc.uncontaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["delta", "eps"]
+
+
 def test_lines_of_blocks(spark):
     """Every line of a block on many sites goes, also where the first document has no site; copies of a whole text are one text."""
     strip = "".join(map(chr, range(0x21)))

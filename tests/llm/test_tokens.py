@@ -35,6 +35,21 @@ def test_sentencepiece_equals_the_library(spark, hard):
     assert sentencepieces.encode(hard.limit(0), model).count() == 0
 
 
+def test_blocks_end_by_letters_and_documents_too(spark, monkeypatch):
+    """Texts without blanks are one chunk each and null texts none; neither may fill one block without end."""
+    monkeypatch.setattr(sentencepieces, "BLOCK_LETTERS", 3000)
+    monkeypatch.setattr(sentencepieces, "BLOCK_DOCS", 100)
+    monkeypatch.setattr(sentencepieces, "LETTERS_AT_ONCE", 500)
+    model = queries.tokenizer_file("piece_bpe_32k.model").read_bytes()
+    whole = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = [(i, "".join(chr(0x4E00 + (i * 37 + k * k) % 5000) for k in range(200)) if i % 5 else None) for i in range(500)] + [(1000 + i, None) for i in range(1000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    blocks = df.mapInArrow(sentencepieces._blocks(4), sentencepieces.BLOCK).selectExpr("size(docs) AS n").collect()
+    assert len(blocks) > 30 and max(r.n for r in blocks) <= 100
+    got = {r.doc_id: (r.ids, r.decoded) for r in sentencepieces.encode(df, model).collect()}
+    assert got == {i: (whole.encode(t or ""), whole.decode(whole.encode(t)) if t else "") for i, t in texts}
+
+
 def test_sentencepiece_over_a_table(spark):
     folder = "/root/testdata/sf0.001"
     whole = sentencepiece.SentencePieceProcessor(model_file=str(queries.tokenizer_file("piece_bpe_32k.model")))
@@ -63,6 +78,7 @@ def test_counts_equal_the_library(spark, hard):
     got = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in tokencounts.count_tokens(hard, model).collect()), key=str)
     want = [(r.doc_id, len((r.text or "").encode()), len(whole.encode(r.text or "", add_special_tokens=False).ids)) for r in hard.collect()]
     assert got == sorted(want, key=str)
+    assert tokencounts.count_tokens(hard.limit(0), model).count() == 0
 
 
 def test_counts_over_a_table(spark):
