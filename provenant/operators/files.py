@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from provenant.functions.paths import base, directory, extension, work_file
 from provenant.functions.terms import EMPTY_SHA256
-from provenant.operators import graph
-from provenant.operators.ordered import Scan, asof, previous, scan
+from provenant.operators import graph, reach
+from provenant.operators.ordered import Scan, asof, key_sizes, numbered, previous, scan
+from provenant.session import cut
 
 # Extensions of files that are code.
 CODE_EXTENSIONS = [".r", ".py", ".qmd", ".rmd", ".ctl", ".mod", ".yaml", ".yml", ".sh", ".toml", ".jl"]
@@ -90,6 +91,69 @@ def recipes(targets: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select(F.col("root").alias("target"), F.col("node").alias("step"), "depth")
 
 
+def recipe_index(edges: DataFrame, inputs: DataFrame, steps: DataFrame) -> reach.Index:
+    """Steps and the sources they started from as one index: a step leads to the steps it builds on and to its sources."""
+    node = lambda c: F.concat(F.lit("t:"), F.col(c).cast("string"))
+    begun = inputs.filter("from_step IS NULL").select(node("step").alias("src"), _source().alias("dst"))
+    return reach.build(steps.select(node("step").alias("id")), edges.select(node("src").alias("src"), node("dst").alias("dst")).unionByName(begun))
+
+
+def _source() -> Column:
+    return F.concat_ws("\u0001", F.lit("s:"), "path", "sha")
+
+
+def summaries(targets: DataFrame, index: reach.Index, inputs: DataFrame, steps: DataFrame, network: DataFrame, unrecorded: DataFrame, uses: DataFrame) -> DataFrame:
+    """What can be said of the recipe behind each target in one row, from labels and without a row per target and step.
+
+    ``steps`` has (step, start, script, code, status), null ``script`` for a typed step; ``network`` (step, class), ``unrecorded`` (step), ``uses`` (step,
+    def_step). The row has the numbers of steps, sources, typed steps, hand edits, remote accesses, programs not recorded, steps whose code is not known
+    and errors, the time the recipe begins, and the verdict as in ``verdicts``.
+    """
+    node = lambda c: F.concat(F.lit("t:"), F.col(c).cast("string"))
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    per = lambda df, name: df.groupBy("step").agg(F.count(F.lit(1)).alias(name))
+    hand = inputs.filter("from_step IS NULL AND status = 'changed-outside'").select("step", "path", "sha").distinct()
+    scripted = steps.select("step", F.col("script").isNotNull().alias("scripted"))
+    needs = (uses.select("step", "def_step").join(scripted.filter("scripted").select("step"), "step").join(scripted.select(F.col("step").alias("def_step"), F.col("scripted").alias("by")), "def_step", "left")
+             .filter(~F.coalesce("by", F.lit(False))))
+    counted = ["hand", "network", "unrecorded", "needs"]
+    rows = steps.select("step", "start", one(F.col("script").isNull()).alias("interactive"), one(F.col("code").isNull() | (F.col("code") == "")).alias("no_code"), one(F.col("status") == "err").alias("errors"))
+    for name, df in zip(counted, (hand, network.filter("class = 'remote'"), unrecorded, needs), strict=True):
+        rows = rows.join(per(df, name), "step", "left")
+    rows = cut(rows)
+    sums = ["steps", "sources", "interactive", *counted, "no_code", "errors"]
+    zero, unit = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    at_steps = rows.select(node("step").alias("id"), unit.alias("steps"), zero.alias("sources"), "interactive", *(F.coalesce(c, zero).alias(c) for c in counted), "no_code", "errors")
+    at_sources = inputs.filter("from_step IS NULL").select(_source().alias("id")).distinct().select("id", *((unit if c == "sources" else zero).alias(c) for c in sums))
+    total = reach.totals(index, at_steps.select("id", *sums).unionByName(at_sources), sums)
+    begins = reach.least(index, rows.select(node("step").alias("id"), F.col("start").alias("begins")), ["begins"])
+    verdict = (F.when(F.col("interactive") > 0, "interactive").when(F.col("needs") > 0, "scripts-need-session").when(F.col("hand") > 0, "scripts-with-gaps").otherwise("scripts"))
+    found = targets.select("step", node("step").alias("id")).distinct().join(total, "id").join(begins, "id")
+    return found.select(F.col("step").alias("target"), *(c for c in sums if c != "needs"), "begins", verdict.alias("verdict"))
+
+
+def recipe_steps(targets: DataFrame, index: reach.Index) -> DataFrame:
+    """``(target, step)``: the steps behind some given targets, listed from labels; step as text."""
+    found = reach.reached(index, targets.select(F.col("step").alias("root"), F.concat(F.lit("t:"), F.col("step").cast("string")).alias("node")))
+    return found.filter("node LIKE 't:%'").select(F.col("root").alias("target"), F.expr("substring(node, 3)").alias("step"))
+
+
+def detour_steps(recipe: DataFrame, steps: DataFrame) -> DataFrame:
+    """``(target, step)``: other steps with effect in the recipe's sessions, from its first step to its target.
+
+    Steps are numbered in their session, so a target's stretch of a session is a span of numbers, and only the steps in it are met.
+    """
+    numbered_steps = cut(numbered(steps.filter("effect").select("session", "step", "end"), ["session"], ["end", "step"], "n"))
+    r = cut(recipe.join(steps.select("step", "session", "start", "end"), "step"))
+    span = r.groupBy("target").agg(F.min("start").alias("first"), F.max(F.when(F.col("step") == F.col("target"), F.col("end"))).alias("last"))
+    per = r.select("target", "session").distinct().join(span, "target")
+    sizes = key_sizes(numbered_steps, ["session"]) + key_sizes(per, ["session"])
+    a = asof(per, numbered_steps, ["session"], "last", "end", F.col("n"), "upto", right_tie=["n"], sizes=sizes)
+    a = asof(a, numbered_steps, ["session"], "first", "end", F.col("n"), "before", right_tie=["n"], include_equal=False, sizes=sizes)
+    inside = a.filter("upto IS NOT NULL AND upto > coalesce(before, 0)").select("target", "session", F.explode(F.sequence(F.coalesce("before", F.lit(0)) + 1, F.col("upto"))).alias("n"))
+    return inside.join(numbered_steps.select("session", "n", "step"), ["session", "n"]).select("target", "step").join(r.select("target", "step"), ["target", "step"], "left_anti")
+
+
 def recipe_sources(recipe: DataFrame, inputs: DataFrame) -> DataFrame:
     """Where each recipe started: inputs of its steps that nothing recorded produced."""
     return recipe.join(inputs.filter("from_step IS NULL").select("step", "path", "sha", "status"), "step").groupBy("target", "path", "sha").agg(
@@ -104,9 +168,12 @@ def detours(recipe: DataFrame, steps: DataFrame) -> DataFrame:
     r = recipe.join(steps.select("step", "session", "start", "end", "effect"), "step")
     span = r.groupBy("target").agg(F.min("start").alias("first"), F.max(F.when(F.col("step") == F.col("target"), F.col("end"))).alias("last"))
     per = r.select("target", "session").distinct().join(span, "target")
-    counted = scan(steps.filter("effect").select("session", "end", "step"), ["session"], ["end", "step"], [Scan("n", "sum", F.lit(1).cast("bigint"))])
-    a = asof(per, counted, ["session"], "last", "end", F.col("n"), "upto", right_tie=["n"])
-    a = asof(a, counted, ["session"], "first", "end", F.col("n"), "before", right_tie=["n"], include_equal=False)
+    own = steps.filter("effect").select("session", "end", "step")
+    sizes = key_sizes(own, ["session"])
+    counted = scan(own, ["session"], ["end", "step"], [Scan("n", "sum", F.lit(1).cast("bigint"))], sizes=sizes)
+    both = sizes + key_sizes(per, ["session"])
+    a = asof(per, counted, ["session"], "last", "end", F.col("n"), "upto", right_tie=["n"], sizes=both)
+    a = asof(a, counted, ["session"], "first", "end", F.col("n"), "before", right_tie=["n"], include_equal=False, sizes=both)
     zero = F.lit(0).cast("bigint")
     total = a.groupBy("target").agg(F.sum(F.coalesce("upto", zero) - F.coalesce("before", zero)).alias("all"))
     own = r.join(span, "target").filter("effect AND `end` >= first AND `end` <= last").groupBy("target").agg(F.count(F.lit(1)).alias("own"))
@@ -121,9 +188,14 @@ def writers_before(changed: DataFrame, outputs: DataFrame, steps: DataFrame) ->
 
 def stories(targets: DataFrame, edges: DataFrame, inputs: DataFrame, outputs: DataFrame, steps: DataFrame) -> DataFrame:
     """A recipe and, behind each hand edit, the recipe of the version that was edited."""
+    return recipes(targets, story_edges(edges, inputs, outputs, steps))
+
+
+def story_edges(edges: DataFrame, inputs: DataFrame, outputs: DataFrame, steps: DataFrame) -> DataFrame:
+    """The edges of recipes and those from a step that read a hand edit to the writer of what was edited."""
     hand = inputs.filter("status = 'changed-outside'").join(steps.select("step", F.col("start").alias("at")), "step").select("step", "path", "at")
     behind = writers_before(hand, outputs, steps).filter("writer IS NOT NULL AND writer <> step").select(F.col("step").alias("src"), F.col("writer").alias("dst"))
-    return recipes(targets, edges.unionByName(behind).distinct())
+    return edges.unionByName(behind).distinct()
 
 
 def gaps(recipe: DataFrame, sources: DataFrame, network: DataFrame, unrecorded: DataFrame, steps: DataFrame) -> DataFrame:

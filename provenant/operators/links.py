@@ -5,6 +5,8 @@ All "latest before" and "next after" questions are as-of scans over one key, nev
 
 from __future__ import annotations
 
+import heapq
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from provenant.functions.code import chunks_of, names_read_by, plain_code
 from provenant.functions.paths import base, extension
 from provenant.functions.terms import EMPTY_SHA256
 from provenant.operators import graph
-from provenant.operators.ordered import Scan, asof, following, previous, scan
+from provenant.operators.ordered import Scan, asof, following, key_sizes, previous, scan
 from provenant.session import cut
 
 SOURCE_SLACK_NS = 2_000_000_000
@@ -66,10 +68,12 @@ def across_sessions(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     key = ["project", "path", "sha"]
     ref = F.struct("session", "task_no")
     outs = outputs.filter(_linkable()).select(*key, "session", "task_no", "end")
-    outs = previous(outs, key, ["end", "session", "task_no"], "__prev", ref)
+    sizes = key_sizes(outs, key)
+    outs = previous(outs, key, ["end", "session", "task_no"], "__prev", ref, sizes=sizes)
     turn = F.col("__prev.session").isNotNull() & (F.col("__prev.session") != F.col("session"))
-    outs = scan(outs, key, ["end", "session", "task_no"], [Scan("__other", "last", F.when(turn, F.col("__prev")))])
-    got = asof(inputs, outs, key, "start", "end", F.struct("session", "task_no", F.col("__other").alias("other")), "__b", right_tie=["session", "task_no"])
+    outs = scan(outs, key, ["end", "session", "task_no"], [Scan("__other", "last", F.when(turn, F.col("__prev")))], sizes=sizes)
+    got = asof(inputs, outs, key, "start", "end", F.struct("session", "task_no", F.col("__other").alias("other")), "__b", right_tie=["session", "task_no"],
+               sizes=sizes + key_sizes(inputs, key))
     mine = F.col("__b.session") == F.col("session")
     before = F.when(~mine, F.struct(F.col("__b.session").alias("session"), F.col("__b.task_no").alias("task_no"))).otherwise(F.col("__b.other"))
     at = F.struct("end", "session", "task_no")
@@ -99,13 +103,14 @@ def written_again(seen: DataFrame, outputs: DataFrame) -> DataFrame:
     ref = F.struct("session", "task_no", "sha")
     order = ["back", "session", "task_no"]  # time reversed: the row before is the next write
     w = outputs.select(*key, "session", "task_no", "sha", (-F.col("written_at")).alias("back"))
-    w = previous(w, key, order, "nxt", ref)
-    w = scan(w, key, order, [Scan("alt", "last", F.when(F.col("nxt.sha") != F.col("sha"), F.col("nxt")))])
-    w = previous(w, key, order, "nxt_alt", F.col("alt"))
-    w = previous(w, key, order, "n1", F.struct(ref.alias("me"), "nxt", "nxt_alt", "alt"))
-    w = scan(w, key, order, [Scan("a1", "last", F.when(F.col("n1.me.sha") != F.col("sha"), F.col("n1")))])
+    sizes = key_sizes(w, key)
+    w = previous(w, key, order, "nxt", ref, sizes=sizes)
+    w = scan(w, key, order, [Scan("alt", "last", F.when(F.col("nxt.sha") != F.col("sha"), F.col("nxt")))], sizes=sizes)
+    w = previous(w, key, order, "nxt_alt", F.col("alt"), sizes=sizes)
+    w = previous(w, key, order, "n1", F.struct(ref.alias("me"), "nxt", "nxt_alt", "alt"), sizes=sizes)
+    w = scan(w, key, order, [Scan("a1", "last", F.when(F.col("n1.me.sha") != F.col("sha"), F.col("n1")))], sizes=sizes)
     got = asof(seen.withColumn("__back", -F.col("at")), w, key, "__back", "back", F.struct(ref.alias("me"), "n1", "a1"), "n",
-               right_tie=["session", "task_no"], include_equal=False)
+               right_tie=["session", "task_no"], include_equal=False, sizes=sizes + key_sizes(seen, key))
     # A task writes a path once, so at most one write in the way is its own.
     mine = lambda r: F.coalesce((F.col(f"{r}.session") == F.col("session")) & (F.col(f"{r}.task_no") == F.col("task_no")), F.lit(False))
     other = lambda r: F.col(f"{r}.sha") != F.col("sha")
@@ -140,44 +145,96 @@ def attach_origins(origins: DataFrame, tasks: DataFrame, sources: DataFrame) ->
     (session, task_no, start, end and, if known, script: the file a task itself runs), ``sources`` (session, task_no, path).
     Equal rows are executions of their own.
     """
+    rows = cut(origins.withColumn("__row", F.monotonically_increasing_id()))
     own = tasks.select("session", "task_no", F.col("script").alias("path")) if "script" in tasks.columns else None
     ran = sources.select("session", "task_no", "path") if own is None else sources.select("session", "task_no", "path").unionByName(own)
-    spans = ran.filter("path <> ''").distinct().join(tasks.select("session", "task_no", "start", "end"), ["session", "task_no"])
-    row = F.struct(*origins.columns)
-    executions = origins.filter("file IS NOT NULL AND file <> ''").select(
-        "session", "file", F.col("ts").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("task_no"), F.lit(None).cast("bigint").alias("start"),
-        F.lit(None).cast("bigint").alias("end"), F.to_json(row).alias("__row"))
-    windows = spans.select("session", F.col("path").alias("file"), (F.col("start") - SOURCE_SLACK_NS).alias("__at"), F.lit(0).alias("__kind"), F.col("task_no").cast("bigint"),
-                           F.col("start").cast("bigint"), F.col("end").cast("bigint"), F.lit(None).cast("string").alias("__row"))
-    parts = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = executions.unionByName(windows).repartition(parts, "session", "file").sortWithinPartitions("session", "file", "__at", "__kind", "start", "task_no", "__row")
-    taken = cut(both.mapInArrow(_take_nearest, "__row string, task_no bigint"))
-    back = F.from_json("__row", origins.select(row.alias("r")).schema["r"].dataType)
-    placed = taken.select(back.alias("r"), "task_no").select("r.*", "task_no")
-    rest = placed.filter("task_no IS NULL").drop("task_no").unionByName(origins.filter("file IS NULL OR file = ''"))
+    spans = ran.filter("path <> ''").distinct().join(tasks.select("session", "task_no", F.col("start").cast("bigint"), F.col("end").cast("bigint")), ["session", "task_no"])
+    windows = spans.select("session", F.col("path").alias("file"), F.col("task_no").cast("bigint").alias("task_no"), "start", "end",
+                           (F.col("start") - SOURCE_SLACK_NS).alias("at"), (F.col("end") + SOURCE_SLACK_NS).alias("until"))
+    executions = rows.filter("file IS NOT NULL AND file <> ''").select("session", "file", F.col("ts").cast("bigint").alias("at"), "__row")
+    taken = cut(_matched(*_clusters(executions, windows)))
+    placed = cut(rows.join(taken, "__row", "left"))
+    rest = placed.filter("task_no IS NULL").drop("task_no", "__row")
     at = previous(tasks.select("session", "task_no", "start", "end"), ["session"], ["start", "task_no"], "p", F.struct("task_no", "start", "end"))
     timed = asof(rest, at, ["session"], "ts", "start", F.struct("task_no", "start", "end", "p"), "t", right_tie=["task_no"])
     edge = (F.col("ts") == F.col("t.start")) & (F.col("t.p.end") == F.col("ts"))
     timed = timed.withColumn("task_no", F.when(edge, F.col("t.p.task_no")).when(F.col("ts") <= F.col("t.end"), F.col("t.task_no")))
-    return placed.filter("task_no IS NOT NULL").unionByName(timed.filter("task_no IS NOT NULL").select(*origins.columns, "task_no"))
+    return placed.filter("task_no IS NOT NULL").drop("__row").unionByName(timed.filter("task_no IS NOT NULL").select(*origins.columns, "task_no"))
+
+
+def _clusters(executions: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Executions and windows with ``cluster``: stretches of time of a file that no window reaches out of.
+
+    Two executions that follow each other are in one cluster if a window holds both; the windows begun by the first reach to the
+    second then. A window belongs to the cluster of the first execution in it. Clusters are matched apart from each other.
+    """
+    key = ["session", "file"]
+    none = F.lit(None).cast("bigint")
+    both = executions.select(*key, "at", F.lit(1).alias("kind"), "__row", none.alias("until")).unionByName(
+        windows.select(*key, "at", F.lit(0).alias("kind"), none.alias("__row"), "until"))
+    sizes = key_sizes(both, key)
+    seen = scan(both, key, ["at", "kind", "__row"], [Scan("reach", "max", F.col("until"))], sizes=sizes).filter("kind = 1")
+    follow = previous(seen.select(*key, "at", "__row", "reach"), key, ["at", "__row"], "before", F.col("reach"), sizes=sizes)
+    apart = F.when(F.col("before").isNull() | (F.col("before") < F.col("at")), 1).otherwise(0).cast("bigint")
+    numbered_ = cut(scan(follow, key, ["at", "__row"], [Scan("cluster", "sum", apart)], sizes=sizes).select(*key, "at", "__row", "cluster"))
+    # the first execution at or after the window's begin: time is turned round, so that it is the row before
+    turn = lambda df: df.withColumn("back", -F.col("at"))
+    met = asof(turn(windows), turn(numbered_).select(*key, "back", F.struct("at", "cluster").alias("e")), key, "back", "back", F.col("e"), "e", sizes=sizes)
+    return numbered_, met.filter("e.at <= until").select(*key, "task_no", "start", "end", "at", F.col("e.cluster").alias("cluster"))
+
+
+def _matched(executions: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(__row, task_no)``: the greedy choice within each cluster; clusters are dealt out, not files."""
+    none = F.lit(None).cast("bigint")
+    key = ["session", "file", "cluster"]
+    both = executions.select(*key, "at", F.lit(1).alias("kind"), "__row", none.alias("task_no"), none.alias("start"), none.alias("end")).unionByName(
+        windows.select(*key, "at", F.lit(0).alias("kind"), none.alias("__row"), "task_no", "start", "end"))
+    parts = int(executions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(parts, *key).sortWithinPartitions(*key, "at", "kind", "start", "task_no", "__row").mapInArrow(_take_nearest, "__row bigint, task_no bigint")
+
+
+class _Free:
+    """Tasks of a cluster that have no execution yet; the nearest to a time comes from the top of one of three heaps."""
+
+    def __init__(self):
+        self.ahead, self.open, self.past = [], [], []
+
+    def add(self, start: int, end: int, task: int) -> None:
+        heapq.heappush(self.ahead, (start, task, end))
+
+    def nearest(self, at: int) -> int | None:
+        while self.ahead and self.ahead[0][0] <= at:
+            heapq.heappush(self.open, heapq.heappop(self.ahead))
+        while self.open and self.open[0][2] < at:
+            start, task, end = heapq.heappop(self.open)
+            heapq.heappush(self.past, (-end, start, task))
+        if self.open:
+            return heapq.heappop(self.open)[1]
+        # no open one is left, so all that ended are here, the last ended on top
+        late = at + self.past[0][0] if self.past else None
+        if late is not None and late > SOURCE_SLACK_NS:
+            self.past, late = [], None
+        if self.ahead and (late is None or (self.ahead[0][0] - at, self.ahead[0][0], self.ahead[0][1]) < (late, *self.past[0][1:])):
+            return heapq.heappop(self.ahead)[1]
+        return heapq.heappop(self.past)[2] if late is not None else None
 
 
 def _take_nearest(batches):
-    """Rows come sorted by session, file and time; what is held are the free tasks that can still be near."""
-    key, free = None, {}
+    """Rows come sorted by cluster and time; held are the free tasks of one cluster."""
+    key, free = None, _Free()
     for batch in batches:
-        out = []
-        for session, file, at, kind, task, start, end, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (session, file) != key:
-                key, free = (session, file), {}
+        rows, tasks = [], []
+        for session, file, cluster, at, kind, row, task, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (session, file, cluster) != key:
+                key, free = (session, file, cluster), _Free()
             if kind == 0:
-                free[task] = (start, end)
+                free.add(start, end, task)
                 continue
-            free = {t: se for t, se in free.items() if se[1] + SOURCE_SLACK_NS >= at}
-            best = min(free, key=lambda t: (max(free[t][0] - at, at - free[t][1], 0), free[t][0], t), default=None)
-            free.pop(best, None)
-            out.append((row, best))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], ["__row", "task_no"])
+            best = free.nearest(at)
+            if best is not None:
+                rows.append(row)
+                tasks.append(best)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(tasks, pa.int64())], ["__row", "task_no"])
 
 
 def without_idle_reads(inputs: DataFrame, attached: DataFrame) -> DataFrame:

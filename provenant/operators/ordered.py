@@ -1,14 +1,16 @@
 """Ordered scans within a key: running values, previous rows, as-of joins.
 
 A window over ``key`` puts all rows of a key into one task. That is fine until one key holds a large
-part of the data, so ``scan`` looks at the largest key first. Keys above the limit are cut into blocks
-of the order column; the window then runs per (key, block), and a table with one row per block carries
-the value over from the blocks before. The answer is the same either way.
+part of the data, so ``scan`` looks at the largest key first. If it is above the limit, the rows are sorted by key and
+order over all partitions and written; the part of a key in one partition is a block. The window then runs per (key, block),
+and a table with one row per block carries the value over from the blocks before. The answer is the same either way, and rows
+split over blocks by all columns of the order, so ties in the first do not matter.
+
+The look is a job of its own over what leads to the rows. Several scans by one key, or by keys that hold it, share one: it is given on as ``sizes``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -39,23 +41,37 @@ def scan(
     *,
     reverse: bool = False,
     bounded: bool = False,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
-    """Add the running values to ``df``; ``order[0]`` must be numeric, a date or a timestamp.
+    """Add the running values to ``df``.
 
     ``reverse`` runs from the end. ``bounded`` states that a key has few rows by construction, so the
-    size is not looked at.
+    size is not looked at; ``sizes`` is what was seen before, of these keys or of some of them, on these rows or on more.
     """
     limit = hot_rows(df.sparkSession)
-    largest = 0 if bounded else largest_key(df, keys)
-    if largest <= limit:
+    if not bounded:
+        sizes = sizes or key_sizes(df, keys)
+    if bounded or sizes.largest <= limit:
         window = Window.partitionBy(*keys).orderBy(*_order(order, reverse))
         return df.select("*", *[_over(s, window).alias(s.name) for s in scans])
-    return _scan_in_blocks(df, list(keys), list(order), list(scans), reverse, limit, largest)
+    return _scan_in_blocks(df, list(keys), list(order), list(scans), reverse, sizes.rows // limit)
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Rows of the largest key, and of all."""
+
+    largest: int
+    rows: int
 
+    def __add__(self, other: Sizes) -> Sizes:
+        return Sizes(self.largest + other.largest, self.rows + other.rows)
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the key that has the most."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
+    """One look at how many rows the largest key has."""
+    found = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return Sizes(found[0] or 0, found[1] or 0)
 
 
 def _order(order: Sequence[str], reverse: bool) -> list[Column]:
@@ -73,25 +89,12 @@ def _over(s: Scan, window) -> Column:
     return _aggregate(s.op, s.value).over(frame)
 
 
-def _scan_in_blocks(df, keys, order, scans, reverse, limit, largest) -> DataFrame:
-    pieces = math.ceil(largest / limit) + 1
-    quantiles = [i / pieces for i in range(1, pieces)]
-    bounds = cut(
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.percentile_approx(order[0], quantiles, 20 * pieces).alias("__bounds"),
-        )
-        .filter(F.col("__n") > limit)
-        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__bounds")
-    )
+def _scan_in_blocks(df, keys, order, scans, reverse, pieces) -> DataFrame:
+    # Sorted over all partitions, twice as many as there are limits' worth of rows, so that bounds from samples keep below it;
+    # written, so that every use sees the same blocks.
+    parts = max(2 * pieces, 2) + 1
+    blocks = cut(df.repartitionByRange(parts, *keys, *order).withColumn(_BLOCK, F.spark_partition_id()))
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    below = F.size(F.filter("__bounds", lambda b: b < F.col(order[0])))
-    blocks = (
-        df.join(bounds, on, "left")
-        .withColumn(_BLOCK, F.when(F.col("__bounds").isNull() | F.col(order[0]).isNull(), 0).otherwise(below))
-        .drop("__bounds", *[f"__k{i}" for i in range(len(keys))])
-    )
     local = Window.partitionBy(*keys, _BLOCK).orderBy(*_order(order, reverse))
     at = F.struct(*order)
     totals = []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions.terms import hash_sum
-from provenant.operators import graph
+from provenant.operators import graph, reach
 from provenant.operators.records import file_steps
 
 
@@ -61,6 +61,17 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return found.filter("depth > 0").select(F.col("root").alias("src"), F.col("node").alias("dst"))
 
 
+def closure_totals(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``(src, reached, ends)``: how many nodes a property path of one step or more reaches from each start, and how many of them lead nowhere."""
+    index = reach.build(starts.select(F.col("src").alias("id")), edges)
+    leading = edges.select(F.col("src").alias("id")).distinct().withColumn("leading", F.lit(True))
+    values = index.places.select("id", "round").join(leading, "id", "left").select("id", "round", F.lit(1).cast("bigint").alias("reached"), F.col("leading").isNull().cast("bigint").alias("ends"))
+    found = reach.totals(index, values.drop("round"), ["reached", "ends"]).join(values.select("id", "round", F.col("ends").alias("own")), "id")
+    # a start counts itself only if it lies on a cycle
+    own = F.when(F.col("round"), 0).otherwise(1)
+    return starts.select("src").distinct().join(found.select(F.col("id").alias("src"), (F.col("reached") - own).alias("reached"), (F.col("ends") - F.col("own")).alias("ends")), "src")
+
+
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The rows with the largest ``at`` per key; ties all come back. A grouped maximum joined back."""
     top = df.groupBy(*keys).agg(F.max(at).alias("__top"))

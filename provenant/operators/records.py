@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenant.operators import graph
+from provenant.functions.terms import hash_sum
+from provenant.operators import components, graph, reach
 from provenant.operators.trust import resolved_tier, verified
+from provenant.session import cut
 
 
 def _files(work_file: DataFrame, role: str) -> DataFrame:
@@ -51,6 +53,43 @@ def lineage(work_file: DataFrame, hashes: DataFrame) -> DataFrame:
     return found.select(F.col("root").alias("hash"), "record_id", F.floor((F.col("depth") - 1) / 2).alias("depth"))
 
 
+def lineage_index(work_file: DataFrame) -> reach.Index:
+    """Records and the files they made, as one index of what leads to what; a file leads to its makers, a record to the made files it read."""
+    made = _files(work_file, "out").select(F.concat(F.lit("h:"), "hash").alias("id"))
+    return reach.build(made, file_steps(work_file, up=True))
+
+
+def lineage_totals(work_file: DataFrame, hashes: DataFrame, index: reach.Index | None = None) -> DataFrame:
+    """How much is behind each file, from labels, without a row per file and record: ``(hash, records, ends, reads)``.
+
+    ``records`` are all records of its lineage, ``ends`` those of them that read no made file, ``reads`` the inputs of them that nobody made, once
+    for each record that read one.
+    """
+    index = index or lineage_index(work_file)
+    made = _files(work_file, "out").select("hash").distinct().withColumn("made", F.lit(True))
+    read = _files(work_file, "in").select("record_id", "hash").distinct().join(made, "hash", "left").groupBy("record_id").agg(
+        F.count("made").alias("linked"), F.count_if(F.col("made").isNull()).alias("reads"))
+    per = work_file.select("record_id").distinct().join(read, "record_id", "left")
+    values = per.select(F.concat(F.lit("r:"), "record_id").alias("id"), F.lit(1).cast("bigint").alias("records"),
+                        (F.coalesce("linked", F.lit(0)) == 0).cast("bigint").alias("ends"), F.coalesce("reads", F.lit(0)).alias("reads"))
+    found = reach.totals(index, values, ["records", "ends", "reads"])
+    return hashes.select("hash").distinct().join(found.select(F.expr("substring(id, 3)").alias("hash"), "records", "ends", "reads").where(F.col("id").startswith("h:")), "hash")
+
+
+def leads_to(work_file: DataFrame, pairs: DataFrame, index: reach.Index | None = None) -> DataFrame:
+    """``pairs`` (hash, record_id) with ``leads``: whether the record is in the file's lineage."""
+    found = reach.leads(index or lineage_index(work_file), pairs.select(F.concat(F.lit("h:"), "hash").alias("src"), F.concat(F.lit("r:"), "record_id").alias("dst")).distinct())
+    return found.select(F.expr("substring(src, 3)").alias("hash"), F.expr("substring(dst, 3)").alias("record_id"), "leads")
+
+
+def sources_of(work_file: DataFrame, hashes: DataFrame, index: reach.Index | None = None) -> DataFrame:
+    """``(hash, source, path)``: what some given files were derived from, listed from labels; as many rows as the answer has."""
+    starts = hashes.select(F.col("hash").alias("root"), F.concat(F.lit("h:"), "hash").alias("node"))
+    found = reach.reached(index or lineage_index(work_file), starts).where(F.col("node").startswith("r:")).select("root", F.expr("substring(node, 3)").alias("record_id"))
+    read = _files(work_file, "in").select("record_id", F.col("hash").alias("source"), "path")
+    return found.join(read, "record_id").groupBy(F.col("root").alias("hash"), "source").agg(F.min("path").alias("path"))
+
+
 def pedigree(work_file: DataFrame, records: DataFrame, hops: int = 3, up: bool = True) -> DataFrame:
     """Bounded breadth-first walk from records: ``(root, record_id, level)``; level 0 is the record."""
     if not 0 <= hops <= 32:
@@ -219,37 +258,42 @@ def residence(files: DataFrame, work_file, work, signature, trust, claims: DataF
     return first.join(best, "hash", "left")
 
 
-def _set_print(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """A digest of each key's set of items, from sums of parts of their hashes: equal sets, equal digest."""
-    part = lambda i: F.sum(F.conv(F.substring(F.sha2(item, 256), i, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
-    return rows.groupBy(key).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(16), part(31)).alias("print"))
+def _sets(rows: DataFrame, key: str) -> DataFrame:
+    """A digest of each key's set of hashes: equal sets have equal digests, of all digits."""
+    return rows.groupBy(key).agg(hash_sum(F.sha2("hash", 256)).alias("print"), F.count(F.lit(1)).alias("n"))
 
 
 def steps_published(step_file: DataFrame, work_file: DataFrame) -> DataFrame:
     """Per recorded step: published when every output is in a record that read only what the step read.
 
-    ``same`` when all outputs are known but some record read other inputs. Division by counting: a record's
-    inputs that the step did not read. Steps and records with the same output and the same set of inputs are
-    judged once, so an output that very many of both have costs its different sets of inputs.
+    ``same`` when all outputs are known but some record read other inputs. Whether a record's inputs are among a step's is a join of
+    containment by an inverted index: a record is looked up under the rarest of its inputs, and only by steps that read that one and wrote the same
+    output; the pairs found so are counted out. Steps, and records, with the same output and the same set of inputs are judged once.
     """
     outs = step_file.filter("role = 'out'").select("step", "hash").distinct()
-    ins = step_file.filter("role = 'in'").select("step", "hash").distinct()
+    ins = cut(step_file.filter("role = 'in'").select("step", "hash").distinct())
     made = _files(work_file, "out").select("record_id", "hash").distinct()
-    read = _files(work_file, "in").select("record_id", "hash").distinct()
-    step_sets = outs.join(_set_print(ins, "step", "hash").withColumnRenamed("print", "sp"), "step", "left").withColumn("sp", F.coalesce("sp", F.lit("")))
-    made_sets = made.join(_set_print(read, "record_id", "hash").withColumnRenamed("print", "rp"), "record_id", "left").withColumn("rp", F.coalesce("rp", F.lit("")))
-    step_rep = step_sets.groupBy("hash", "sp").agg(F.min("step").alias("step"))
-    made_rep = made_sets.groupBy("hash", "rp").agg(F.min("record_id").alias("record_id"))
-    pairs = step_rep.join(made_rep, "hash").select("hash", "sp", "step", "record_id")
-    judged = pairs.select("step", "record_id").distinct()
-    foreign = (judged.join(read, "record_id").join(ins.withColumn("mine", F.lit(1)), ["step", "hash"], "left")
-               .groupBy("step", "record_id").agg(F.count_if(F.col("mine").isNull()).alias("foreign")))
-    per_set = (pairs.join(foreign, ["step", "record_id"], "left").groupBy("hash", "sp")
-               .agg((F.min(F.coalesce("foreign", F.lit(0))) == 0).alias("exact")))
-    known = step_sets.join(per_set, ["hash", "sp"], "left").groupBy("step").agg(
-        F.bool_and(F.coalesce("exact", F.lit(False))).alias("exact"),
-        F.bool_and(F.col("exact").isNotNull()).alias("known"))
-    return known.select("step", F.when(F.col("exact"), "published").when(F.col("known"), "same").otherwise("new").alias("state"))
+    read = cut(_files(work_file, "in").select("record_id", "hash").distinct())
+    none = F.lit("")
+    step_sets = cut(outs.join(_sets(ins, "step").drop("n"), "step", "left").withColumn("print", F.coalesce("print", none)))
+    rarity = ins.groupBy("hash").agg(F.count(F.lit(1)).alias("readers"))
+    rarest = read.join(rarity, "hash", "left").groupBy("record_id").agg(F.min(F.struct(F.coalesce("readers", F.lit(0)).alias("readers"), "hash")).alias("r"))
+    made_sets = cut(made.join(_sets(read, "record_id"), "record_id", "left").join(rarest, "record_id", "left").groupBy("hash", F.coalesce("print", none).alias("print")).agg(
+        F.min_by(F.struct("record_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("r.readers").alias("readers"), F.col("r.hash").alias("rarest")), "record_id").alias("m")).select("hash", "m.*"))
+    step_once = step_sets.groupBy("hash", "print").agg(F.min("step").alias("step"))
+    # what no step read at all rules its record out; a record without inputs fits every step
+    found = (step_once.join(ins.withColumnRenamed("hash", "rarest"), "step").join(made_sets.filter("readers > 0"), ["hash", "rarest"])
+             .select("hash", "print", "step", "record_id", "n"))
+    found = cut(found)
+    fits = (found.select("step", "record_id", "n").distinct().join(read, "record_id").join(ins, ["step", "hash"])
+            .groupBy("step", "record_id", "n").agg(F.count(F.lit(1)).alias("shared")).filter("shared = n").select("step", "record_id"))
+    exact = found.join(fits, ["step", "record_id"], "left_semi").select("hash", "print").unionByName(
+        step_once.join(made_sets.filter("n = 0"), "hash", "left_semi").select("hash", "print")).distinct().withColumn("exact", F.lit(True))
+    known = made.select("hash").distinct().withColumn("known", F.lit(True))
+    no = F.lit(False)
+    per = step_sets.join(exact, ["hash", "print"], "left").join(known, "hash", "left").groupBy("step").agg(
+        F.bool_and(F.coalesce("exact", no)).alias("exact"), F.bool_and(F.coalesce("known", no)).alias("known"))
+    return per.select("step", F.when(F.col("exact"), "published").when(F.col("known"), "same").otherwise("new").alias("state"))
 
 
 def published_upstream(work_file: DataFrame, sources: DataFrame, own_outputs: DataFrame) -> DataFrame:

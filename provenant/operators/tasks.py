@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from provenant.functions.paths import base, path_class, program_name, under, words
 from provenant.functions.terms import EMPTY_SHA256, field_of
 from provenant.operators import graph
-from provenant.operators.ordered import Scan, largest_key, previous, scan
-from provenant.session import cut, hot_rows
+from provenant.operators.ordered import Scan, key_sizes, previous, scan
+from provenant.session import cut
 
 MARKERS = ["TASK", "END", "SOURCE", "ENV", "VARS"]
 UNSEEN_GRACE_NS = 2_000_000_000
@@ -102,7 +102,8 @@ def build(events: DataFrame, project: str | Column, *, manifest: DataFrame | Non
     """Tasks of all sessions. ``manifest`` (path, sha, mtime_ns) stands for the files as they are now."""
     project = F.lit(project) if isinstance(project, str) else project
     # Every key below holds part of one session: when the largest session is small, so are they all.
-    kw = {"bounded": largest_key(events, ["session"]) * 2 <= hot_rows(events.sparkSession)}
+    seen = key_sizes(events, ["session"])
+    kw = {"sizes": seen + seen}  # a rename is two rows
     e = cut(numbered_events(events, tooling, **kw).withColumn("class", path_class("path", project, home=home, env_prefixes=env_prefixes)))
     e = _session_env(e)
     tasks = task_rows(e, **kw)

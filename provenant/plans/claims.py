@@ -87,6 +87,15 @@ def _(t):
     return Q.closure(back, t.claim.filter("predicate = 'error'").select(F.col("claim_id").alias("src")))
 
 
+@query("transitive_totals", """
+WITH n AS (SELECT claim_id, row_number() OVER (PARTITION BY scope ORDER BY claim.at, seq)-1 AS reached FROM claim)
+SELECT claim_id AS src, reached, CAST(reached>0 AS BIGINT) AS ends FROM n""")
+def _(t):
+    """How many earlier claims of its scope each claim leads to, and how many firsts among them, from labels."""
+    back = t.claim.filter("prev IS NOT NULL").select(F.col("claim_id").alias("src"), F.col("prev").alias("dst"))
+    return Q.closure_totals(back, t.claim.select(F.col("claim_id").alias("src")))
+
+
 @query("graph_as_variable", "SELECT 'urn:work:'||record_id AS g, count(DISTINCT 'u'||hash) FILTER (role='in') AS used FROM work_file GROUP BY record_id")
 def _(t):
     q = V.project_work(t.work, t.work_file, t.signature, t.trust_key)
@@ -197,6 +206,14 @@ def _(t):
     return Q.all_sources(t.work_file, _latest(t))
 
 
+@query("sources_of_given_outputs", f"""WITH RECURSIVE {BEHIND}
+SELECT b.hash, i.hash AS source, min(i.path) AS path FROM (SELECT DISTINCT hash, record_id FROM behind WHERE hash IN (SELECT 'cust:'||o_custkey||':'||max(n) FROM states GROUP BY o_custkey)) b
+JOIN work_file i ON i.record_id=b.record_id AND i.role='in' GROUP BY ALL""")
+def _(t):
+    """What the customers' last states were derived from, listed from the labels of the index over all files."""
+    return R.sources_of(t.work_file, _latest(t).filter(F.col("hash").startswith("cust:")))
+
+
 @query("trusted_production", """
 SELECT hash, bool_or(v.record_id IS NOT NULL) AS trusted FROM work_file f LEFT JOIN (SELECT DISTINCT record_id FROM verified) v USING (record_id)
 WHERE role='out' GROUP BY hash""")

@@ -127,6 +127,63 @@ def _(t):
     return X.verdicts(recipe, X.recipe_sources(recipe, s.inputs), uses, steps)
 
 
+USES_OF = """df AS (SELECT session, k, step FROM steps WHERE event_type='purchase'),
+us AS (SELECT u.step, d.step AS def_step FROM (SELECT session, k, step FROM steps WHERE event_type='click') u ASOF JOIN df d ON u.session=d.session AND u.k=d.k AND u.step>d.step)"""
+
+
+def _summed(s, t, targets, edges):
+    """Summaries with the tables' variables and connects; steps of a small value were typed, of a great one failed."""
+    of = lambda kind: s.steps.filter(F.col("event_type") == kind).select("session", F.col("step").alias("task_no"), F.concat(F.lit("x"), "k").alias("name"))
+    uses = L.variable_uses(of("click"), of("purchase")).select(F.col("task_no").alias("step"), F.col("def_task").alias("def_step"))
+    steps = s.steps.withColumn("script", F.when(F.col("value") >= 3, F.concat(F.lit("/proj/step"), "k", F.lit(".R")))).withColumn(
+        "status", F.when(F.col("value") > 100, "err").otherwise("ok")).withColumn("code", F.when(F.col("value") >= 1, "run()"))
+    net = t.trace_event.filter("op = 'connect'").select(F.floor(F.col("ord") / 2).alias("step"), field_of("extra", "class").alias("class"))
+    inputs = cut(s.inputs)
+    return X.summaries(targets, X.recipe_index(edges(inputs), inputs, s.steps), inputs, steps, net, s.steps.limit(0).select("step"), uses)
+
+
+SUMMARY = """pr AS (SELECT DISTINCT target, step FROM rec),
+src AS (SELECT target, count(DISTINCT (path, sha)) AS sources, count(DISTINCT (step, path, sha)) FILTER (status='changed-outside') AS hand FROM pr JOIN inp USING (step) WHERE from_step IS NULL GROUP BY target),
+nd AS (SELECT pr.target, count(*) AS needs FROM pr JOIN steps s USING (step) JOIN us USING (step) JOIN steps d ON d.step=us.def_step WHERE s.value>=3 AND d.value<3 GROUP BY pr.target),
+sm AS (SELECT target, count(*) AS steps, count(*) FILTER (value<3) AS interactive, count(*) FILTER (event_type='click' AND value<5) AS network, 0 AS unrecorded,
+  count(*) FILTER (value<1) AS no_code, count(*) FILTER (value>100) AS errors, min("end") AS begins FROM pr JOIN steps USING (step) GROUP BY target)
+SELECT target, steps, coalesce(sources,0) AS sources, interactive, coalesce(hand,0) AS hand, network, unrecorded, no_code, errors, begins,
+  CASE WHEN interactive>0 THEN 'interactive' WHEN needs>0 THEN 'scripts-need-session' WHEN hand>0 THEN 'scripts-with-gaps' ELSE 'scripts' END AS verdict
+FROM sm LEFT JOIN src USING (target) LEFT JOIN nd USING (target)"""
+
+
+@query("recipe_summaries", f"WITH RECURSIVE {RECIPES}, {USES_OF}, {SUMMARY}")
+def _(t):
+    """One row per recipe, merged along the labels of the reachability index; nothing is written per recipe and step."""
+    s = Steps(t)
+    return _summed(s, t, s.outputs.select("step"), X.step_edges)
+
+
+@query("story_summaries", f"""WITH RECURSIVE {STEPS}, e2 AS (SELECT DISTINCT step AS src, w AS dst FROM inp WHERE w IS NOT NULL),
+rec AS (SELECT step AS target, step FROM outp UNION ALL SELECT r.target, e.dst FROM rec r JOIN e2 e ON e.src=r.step), {USES_OF}, {SUMMARY}""")
+def _(t):
+    """The same of stories: behind each hand edit goes on the recipe of the version that was edited."""
+    s = Steps(t)
+    return _summed(s, t, s.outputs.select("step"), lambda inputs: X.story_edges(X.step_edges(inputs), inputs, s.outputs, s.steps))
+
+
+@query("detour_steps", f"""WITH RECURSIVE {RECIPES},
+res AS (SELECT step FROM outp WHERE (path, sha) NOT IN (SELECT (path, sha) FROM inp) QUALIFY row_number() OVER (PARTITION BY path ORDER BY "end" DESC, step DESC)=1),
+rr AS (SELECT DISTINCT target, step FROM rec WHERE target IN (SELECT step FROM res)),
+sp AS (SELECT target, min(s."end") AS first, max(CASE WHEN step=target THEN s."end" END) AS last FROM rr JOIN steps s USING (step) GROUP BY target),
+ses AS (SELECT DISTINCT target, session FROM rr JOIN steps USING (step))
+SELECT sp.target, s.step FROM sp JOIN ses USING (target) JOIN steps s USING (session) WHERE s."end">=first AND s."end"<=last AND (sp.target, s.step) NOT IN (SELECT (target, step) FROM rr)""")
+def _(t):
+    """The steps themselves, for the newest result of every path."""
+    s = Steps(t)
+    inputs = cut(s.inputs)
+    unread = s.outputs.join(inputs.select("path", "sha"), ["path", "sha"], "left_anti").join(s.steps.select("step", "end"), "step")
+    newest = unread.groupBy("path").agg(F.max_by("step", F.struct("end", "step")).alias("step")).select("step")
+    index = X.recipe_index(X.step_edges(inputs), inputs, s.steps)
+    recipe = X.recipe_steps(newest, index).select("target", F.col("step").cast("bigint").alias("step"))
+    return X.detour_steps(recipe, s.steps)
+
+
 @query("recipe_gaps", f"""WITH RECURSIVE {RECIPES},
 g AS (SELECT target, path||' was changed by hand' AS gap, 1 AS n FROM (SELECT DISTINCT target, path, sha FROM rec JOIN inp USING (step) WHERE status='changed-outside')
 UNION ALL SELECT target, 'ended with an error', 1 FROM rec JOIN steps USING (step) WHERE value>100)

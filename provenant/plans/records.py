@@ -134,6 +134,30 @@ def _(t):
     return R.lineage(t.work_file, _latest(t))
 
 
+@query("lineage_totals", f"""WITH RECURSIVE {BEHIND},
+pairs AS (SELECT DISTINCT hash, record_id FROM behind),
+i AS (SELECT record_id, count(DISTINCT hash) FILTER (hash IN (SELECT hash FROM made)) AS linked, count(DISTINCT hash) FILTER (hash NOT IN (SELECT hash FROM made)) AS reads
+  FROM work_file WHERE role='in' GROUP BY record_id)
+SELECT hash, count(*) AS records, count(*) FILTER (coalesce(linked,0)=0) AS ends, CAST(sum(coalesce(reads,0)) AS BIGINT) AS reads FROM pairs LEFT JOIN i USING (record_id) GROUP BY hash""")
+def _(t):
+    """From the labels of the reachability index: one row per last output."""
+    return R.lineage_totals(t.work_file, _latest(t))
+
+
+@query("lineage_leads", f"""WITH RECURSIVE {BEHIND},
+ask AS (SELECT f.hash, 'w'||s.o_orderkey AS record_id FROM states s JOIN fin f ON f.hash='supp:'||(1+s.o_custkey%10) WHERE s.n%3=1
+  UNION SELECT f.hash, 'w'||s.o_orderkey FROM states s JOIN states m ON m.o_custkey=s.o_custkey+1 AND m.n=1 JOIN fin f ON f.hash LIKE 'cust:'||s.o_custkey||':%' OR f.hash LIKE 'cust:'||m.o_custkey||':%')
+SELECT ask.hash, ask.record_id, b.hash IS NOT NULL AS leads FROM ask LEFT JOIN (SELECT DISTINCT hash, record_id FROM behind) b USING (hash, record_id)""")
+def _(t):
+    """Is a record in the lineage of a supplier's file, of its customer's last state, of the next customer's? One row per question."""
+    states, fin = t._states.select(F.col("o_custkey").alias("c"), "n", F.concat(F.lit("w"), "o_orderkey").alias("record_id")), _latest(t)
+    supp = states.filter("n % 3 = 1").select(F.concat(F.lit("supp:"), 1 + F.col("c") % 10).alias("hash"), "record_id")
+    last = fin.filter("hash LIKE 'cust:%'").select("hash", F.split("hash", ":")[1].cast("bigint").alias("owner"))
+    after = states.filter("n = 1").select(F.col("c").alias("next"))
+    mine = states.join(after, F.col("next") == F.col("c") + 1).select("record_id", F.explode(F.array("c", F.col("c") + 1)).alias("owner")).join(last, "owner").select("hash", "record_id")
+    return R.leads_to(t.work_file, supp.join(fin, "hash", "left_semi").unionByName(mine).distinct())
+
+
 @query("pedigree_three_hops", """
 WITH prod AS (SELECT DISTINCT hash, record_id FROM work_file WHERE role='out'),
 e AS (SELECT DISTINCT i.record_id AS src, p.record_id AS dst FROM work_file i JOIN prod p ON i.hash=p.hash WHERE i.role='in'),
@@ -287,20 +311,20 @@ def _(t):
 
 
 @query("steps_published", """
-WITH step AS (SELECT record_id AS step, role, hash FROM work_file),
+WITH so AS (SELECT DISTINCT record_id AS step, hash FROM work_file WHERE role='out'),
+si AS (SELECT step, list_sort(list(hash)) AS ins FROM (SELECT DISTINCT f.record_id AS step, f.hash FROM work_file f WHERE f.role='in' AND NOT EXISTS
+  (SELECT 1 FROM back b WHERE b.record_id=f.record_id AND b.hash=f.hash)) GROUP BY step),
 made AS (SELECT DISTINCT f.record_id, hash FROM work_file f JOIN work w USING (record_id) WHERE role='out' AND environment='env-f'),
-rd AS (SELECT DISTINCT f.record_id, hash FROM work_file f JOIN work w USING (record_id) WHERE role='in' AND environment='env-f'),
-so AS (SELECT DISTINCT step, hash FROM step WHERE role='out' AND hash LIKE 'cust:%'),
-si AS (SELECT DISTINCT step, hash FROM step WHERE role='in' AND hash NOT LIKE 'part:%9'),
-pairs AS (SELECT so.step, so.hash, made.record_id, (SELECT count(*) FROM rd WHERE rd.record_id=made.record_id AND NOT EXISTS
-   (SELECT 1 FROM si WHERE si.step=so.step AND si.hash=rd.hash)) AS foreign_in FROM so JOIN made USING (hash)),
-per AS (SELECT so.step, so.hash, min(foreign_in)=0 AS exact FROM so LEFT JOIN pairs USING (step, hash) GROUP BY ALL)
-SELECT step, CASE WHEN bool_and(coalesce(exact,false)) THEN 'published' WHEN bool_and(exact IS NOT NULL) THEN 'same' ELSE 'new' END
-  AS state FROM per GROUP BY step""")
-def _(t):
-    # Steps wrote customer states; they did not see the parts whose key ends in 9; only one class is published.
-    step = t.work_file.select(F.col("record_id").alias("step"), "role", "hash").filter(
-        "(role = 'out' AND hash LIKE 'cust:%') OR (role = 'in' AND hash NOT LIKE 'part:%9')")
+rd AS (SELECT f.record_id, list(DISTINCT hash) AS ins FROM work_file f JOIN work w USING (record_id) WHERE role='in' AND environment='env-f' GROUP BY f.record_id),
+pairs AS (SELECT so.step, so.hash, made.record_id, coalesce(list_has_all(coalesce(si.ins,[]), rd.ins), true) AS fits FROM so JOIN made USING (hash) LEFT JOIN si ON si.step=so.step LEFT JOIN rd ON rd.record_id=made.record_id),
+per AS (SELECT so.step, so.hash, bool_or(fits) AS exact FROM so LEFT JOIN pairs USING (step, hash) GROUP BY ALL)
+SELECT step, CASE WHEN bool_and(coalesce(exact,false)) THEN 'published' WHEN bool_and(exact IS NOT NULL) THEN 'same' ELSE 'new' END AS state FROM per GROUP BY step""".replace(
+    "WITH so", "WITH back AS (SELECT 'w'||l_orderkey AS record_id, 'part:'||l_partkey AS hash FROM lineitem GROUP BY ALL HAVING bool_and(l_returnflag='R')),\nso", 1))
+def _(t):
+    """Steps are the orders with all they wrote; they did not read the parts that all came back. Only one class is published."""
+    back = t.base("lineitem").groupBy(F.concat(F.lit("w"), "l_orderkey").alias("record_id"), F.concat(F.lit("part:"), "l_partkey").alias("hash")).agg(
+        F.bool_and(F.col("l_returnflag") == "R").alias("all")).filter("all").select("record_id", "hash", F.lit("in").alias("role"))
+    step = t.work_file.join(back, ["record_id", "hash", "role"], "left_anti").select(F.col("record_id").alias("step"), "role", "hash")
     published = t.work.filter("environment = 'env-f'").select("record_id")
     return R.steps_published(step, t.work_file.join(published, "record_id", "left_semi"))
 

@@ -189,9 +189,22 @@ def _(t):
     return L.attach_origins(views, tasks, none).select("event_id", "task_no")
 
 
-@query("executions_by_file")
+@query("executions_by_file", f"""WITH RECURSIVE {TASKS},
+ran AS (SELECT DISTINCT x.session, x.task_no, list_extract(string_split(x.extra, ' -i '), -1) AS file, t.start, t."end" FROM num x JOIN tsk t USING (session, task_no) WHERE x.op='exec'),
+ex AS (SELECT 's'||user_id AS session, epoch_us(ts)*1000 AS ts, '/proj/'||(props->>'$.k')||'.csv' AS file, event_id FROM events WHERE event_type='view'),
+o AS (SELECT *, row_number() OVER (PARTITION BY session, file ORDER BY ts, event_id) AS i FROM ex),
+near AS (SELECT o.session, o.file, o.i, o.event_id, list((greatest(r.start-o.ts, o.ts-r."end", 0), r.start, r.task_no) ORDER BY greatest(r.start-o.ts, o.ts-r."end", 0), r.start, r.task_no) FILTER (r.task_no IS NOT NULL) AS c
+  FROM o LEFT JOIN ran r ON r.session=o.session AND r.file=o.file AND o.ts BETWEEN r.start-2000000000 AND r."end"+2000000000 GROUP BY ALL),
+greedy AS (SELECT session, file, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS task_no, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT session, file FROM o)
+  UNION ALL SELECT session, file, i, event_id, task_no, CASE WHEN task_no IS NULL THEN taken ELSE list_append(taken, task_no) END FROM (
+    SELECT n.session, n.file, n.i, n.event_id, g.taken, (list_filter(n.c, lambda x: NOT list_contains(g.taken, x[3]))[1])[3] AS task_no FROM greedy g JOIN near n ON n.session=g.session AND n.file=g.file AND n.i=g.i+1)),
+byfile AS (SELECT event_id, task_no FROM greedy WHERE task_no IS NOT NULL)
+SELECT * FROM byfile UNION ALL
+SELECT e.event_id, t.task_no FROM events e JOIN tsk t ON t.session='s'||e.user_id AND epoch_us(e.ts)*1000>=t.start AND epoch_us(e.ts)*1000<=t."end"
+WHERE e.event_type='view' AND e.event_id NOT IN (SELECT event_id FROM byfile)
+  AND NOT (epoch_us(e.ts)*1000=t.start AND t.task_no>0 AND EXISTS (SELECT 1 FROM tsk p WHERE p.session=t.session AND p.task_no=t.task_no-1 AND p."end"=t.start))""")
 def _(t):
-    """Views are console runs of their key's file; a task sourced the files its commands named. Greedy matching has no SQL."""
+    """Views are console runs of their key's file; a task sourced the files its commands named."""
     events = cut(K.numbered_events(t.trace_event))
     tasks = cut(K.task_rows(events))
     views = t.base("events").filter("event_type = 'view'").select(

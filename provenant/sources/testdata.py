@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.operators.ordered import Scan, numbered, scan
+from provenant.operators.ordered import Scan, key_sizes, numbered, scan
 
 
 class Tables:
@@ -102,10 +102,11 @@ class Tables:
     def claim(self) -> DataFrame:
         """One claim per event, chained per user; the user's first event is the seed of the scope."""
         at = F.struct("ts", "event_id")
+        sizes = key_sizes(self._events, ["user_id"])
         chained = scan(self._events, ["user_id"], ["ts", "event_id"],
-                       [Scan("first", "min", at), Scan("before", "last", F.struct("event_id"), False)])
+                       [Scan("first", "min", at), Scan("before", "last", F.struct("event_id"), False)], sizes=sizes)
         own = scan(chained, ["user_id", "event_type", "k"], ["ts", "event_id"],
-                   [Scan("mine", "last", F.struct("event_id"), False)])
+                   [Scan("mine", "last", F.struct("event_id"), False)], sizes=sizes)
         cid = lambda c: F.concat(F.lit("e"), c)
         level = F.concat(F.lit("L"), F.least(F.floor(F.col("value") / 10), F.lit(2)))
         return own.select(
