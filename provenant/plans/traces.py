@@ -1,5 +1,7 @@
 """Queries over traces: tasks, their children and the links between them."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from provenant.functions.paths import path_class, program_name
@@ -7,7 +9,8 @@ from provenant.functions.terms import field_of
 from provenant.operators import links as L
 from provenant.operators import tasks as K
 from provenant.plans.registry import query
-from provenant.session import cut
+from provenant.session import app_folder, cut
+from provenant.streaming import tasks as ST
 
 # The tasks of the trace in SQL: numbers, states of paths, inputs and outputs.
 NUM = """num AS (SELECT *, coalesce(sum(CASE WHEN op='TASK' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS task_no FROM trace_event)"""
@@ -70,6 +73,17 @@ def _(t):
     return K.build(t.trace_event, "/proj").temporary
 
 
+@query("followed_tasks", f"""WITH {STATES},
+k AS (SELECT t.session, t.task_no, task, status, start, "end" FROM tsk t WHERE marked OR plain_rows>0 OR EXISTS (SELECT 1 FROM inp i WHERE i.session=t.session AND i.task_no=t.task_no) OR EXISTS (SELECT 1 FROM outp o WHERE o.session=t.session AND o.task_no=t.task_no))
+SELECT session, task_no, 'task' AS role, task, status, start, "end", NULL AS path, NULL AS sha, NULL::BIGINT AS first_read, NULL::BIGINT AS last_read, NULL::BOOLEAN AS rewritten, NULL::BIGINT AS written_at FROM k
+UNION ALL SELECT session, task_no, 'in', NULL, NULL, NULL, NULL, path, sha, first_read, last_read, rewritten, NULL FROM inp
+UNION ALL SELECT session, task_no, 'out', NULL, NULL, NULL, NULL, path, sha, NULL, NULL, NULL, written_at FROM outp
+UNION ALL SELECT session, task_no, 'temporary', NULL, NULL, NULL, NULL, path, NULL, NULL, NULL, NULL, NULL FROM per WHERE (written AND (deleted OR csha IS NULL)) OR (moved AND NOT written)""")
+def _(t):
+    """The tables' trace as a stream that arrives in four pieces: its rows are those of the batch."""
+    return ST.replay(t.trace_event, "/proj", f"{app_folder(t.spark)}/{uuid.uuid4().hex}", 4).drop("pid")
+
+
 @query("task_commands", f"WITH {NUM} SELECT session, task_no, pid, split_part(extra,' ',1) AS program, regexp_extract(split_part(extra,' ',1),'[^/]*$') AS name FROM num WHERE op='exec'")
 def _(t):
     return K.program_names(K.build(t.trace_event, "/proj").commands).select("session", "task_no", "pid", "program", "name")

@@ -19,24 +19,40 @@ def one_partition(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_stream_of_tasks_equals_batch(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "s.log").write_text(log(LINES))
+def compared(got, t):
+    """Rows of a stream beside the batch's, by role."""
+    columns = {"task": ["task_no", "task", "status", "start", "end"], "in": ["task_no", "path", "sha", "first_read", "last_read", "pid", "rewritten"],
+               "out": ["task_no", "path", "sha", "written_at"], "temporary": ["task_no", "path"]}
+    rows = lambda found, role: sorted(tuple([r["session"], *(r[c] for c in columns[role])]) for r in found)
+    for role, df in (("task", t.tasks), ("in", t.inputs), ("out", t.outputs), ("temporary", t.temporary)):
+        yield role, rows([r for r in got if r["role"] == role], role), rows(df.collect(), role)
+
+
+MORE = [
+    ("inherit", "w", "/p/console.log", ""), ("open", "r", "/opt/lib/x", "sha256=e"), ("open", "r", "/p/raw", "sha256=a"), ("open", "w", "/p/t.tmp", "new=1"), ("closew", "-", "/p/t.tmp", "sha256=b"),
+    TASK("1"), ("rename", "-", "/p/out", "/p/t.tmp"), ("open", "r", "/data/in.csv", "sha256=d"), ("open", "r", "/p/out", "sha256=b"), TASK("2"),
+    ("open", "w", "/p/console.log", ""), ("open", "r", "/p/raw", "sha256=a"), ("open", "w", "/p/raw", ""), ("closew", "-", "/p/raw", "sha256=a2"), TASK("3", "paused"),
+    ("open", "r", "/p/out", "sha256=b"), ("open", "w", "/p/x", "trunc=1"), ("closew", "-", "/p/x", "sha256=x"), ("unlink", "-", "/p/x", ""), ("open", "w", "/p/x", ""), ("closew", "-", "/p/x", "sha256=y"), TASK("4", "err"),
+    ("open", "w", "/p/none", ""), ("open", "w", "/p/z", "new=1"), ("closew", "-", "/p/z", "sha256=z"), ("END", "-", "end", ""), ("open", "r", "/p/after", "sha256=q"),
+]
+
+
+@pytest.mark.parametrize("lines,batches", [(LINES, 3), (MORE, 1), (MORE, 5)])
+def test_stream_of_tasks_equals_batch(spark, tmp_path, lines, batches):
+    (tmp_path / "s.log").write_text(log(lines))
+    batch = read_traces(spark, str(tmp_path / "s.log")).withColumn("session", F.lit("s"))
+    got = tasks.replay(batch, "/p", str(tmp_path), batches).collect()
+    for role, ours, theirs in compared(got, K.build(batch, "/p")):
+        assert ours == theirs, role
+
+
+def test_sessions_end_when_they_are_idle(spark, tmp_path):
+    """The tail of a session comes when no line came in for its time; another line of it begins it anew."""
+    (tmp_path / "s.log").write_text(log(LINES[:4]))
     batch = read_traces(spark, str(tmp_path / "s.log")).withColumn("session", F.lit("s"))
-    rows = batch.orderBy("ord").collect()
-    # The log arrives in three pieces.
-    for i, part in enumerate((rows[:3], rows[3:7], rows[7:])):
-        spark.createDataFrame(part, batch.schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
-    stream = spark.readStream.schema(batch.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = tasks.follow(stream).writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.table("followed").collect()
-    t = K.build(batch, "/p")
-    part = lambda role: sorted((r["task_no"], r["path"], r["sha"]) for r in got if r["role"] == role)
-    rows = lambda df: sorted((r["task_no"], r["path"], r["sha"]) for r in df.collect())
-    assert part("in") == rows(t.inputs) and part("out") == rows(t.outputs)
-    assert sorted((r["task_no"], r["task"], r["status"], r["start"], r["end"]) for r in got if r["role"] == "task") == sorted(
-        (r["task_no"], r["task"], r["status"], r["start"], r["end"]) for r in t.tasks.collect())
+    late = batch.withColumn("ord", F.col("ord") + 10_000_000)
+    got = tasks.replay(batch.unionByName(late), "/p", str(tmp_path), 3, idle_ms=1).collect()
+    assert sorted((r["task_no"], r["task"]) for r in got if r["role"] == "task") == [(0, "tail"), (0, "tail")]
 
 
 def test_watch_writes_each_change_once(spark, tmp_path):
