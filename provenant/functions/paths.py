@@ -79,16 +79,16 @@ def _any_prefix(path: Column, prefixes: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [path.startswith(p) for p in prefixes], F.lit(False))
 
 
-def path_class(path, project, *, log=None, home: str = "", env: Column | None = None, library: Column | None = None,
+def path_class(path, project, *, log=None, home: str = "", named: Column | None = None, library: Column | None = None,
                env_prefixes: list[str] | None = None) -> Column:
     """self, project, temp, env, system or outside; the first rule that fits decides.
 
-    ``env`` is the session's own prefixes as an array column, ``library`` whether an ancestor of the path
-    is an installed package (from a table of library roots).
+    ``named`` is whether the path lies under a prefix the session named, ``library`` whether an ancestor of the path
+    is an installed package; ``operators.prefixes`` tells both from tables.
     """
     path, project = _c(path), _c(project)
     fixed = list(ENV_PREFIXES) + ([f"{home}/{p}" for p in HOME_ENV] if home else []) + list(env_prefixes or [])
-    own = F.coalesce(F.exists(env, lambda p: under(path, p)), F.lit(False)) if env is not None else F.lit(False)
+    own = F.coalesce(named, F.lit(False)) if named is not None else F.lit(False)
     packaged = path.contains("/site-packages/") | path.contains("/dist-packages/")
     if library is not None:
         packaged = packaged | F.coalesce(library, F.lit(False))

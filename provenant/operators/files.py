@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions.paths import base, directory, extension, work_file
 from provenant.functions.terms import EMPTY_SHA256
-from provenant.operators import graph, reach
+from provenant.operators import components, graph, reach
 from provenant.operators.ordered import Scan, asof, key_sizes, numbered, previous, scan
 from provenant.session import cut
 
@@ -248,6 +248,12 @@ def descendants(starts: DataFrame, inputs: DataFrame, outputs: DataFrame, uses:
     return found.select(parts[1].alias("path"), parts[2].alias("sha"), F.substring_index("node", "\u0001", -1).alias("step"))
 
 
+def flow_order(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``steps`` (step, end) with level, in_cycle and place: producer before reader, the steps of a cycle by time. Order an answer by them."""
+    before = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return components.order(steps.select(F.col("step").alias("id"), "end"), before, F.col("end")).select(F.col("id").alias("step"), "level", "in_cycle", "place")
+
+
 def flow_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """Producer before reader: order an answer by (level, end)."""
     up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

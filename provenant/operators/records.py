@@ -217,6 +217,19 @@ def run_levels(work_file: DataFrame, records: DataFrame) -> DataFrame:
     return placed.select(F.expr("substring(id, 3)").alias("record_id"), F.floor(F.col("level") / 2).alias("level"))
 
 
+def run_order(work_file: DataFrame, records: DataFrame) -> DataFrame:
+    """``records`` (record_id, step) in an order in which producers come before users: by (level, place, step, record_id).
+
+    A record on a cycle has the level of the cycle and a place in it by step name; what is behind a cycle has a level too.
+    """
+    own = work_file.join(records.select("record_id"), "record_id", "left_semi")
+    steps = file_steps(own, up=False)
+    named = records.select(F.concat(F.lit("r:"), "record_id").alias("id"), F.col("step").alias("name"))
+    files = steps.select(F.col("dst").alias("id")).unionByName(steps.select(F.col("src").alias("id"))).distinct().filter("id LIKE 'h:%'").withColumn("name", F.lit(""))
+    found = components.order(named.unionByName(files), steps, F.col("name")).filter("id LIKE 'r:%'")
+    return records.join(found.select(F.expr("substring(id, 3)").alias("record_id"), "level", "in_cycle", "place"), "record_id")
+
+
 def workflow_trace(work, work_file, signature, trust, hashes: DataFrame) -> DataFrame:
     """Lineage of the hashes with command, tier and run level; ordered by (level, step, record) when asked."""
     steps = lineage(work_file, hashes).select("record_id").distinct()

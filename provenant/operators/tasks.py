@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.functions.paths import base, path_class, program_name, under, words
+from provenant.functions.paths import base, path_class, program_name, words
 from provenant.functions.terms import EMPTY_SHA256, field_of
 from provenant.operators import graph
 from provenant.operators.ordered import Scan, key_sizes, previous, scan
+from provenant.operators.prefixes import longest
 from provenant.session import cut
 
 MARKERS = ["TASK", "END", "SOURCE", "ENV", "VARS"]
@@ -98,13 +99,17 @@ def task_rows(events: DataFrame, **kw) -> DataFrame:
 
 
 def build(events: DataFrame, project: str | Column, *, manifest: DataFrame | None = None, home: str = "",
-          env_prefixes: list[str] | None = None, tooling: list[str] | None = None, cache_dir: str = "/.cache/oak/") -> Traces:
-    """Tasks of all sessions. ``manifest`` (path, sha, mtime_ns) stands for the files as they are now."""
+          env_prefixes: list[str] | None = None, tooling: list[str] | None = None, cache_dir: str = "/.cache/oak/", libraries: DataFrame | None = None) -> Traces:
+    """Tasks of all sessions. ``manifest`` (path, sha, mtime_ns) stands for the files as they are now, ``libraries`` (prefix) for the folders of packages."""
     project = F.lit(project) if isinstance(project, str) else project
     # Every key below holds part of one session: when the largest session is small, so are they all.
     seen = key_sizes(events, ["session"])
     kw = {"sizes": seen + seen}  # a rename is two rows
     e = cut(numbered_events(events, tooling, **kw).withColumn("class", path_class("path", project, home=home, env_prefixes=env_prefixes)))
+    if libraries is not None:
+        inside = longest(e.filter("class = 'outside'").select("path").distinct(), libraries.select(F.concat("prefix", F.lit("/")).alias("prefix"))).where("prefix IS NOT NULL")
+        e = e.join(inside.select("path", F.lit(True).alias("__library")), "path", "left").withColumn(
+            "class", F.when((F.col("class") == "outside") & F.col("__library"), "env").otherwise(F.col("class"))).select(*e.columns)
     e = _session_env(e)
     tasks = task_rows(e, **kw)
     live = e.join(tasks.filter("status = 'paused'").select(*KEY), KEY, "left_anti")
@@ -114,7 +119,9 @@ def build(events: DataFrame, project: str | Column, *, manifest: DataFrame | Non
     spawned = _unrecorded(live)
     inputs, outputs, temporary = _inputs_outputs(live, states, tasks, spawned, manifest)
     written = states.filter("is_written IS NOT NULL").groupBy(*KEY, "path").agg(F.max_by("is_written", "at").alias("w")).filter("w")
-    fails = live.filter("op = 'openfail' AND class = 'project'").select(*KEY, "path").distinct()
+    # what was looked for before the session said where it works was looked for by its start, not by a command
+    started = live.filter("op = 'ENV'").groupBy(*KEY).agg(F.max("ord").alias("__env"))
+    fails = live.filter("op = 'openfail' AND class = 'project'").join(started, KEY, "left").filter("__env IS NULL OR ord > __env").select(*KEY, "path").distinct()
     commands = live.filter("op = 'exec'").select(
         *KEY, "ord", "pid", "ppid", F.get(words("extra"), 0).alias("program"), F.col("extra").alias("cmdline"), F.col("path").alias("cwd"))
     listings = live.filter(F.col("op").isin("open", "inherit") & F.col("mode").endswith("d") & F.col("class").isin("project", "outside"))
@@ -139,13 +146,13 @@ def _session_env(e: DataFrame) -> DataFrame:
     said = e.filter("op = 'ENV'")
     if said.isEmpty():
         return e
-    prefixes = F.transform(F.split("path", ","), F.trim)
-    own = said.groupBy("session").agg(F.flatten(F.collect_set(prefixes)).alias("__env"), F.min("ord").alias("__at"))
-    named = F.exists("__env", lambda p: under("path", p))
+    named = said.select("session", F.explode(F.transform(F.split("path", ","), F.trim)).alias("prefix")).distinct()
+    first = said.groupBy("session").agg(F.min("ord").alias("__at"))
+    found = longest(e.join(first, "session", "left_semi").select("session", "path").distinct(), named, ["session"]).where("prefix IS NOT NULL").select("session", "path", F.lit(True).alias("__named"))
     early = (F.col("ord") < F.col("__at")) & (F.col("class") != "project") & ~F.col("op").isin(MARKERS)
-    env = F.col("class").isin("outside", "system", "temp", "env") & (named | early)
-    return e.join(own, "session", "left").withColumn(
-        "class", F.when(F.coalesce(env, F.lit(False)), "env").otherwise(F.col("class"))).drop("__env", "__at")
+    env = F.col("class").isin("outside", "system", "temp", "env") & (F.coalesce("__named", F.lit(False)) | early)
+    return e.join(first, "session", "left").join(found, ["session", "path"], "left").withColumn(
+        "class", F.when(F.coalesce(env, F.lit(False)), "env").otherwise(F.col("class"))).select(*e.columns)
 
 
 def _path_states(e: DataFrame, project, home, env_prefixes, kw) -> DataFrame:

@@ -239,6 +239,14 @@ def _(t):
     return X.flow_levels(s.steps, X.step_edges(s.inputs))
 
 
+@query("flow_order", f"""WITH RECURSIVE {STEPS},
+lv AS (SELECT s.step, CAST(0 AS BIGINT) AS level FROM steps s WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src=s.step) UNION ALL SELECT e.src, l.level+1 FROM lv l JOIN edges e ON e.dst=l.step)
+SELECT step, max(level) AS level, false AS in_cycle, 1 AS place FROM lv GROUP BY step""")
+def _(t):
+    s = Steps(t)
+    return X.flow_order(s.steps, X.step_edges(s.inputs))
+
+
 @query("observation_graph", f"""WITH {STEPS},
 x AS (SELECT substr(sha256(s.session||chr(0)||s.step),1,32) AS source, CASE WHEN from_step IS NULL THEN sha ELSE substr(sha256(f.session||chr(0)||f.step),1,32) END AS target
 FROM inp i JOIN steps s USING (step) LEFT JOIN steps f ON f.step=i.from_step)

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from provenant.operators import components
 from provenant.operators import records as R
 from provenant.operators import trust as T
 from provenant.plans.registry import query
+from provenant.session import cut
 
 
 @query("reproductions", """
@@ -259,6 +261,30 @@ def _(t):
     return R.run_levels(t.work_file, t.work.select("record_id"))
 
 
+@query("run_order", """
+SELECT 'w'||o_orderkey AS record_id, kind AS step, 2*(n-1) AS level, false AS in_cycle, 1 AS place FROM states JOIN work ON record_id='w'||o_orderkey""")
+def _(t):
+    return R.run_order(t.work_file, t.work.select("record_id", F.col("kind").alias("step")))
+
+
+@query("order_with_cycles", """
+WITH RECURSIVE e AS (SELECT DISTINCT user_id||':'||k AS src, user_id||':'||((k*7+3)%100) AS dst FROM trace_source WHERE event_type IN ('click','view','purchase')),
+n AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+far AS (SELECT src, dst FROM e UNION SELECT far.src, e.dst FROM far JOIN e ON e.src=far.dst),
+ring AS (SELECT a.src AS id, max(a.dst) AS other, count(*) FILTER (a.dst<>a.src) AS others FROM far a JOIN far b ON a.src=b.dst AND a.dst=b.src GROUP BY a.src),
+p AS (SELECT n.id, greatest(n.id, coalesce(other, n.id)) AS part, coalesce(others, 0)>0 AS in_cycle FROM n LEFT JOIN ring USING (id)),
+pe AS (SELECT DISTINCT a.part AS src, b.part AS dst FROM e JOIN p a ON a.id=e.src JOIN p b ON b.id=e.dst WHERE a.part<>b.part),
+lv AS (SELECT DISTINCT part, CAST(0 AS BIGINT) AS level FROM p UNION SELECT pe.dst, level+1 FROM lv JOIN pe ON pe.src=lv.part)
+SELECT p.id, part, max(level) AS level, in_cycle, row_number() OVER (PARTITION BY part ORDER BY p.id) AS place FROM p JOIN lv USING (part) GROUP BY p.id, part, in_cycle""")
+def _(t):
+    """Every key of a user's events leads to one other key, so that ways run into rings: levels exist behind them, and rings are ordered by name."""
+    e = t._events.filter("event_type IN ('click', 'view', 'purchase')")
+    node = lambda k: F.concat_ws(":", "user_id", k)
+    edges = cut(e.select(node(F.col("k")).alias("src"), node((F.col("k") * 7 + 3) % 100).alias("dst")).distinct())
+    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return components.order(nodes, edges)
+
+
 @query("workflow_trace", """
 WITH r AS (SELECT record_id, arg_min(keyid,pos) AS keyid, arg_min(tier,pos) AS tier FROM verified GROUP BY record_id)
 SELECT w.record_id, n-1 AS level, kind, cmd, keyid, tier FROM work w JOIN states ON record_id='w'||o_orderkey

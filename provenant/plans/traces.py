@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provenant.functions.paths import path_class, program_name
 from provenant.functions.terms import field_of
 from provenant.operators import links as L
+from provenant.operators import prefixes as P
 from provenant.operators import tasks as K
 from provenant.plans.registry import query
 from provenant.session import app_folder, cut
@@ -117,6 +118,28 @@ def _(t):
     return p.select("page_id", path_class("path", F.lit("/work")).alias("class"))
 
 
+@query("classes_of_files", """
+WITH f AS (SELECT DISTINCT 'o'||l_orderkey AS session, '/data/s'||l_suppkey||'/p'||l_partkey||'/f'||l_linenumber||'.R' AS path, l_suppkey AS s, l_partkey AS p, l_orderkey AS o FROM lineitem
+  UNION SELECT 'o'||o_orderkey, '/work/'||o_custkey||'/x.csv', NULL, NULL, o_orderkey FROM orders UNION SELECT 'o'||o_orderkey, '/tmp/Rtmp'||o_custkey||'/x', NULL, NULL, o_orderkey FROM orders
+  UNION SELECT 'o'||o_orderkey, '/proc/'||o_custkey, NULL, NULL, o_orderkey FROM orders UNION SELECT 'o'||o_orderkey, '/log/o'||o_orderkey, NULL, NULL, o_orderkey FROM orders),
+lib AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_linenumber=1),
+en AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_returnflag='R')
+SELECT session, path, CASE WHEN path='/log/'||session THEN 'self' WHEN path LIKE '/work/%' THEN 'project' WHEN path LIKE '/tmp/%' THEN 'temp' WHEN path LIKE '/proc/%' THEN 'system'
+  WHEN (o, s) IN (SELECT (o, s) FROM en) THEN 'env' WHEN (s, p) IN (SELECT (s, p) FROM lib) THEN 'env' ELSE 'outside' END AS class FROM f""")
+def _(t):
+    """Every line item is a file of its order's session; thousands of folders hold packages; sessions named the folders of suppliers."""
+    l, o = t.base("lineitem"), t.base("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("session"), F.col("o_custkey").cast("string").alias("c"))
+    session, supp = F.concat(F.lit("o"), "l_orderkey").alias("session"), F.concat(F.lit("/data/s"), "l_suppkey")
+    pack = F.concat(supp, F.lit("/p"), "l_partkey")
+    of = lambda path: o.select("session", path.alias("path"))
+    files = l.select(session, F.concat(pack, F.lit("/f"), "l_linenumber", F.lit(".R")).alias("path"))
+    for path in (F.concat(F.lit("/work/"), "c", F.lit("/x.csv")), F.concat(F.lit("/tmp/Rtmp"), "c", F.lit("/x")), F.concat(F.lit("/proc/"), "c"), F.concat(F.lit("/log/"), "session")):
+        files = files.unionByName(of(path))
+    there = l.filter("l_linenumber = 1").select(F.concat(pack, F.lit("/Meta/package.rds")).alias("path"))
+    named = l.filter("l_returnflag = 'R'").select(session, supp.alias("prefix")).distinct()
+    return P.classes(files.distinct(), "/work", named=named, keys=["session"], libraries=P.library_roots(there), log=F.concat(F.lit("/log/"), "session"))
+
+
 @query("extra_fields", "SELECT ord, CASE WHEN op='open' AND mode='w' THEN '1' ELSE '' END AS trunc, coalesce(sha,'') AS sha256 FROM trace_event")
 def _(t):
     return t.trace_event.select("ord", field_of("extra", "trunc").alias("trunc"), field_of("extra", "sha256").alias("sha256"))
