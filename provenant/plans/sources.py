@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provenant.functions.terms import bare, content_id
 from provenant.plans.registry import query
 from provenant.session import app_folder
+from provenant.sources import quads
 from provenant.sources import registries as G
 from provenant.sources.results import read_csv
 from provenant.sources.store import write_snapshot
@@ -120,3 +121,51 @@ def _(t):
 def _(t):
     h = t.base("documents").select("doc_id", F.sha2("text", 256).alias("h"))
     return h.select("doc_id", content_id(F.concat(F.lit("urn:sha256:"), "h")).alias("a"), content_id(F.concat(F.lit("sha256:"), F.upper("h"))).alias("b"), content_id("h").alias("c"), bare(F.concat(F.lit("urn:sha256:"), "h")).alias("d"))
+
+
+LOADED = """st AS (SELECT DISTINCT l_orderkey, o_orderstatus, o_orderpriority, l_partkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
+g AS (SELECT 'urn:sha256:'||sha256('order'||l_orderkey) AS g, l_partkey FROM st WHERE o_orderpriority<>'1-URGENT' AND (o_orderstatus<>'F' OR l_returnflag='R') GROUP BY ALL)"""
+
+
+def loaded(t) -> str:
+    """Every order is a file of statements about its parts. All are loaded; those of finished orders are loaded again with the parts that came back; the
+    urgent ones are dropped."""
+    at = folder(t)
+    o = t.base("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.concat(F.lit("f"), "o_orderkey").alias("file"), F.sha2(F.concat(F.lit("order"), "o_orderkey"), 256).alias("sha"))
+    graphs = o.select("file", F.concat(F.lit("urn:sha256:"), "sha").alias("graph"), "o_orderstatus", "o_orderpriority")
+    lines = t.base("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    statements = lines.select("file", F.lit(None).cast("string").alias("g"), F.concat(F.lit("urn:order:"), "l_orderkey").alias("s"), F.lit("urn:has").alias("p"), F.concat(F.lit("urn:part:"), "l_partkey").alias("o"), "l_returnflag")
+    quads.replace_graphs(statements.drop("l_returnflag"), graphs, at)
+    quads.replace_graphs(statements.where("l_returnflag = 'R'").drop("l_returnflag"), graphs.where("o_orderstatus = 'F'"), at)
+    quads.drop_graphs(graphs.where("o_orderpriority = '1-URGENT'"), at)
+    return at
+
+
+@query("loaded_graphs", f"WITH {LOADED} SELECT g, count(*) AS triples, 1 AS subjects, 1 AS predicates FROM g GROUP BY g")
+def _(t):
+    """What is loaded under each graph, after loading, replacing and dropping thousands of them."""
+    return quads.graph_statistics(quads.read_graphs(t.spark, loaded(t)))
+
+
+@query("loaded_statements", f"WITH {LOADED} SELECT g, 'urn:part:'||l_partkey AS o FROM g")
+def _(t):
+    return quads.read_graphs(t.spark, loaded(t)).select("g", "o")
+
+
+@query("triples_of_repositories", """
+SELECT o_orderpriority AS repo, CAST(sum(n) AS BIGINT) AS triples, count(*) AS graphs FROM (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey=o_orderkey GROUP BY 1""")
+def _(t):
+    """An order's priority names the repository that loaded its file."""
+    per = t.base("lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("triples"))
+    rows = per.join(t.base("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return quads.loaded_triples(rows.select(F.col("o_orderpriority").alias("repo"), F.concat(F.lit("urn:"), "l_orderkey").alias("graph"), "triples"))
+
+
+@query("droppable_graphs", """
+WITH c AS (SELECT DISTINCT o_orderpriority AS repo, 'urn:'||l_partkey AS graph FROM lineitem JOIN orders ON l_orderkey=o_orderkey)
+SELECT graph FROM c WHERE repo='1-URGENT' AND graph NOT IN (SELECT graph FROM c WHERE repo<>'1-URGENT')""")
+def _(t):
+    """Parts as graphs that several repositories loaded."""
+    rows = t.base("lineitem").join(t.base("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    catalogue = rows.select(F.col("o_orderpriority").alias("repo"), F.concat(F.lit("urn:"), "l_partkey").alias("graph")).distinct()
+    return quads.droppable(catalogue, "1-URGENT", catalogue.filter("repo = '1-URGENT'").select("graph"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions.terms import XSD, nt_term, nt_unquote
+from provenant.session import cut
 from provenant.sources.tracelog import numbered_lines
 
 _IRI, _BNODE = r"<([^<>\"{}|^`\\\s]*)>", r"_:([A-Za-z0-9_][\w.-]*)"
@@ -74,10 +75,60 @@ def load_graphs(files: DataFrame, statements: DataFrame, record_ids: DataFrame,
         F.lit(repository).alias("repo"), "sha", F.concat(F.lit("urn:sha256:"), "sha").alias("graph"), "file", "triples")
 
 
-def replace_graphs(statements: DataFrame, graphs: DataFrame, path: str) -> None:
-    """Write loaded graphs, each replacing its own partition whole; loading again changes nothing."""
+BUCKETS = 64
+
+
+def _bucket(graph: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(graph), F.lit(buckets))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def replace_graphs(statements: DataFrame, graphs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write loaded graphs, each replacing what was there of it; loading again changes nothing.
+
+    Graphs lie in buckets by a hash of their name, one file a bucket, so files are as many as buckets whatever the number of graphs. A bucket
+    that holds one of ``graphs`` is written anew, from its other graphs as they are and the new statements; the others are not touched.
+    """
     rows = statements.drop("g").join(graphs.select("file", F.col("graph").alias("g")), "file").drop("file").distinct()
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("g").parquet(path)
+    _rewrite(rows, graphs.select(F.col("graph").alias("g")).distinct(), path, buckets)
+
+
+def drop_graphs(graphs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Remove ``graphs`` (graph); their buckets are written anew without them."""
+    loaded = read_graphs(graphs.sparkSession, path)
+    _rewrite(loaded.limit(0), graphs.select(F.col("graph").alias("g")).distinct(), path, buckets)
+
+
+def _rewrite(rows: DataFrame, names: DataFrame, path: str, buckets: int) -> None:
+    spark = rows.sparkSession
+    names = cut(names.withColumn("bucket", _bucket("g", buckets)))
+    touched = [r.bucket for r in names.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    new = rows.withColumn("bucket", _bucket("g", buckets))
+    if _there(spark, path):
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched) & F.col("g").isNotNull())
+        new = old.select(new.columns).join(names.select("g"), "g", "left_anti").select(new.columns).unionByName(new)
+    # a row without a graph marks each bucket, so that one whose last graph went is written anew too
+    marks = names.select("bucket").distinct().select(*(F.col("bucket") if c == "bucket" else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns))
+    staged = cut(new.unionByName(marks))  # whole before anything is replaced, as it is read from what it replaces
+    staged.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_graphs(spark: SparkSession, path: str, graphs: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The statements of all loaded graphs, or of some, of which only the buckets are read."""
+    rows = spark.read.parquet(path).where("g IS NOT NULL")
+    if graphs is not None:
+        wanted = spark.createDataFrame([(g,) for g in graphs], "g string").select(_bucket("g", buckets).alias("b")).distinct().collect()
+        rows = rows.where(F.col("bucket").isin([r.b for r in wanted]) & F.col("g").isin(graphs))
+    return rows.drop("bucket")
+
+
+def graph_statistics(loaded: DataFrame) -> DataFrame:
+    """``(g, triples, subjects, predicates)`` of loaded graphs."""
+    return loaded.groupBy("g").agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("s").alias("subjects"), F.count_distinct("p").alias("predicates"))
 
 
 def droppable(catalogue: DataFrame, repository: str, graphs: DataFrame) -> DataFrame:

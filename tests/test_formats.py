@@ -126,12 +126,31 @@ def test_loading_graphs(spark, tmp_path):
         quads.load_graphs(files, st, spark.createDataFrame([("sha256:aa",)], "record_id string"), none, "r1", 10, 100)
     quads.replace_graphs(st, cat, str(tmp_path / "loaded"))
     quads.replace_graphs(st, cat, str(tmp_path / "loaded"))
-    assert spark.read.parquet(str(tmp_path / "loaded")).count() == 3
+    assert quads.read_graphs(spark, str(tmp_path / "loaded")).count() == 3
     both = cat.unionByName(cat.filter("sha = 'aa'").withColumn("repo", F.lit("r2")))
     assert [r["graph"] for r in quads.droppable(both, "r1", cat.select("graph")).collect()] == ["urn:sha256:bb"]
     assert {r["repo"]: r["triples"] for r in quads.loaded_triples(both).collect()} == {"r1": 3, "r2": 1}
 
 
+def test_many_graphs_in_few_files(spark, tmp_path):
+    path, n = str(tmp_path / "loaded"), 3000
+    graphs = spark.range(n).selectExpr("'f' || id AS file", "'urn:sha256:' || id AS graph")
+    of = lambda times: spark.range(n).selectExpr("'f' || id AS file", "cast(NULL AS string) AS g", "id AS s", f"explode(sequence(1, cast(1 + id % {times} AS int))) AS o").selectExpr("file", "g", "cast(s AS string) AS s", "'p' AS p", "cast(o AS string) AS o")
+    files = lambda: sorted(str(p) for p in (tmp_path / "loaded").rglob("*.parquet"))
+    quads.replace_graphs(of(3), graphs, path, 8)
+    assert len(files()) == 8
+    before = files()
+    one = graphs.where("graph = 'urn:sha256:7'")
+    quads.replace_graphs(of(9), one, path, 8)
+    assert len(files()) == 8 and len(set(files()) & set(before)) == 7
+    quads.drop_graphs(graphs.where("graph LIKE '%5'"), path, 8)
+    want = {f"urn:sha256:{i}": 8 if i == 7 else 1 + i % 3 for i in range(n) if i % 10 != 5}
+    assert {r["g"]: r["triples"] for r in quads.graph_statistics(quads.read_graphs(spark, path)).collect()} == want
+    assert {r["g"] for r in quads.read_graphs(spark, path, ["urn:sha256:7", "urn:sha256:5"], 8).collect()} == {"urn:sha256:7"}
+    quads.drop_graphs(graphs, path, 8)
+    assert quads.read_graphs(spark, path).count() == 0 and len(files()) == 8
+
+
 def test_results_documents(spark, tmp_path):
     doc = {"head": {"vars": ["a", "b"]}, "results": {"bindings": [{"a": {"type": "uri", "value": "u"}}, {"a": {"type": "literal", "value": "1", "datatype": "d"}, "b": {"type": "literal", "value": "x", "xml:lang": "en"}}]}}
     (tmp_path / "r.json").write_text(json.dumps(doc, indent=1))
