@@ -146,7 +146,7 @@ def _session_env(e: DataFrame) -> DataFrame:
     said = e.filter("op = 'ENV'")
     if said.isEmpty():
         return e
-    named = said.select("session", F.explode(F.transform(F.split("path", ","), F.trim)).alias("prefix")).distinct()
+    named = said.select("session", F.explode(F.transform(F.split("path", ","), lambda p: F.trim(p))).alias("prefix")).distinct()
     first = said.groupBy("session").agg(F.min("ord").alias("__at"))
     found = longest(e.join(first, "session", "left_semi").select("session", "path").distinct(), named, ["session"]).where("prefix IS NOT NULL").select("session", "path", F.lit(True).alias("__named"))
     early = (F.col("ord") < F.col("__at")) & (F.col("class") != "project") & ~F.col("op").isin(MARKERS)

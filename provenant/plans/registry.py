@@ -12,7 +12,7 @@ from provenant.sources.testdata import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-AREAS = ("base", "records", "scopes", "unions", "view", "claims", "traces", "files", "studies", "feeds", "sources")
+AREAS = ("base", "records", "scopes", "unions", "view", "claims", "traces", "sessions", "files", "studies", "feeds", "sources")
 
 
 def query(name: str, sql: str | None = None):
