@@ -5,8 +5,8 @@ Features are the 1- to ``LONGEST``-grams of the whole text in lower case, everyt
 follow-the-regularised-leader (FTRL-proximal) with an elastic net (L1 and L2), so that most are zero; a temperature fitted on labelled texts that were
 not trained on calibrates the probabilities.
 
-The classifier is fitted on at most about ``PER_LANGUAGE`` labelled documents of each language, drawn by a hash of doc_id; that is
-its only bound. Every text is read whole when it is judged. Fitting takes one task, judging no shuffle.
+The classifier is fitted on at most about ``PER_LANGUAGE`` labelled documents of each of the ``LANGUAGES`` languages that have most of them (of
+equally many, the first by name), drawn by a hash of doc_id; these are its only bounds, and the model has at most ``BUCKETS`` weights a language. Every text is read whole when it is judged. Fitting takes one task, judging no shuffle.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; so are all texts if no language was learned; rows that repeat a
 doc_id are judged each; rows without doc_id or language are not learned from, and the former are not held out. An empty
@@ -28,11 +28,12 @@ from provenant.llm.common import rows
 LONGEST = 3
 BUCKETS = 1 << 17
 PER_LANGUAGE = 1500
+LANGUAGES = 100
 HELD_OUT = 2
 CALIBRATED_ON = 3
 EPOCHS = 2
 # FTRL: learning rate, its offset, and the strengths of L1 and L2; features are scaled so that a text's values have a length near 1.
-ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 1e-3, 1e-5, 3.0
+ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 3e-2, 1e-5, 3.0
 UNKNOWN = "und"
 
 MODEL = "lang string, bucket int, weight double, temperature double"
@@ -149,8 +150,8 @@ def learn(docs: DataFrame) -> DataFrame:
     part = fold(F.col("doc_id"), 4)
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (part != HELD_OUT)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), part.alias("part"))
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")) / F.lit(2.0**64) + 0.5
-    wanted = labelled.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("share"))
-    # one row per language, as the model that is learned; texts are drawn where they are read
+    wanted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", (F.lit(float(PER_LANGUAGE)) / F.col("n")).alias("share"))
+    # at most LANGUAGES rows; texts are drawn where they are read
     sample = labelled.withColumn("draw", draw).join(F.broadcast(wanted), "lang").where("draw < share").select("draw", "lang", "part", "text")
     return sample.repartition(1).mapInArrow(_fit, MODEL)
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provenant.llm import languages as la
 from provenant.llm import queries
@@ -114,6 +115,54 @@ def test_quotation_and_misspelling(spark, insults, monkeypatch):
     assert [q for _, q, _ in reader.hits(odd[1][1])[0]][-1:] != [] and any(q for _, q, _ in reader.hits(odd[1][1])[0])
 
 
+def plain_ftrl(examples, classes):
+    """FTRL-proximal weight by weight, as it is published, with nothing kept sparse."""
+    z, n = {}, {}
+
+    def weight(b, k):
+        zi, ni = z.get((b, k), 0.0), n.get((b, k), 0.0)
+        if abs(zi) <= la.L1:
+            return 0.0
+        return -(zi - (1 if zi > 0 else -1) * la.L1) / ((la.BETA + ni**0.5) / la.ALPHA + la.L2)
+
+    for _ in range(la.EPOCHS):
+        for buckets, values, label in examples:
+            w = {(b, k): weight(b, k) for b in buckets for k in range(classes)}
+            logits = [sum(v * w[b, k] for b, v in zip(buckets, values, strict=True)) for k in range(classes)]
+            e = [np.exp(x - max(logits)) for x in logits]
+            for k in range(classes):
+                p = e[k] / sum(e) - (k == label)
+                for b, v in zip(buckets, values, strict=True):
+                    g, old = v * p, n.get((b, k), 0.0)
+                    sigma = ((old + g * g) ** 0.5 - old**0.5) / la.ALPHA
+                    z[b, k] = z.get((b, k), 0.0) + g - sigma * w[b, k]
+                    n[b, k] = old + g * g
+    return {key: weight(*key) for key in z}
+
+
+def test_weights_equal_plain_ftrl():
+    r = np.random.default_rng(2)
+    examples = []
+    for _ in range(60):
+        label = int(r.integers(0, 3))
+        buckets = np.unique(r.integers(0, 40, 8) + 10 * label)
+        examples.append((buckets.astype(np.int32), r.random(len(buckets)), label))
+    got, want = la.ftrl(examples, 3), plain_ftrl([(b.tolist(), v.tolist(), y) for b, v, y in examples], 3)
+    assert all(abs(got[key] - w) < 1e-9 for key, w in want.items())
+    assert np.count_nonzero(got) == sum(w != 0 for w in want.values()) < len(want)
+
+
+def test_most_weights_are_zero_and_languages_are_bounded(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = la.learn(docs).collect()
+    buckets = {b for r in docs.select("text").collect() if r.text for b in la.shares(r.text)[0].tolist()}
+    for lang in {r.lang for r in model}:
+        assert sum(r.lang == lang and r.weight != 0 for r in model) < 0.3 * len(buckets)
+    monkeypatch.setattr(la, "LANGUAGES", 2)
+    most = [r.lang for r in docs.where("lang IS NOT NULL AND pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) <> 2").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()]
+    assert {r.lang for r in la.learn(docs).select("lang").distinct().collect()} == set(most)
+
+
 def brute_quotations(text):
     """Every mark looks for its partner by itself: the nearest open mark before it that it closes."""
     closing = {"“": "”", "„": "“”", "«": "»", "»": "«", '"': '"'}
