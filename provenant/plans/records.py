@@ -148,7 +148,7 @@ def _(t):
 
 @query("lineage_leads", f"""WITH RECURSIVE {BEHIND},
 ask AS (SELECT f.hash, 'w'||s.o_orderkey AS record_id FROM states s JOIN fin f ON f.hash='supp:'||(1+s.o_custkey%10) WHERE s.n%3=1
-  UNION SELECT f.hash, 'w'||s.o_orderkey FROM states s JOIN states m ON m.o_custkey=s.o_custkey+1 AND m.n=1 JOIN fin f ON f.hash LIKE 'cust:'||s.o_custkey||':%' OR f.hash LIKE 'cust:'||m.o_custkey||':%')
+  UNION SELECT f.hash, 'w'||s.o_orderkey FROM states s JOIN states m ON m.o_custkey=s.o_custkey+1 AND m.n=1 JOIN (SELECT hash, TRY_CAST(split_part(hash,':',2) AS BIGINT) AS owner FROM fin WHERE hash LIKE 'cust:%') f ON f.owner=s.o_custkey OR f.owner=m.o_custkey)
 SELECT ask.hash, ask.record_id, b.hash IS NOT NULL AS leads FROM ask LEFT JOIN (SELECT DISTINCT hash, record_id FROM behind) b USING (hash, record_id)""")
 def _(t):
     """Is a record in the lineage of a supplier's file, of its customer's last state, of the next customer's? One row per question."""

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,42 @@ def test_each_execution_of_a_file_takes_a_step_of_its_own(spark):
     assert pairs(got, "file", "task_no") == [("/p/a.R", 0), ("/p/a.R", 1), ("/p/a.R", 2), ("/p/a.R", 3), ("/p/b.R", 9)]
 
 
+def greedy(executions, spans):
+    """Each execution in order of time takes the nearest free step that ran its file, at most two seconds away."""
+    free, out = {(s, t, f): (a, b) for s, t, f, a, b in spans}, {}
+    for i, (s, ts, f) in sorted(enumerate(executions), key=lambda x: (x[1][1], x[0])):
+        near = sorted((max(a - ts, ts - b, 0), a, t) for (s2, t, f2), (a, b) in free.items() if (s2, f2) == (s, f) and a - L.SOURCE_SLACK_NS <= ts <= b + L.SOURCE_SLACK_NS)
+        if near:
+            out[i] = near[0][2]
+            del free[s, near[0][2], f]
+    return out
+
+
+@pytest.mark.parametrize("gap", [1, 8])
+def test_executions_are_matched_in_clusters(spark, gap, request):
+    if gap == 1:
+        request.getfixturevalue("split_keys")
+    r, sec = random.Random(gap), 10**9
+    tasks, spans, at = [], [], 0
+    for k in range(120):
+        a, at = at, at + r.randrange(0, gap * sec)
+        tasks.append(("s", k, a, at))
+        spans += [("s", k, f, a, at) for f in ("/a", "/b") if r.random() < 0.6]
+    # times differ, so that the order of executions is known
+    executions = [("s", r.randrange(at) * 7 + i, r.choice(["/a", "/a", "/b", "/c"])) for i, at in enumerate([max(1, at // 7)] * 150)]
+    o = spark.createDataFrame([(*e, i) for i, e in enumerate(executions)], "session string, ts bigint, file string, i int").withColumn("stamp", F.timestamp_micros(F.col("ts")))
+    t = spark.createDataFrame(tasks, "session string, task_no bigint, start bigint, end bigint")
+    src = spark.createDataFrame([x[:3] for x in spans], "session string, task_no bigint, path string")
+    e, w = L._clusters(o.select("session", "file", F.col("ts").alias("at"), F.col("i").cast("bigint").alias("__row")), src.withColumnRenamed("path", "file").join(t, ["session", "task_no"]).selectExpr(
+        "session", "file", "task_no", "start", "end", f"start - {L.SOURCE_SLACK_NS} AS at", f"end + {L.SOURCE_SLACK_NS} AS until"))
+    assert {x["__row"]: x["task_no"] for x in L._matched(e, w).collect()} == greedy(executions, spans)
+    assert e.select("file", "cluster").distinct().count() > (3 if gap == 1 else 20)
+    got = L.attach_origins(o, t, src)
+    want = greedy(executions, spans)
+    assert {i: n for i, n in ((x["i"], x["task_no"]) for x in got.collect()) if i in want} == want
+    assert all(x["stamp"].microsecond == x["ts"] % 10**6 for x in got.collect())
+
+
 @pytest.mark.parametrize("code,names", [
     ("y <- mean(x)", ["x"]), ("pop <- read.csv('a.csv'); head(pop)", []), ("f(a = b, c == d)", ["b", "c", "d"]), ("x$y <- 1", ["x"]), ("x <- x + 1", ["x"]),
     ("g <- function(u, v = 2) u + w", ["w"]), ("# fit's own\nprint(\"k # z\", k)", ["k"]), ("for (i in 1:n) s[i] <- i", ["n", "s"])])
