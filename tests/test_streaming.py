@@ -37,7 +37,7 @@ MORE = [
 ]
 
 
-@pytest.mark.parametrize("lines,batches", [(LINES, 3), (MORE, 1), (MORE, 5)])
+@pytest.mark.parametrize("lines,batches", [(LINES, 3), (MORE, 5)])
 def test_stream_of_tasks_equals_batch(spark, tmp_path, lines, batches):
     (tmp_path / "s.log").write_text(log(lines))
     batch = read_traces(spark, str(tmp_path / "s.log")).withColumn("session", F.lit("s"))
