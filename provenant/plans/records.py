@@ -147,16 +147,17 @@ def _(t):
 
 
 @query("lineage_leads", f"""WITH RECURSIVE {BEHIND},
+last AS (SELECT hash, TRY_CAST(split_part(hash,':',2) AS BIGINT) AS owner FROM fin WHERE hash LIKE 'cust:%'),
 ask AS (SELECT f.hash, 'w'||s.o_orderkey AS record_id FROM states s JOIN fin f ON f.hash='supp:'||(1+s.o_custkey%10) WHERE s.n%3=1
-  UNION SELECT f.hash, 'w'||s.o_orderkey FROM states s JOIN states m ON m.o_custkey=s.o_custkey+1 AND m.n=1 JOIN (SELECT hash, TRY_CAST(split_part(hash,':',2) AS BIGINT) AS owner FROM fin WHERE hash LIKE 'cust:%') f ON f.owner=s.o_custkey OR f.owner=m.o_custkey)
-SELECT ask.hash, ask.record_id, b.hash IS NOT NULL AS leads FROM ask LEFT JOIN (SELECT DISTINCT hash, record_id FROM behind) b USING (hash, record_id)""")
+  UNION SELECT l.hash, 'w'||o.o_orderkey FROM orders o JOIN last l ON l.owner=o.o_custkey UNION SELECT l.hash, 'w'||o.o_orderkey FROM orders o JOIN last l ON l.owner=o.o_custkey+1)
+SELECT hash, record_id, bool_or(found) AS leads FROM (SELECT hash, record_id, false AS found, true AS asked FROM ask UNION ALL SELECT hash, record_id, true, false FROM behind)
+GROUP BY hash, record_id HAVING bool_or(asked)""")
 def _(t):
     """Is a record in the lineage of a supplier's file, of its customer's last state, of the next customer's? One row per question."""
     states, fin = t._states.select(F.col("o_custkey").alias("c"), "n", F.concat(F.lit("w"), "o_orderkey").alias("record_id")), _latest(t)
     supp = states.filter("n % 3 = 1").select(F.concat(F.lit("supp:"), 1 + F.col("c") % 10).alias("hash"), "record_id")
     last = fin.filter("hash LIKE 'cust:%'").select("hash", F.split("hash", ":")[1].cast("bigint").alias("owner"))
-    after = states.filter("n = 1").select(F.col("c").alias("next"))
-    mine = states.join(after, F.col("next") == F.col("c") + 1).select("record_id", F.explode(F.array("c", F.col("c") + 1)).alias("owner")).join(last, "owner").select("hash", "record_id")
+    mine = states.select("record_id", F.explode(F.array("c", F.col("c") + 1)).alias("owner")).join(last, "owner").select("hash", "record_id")
     return R.leads_to(t.work_file, supp.join(fin, "hash", "left_semi").unionByName(mine).distinct())
 
 
