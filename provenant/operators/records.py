@@ -224,6 +224,9 @@ def run_order(work_file: DataFrame, records: DataFrame) -> DataFrame:
     """
     own = work_file.join(records.select("record_id"), "record_id", "left_semi")
     steps = file_steps(own, up=False)
+    # a file that no record made comes before nothing
+    made = steps.filter("dst LIKE 'h:%'").select(F.col("dst").alias("made")).distinct()
+    steps = cut(steps.join(made, F.col("src") == F.col("made"), "left").filter("src LIKE 'r:%' OR made IS NOT NULL").select("src", "dst"))
     named = records.select(F.concat(F.lit("r:"), "record_id").alias("id"), F.col("step").alias("name"))
     files = steps.select(F.col("dst").alias("id")).unionByName(steps.select(F.col("src").alias("id"))).distinct().filter("id LIKE 'h:%'").withColumn("name", F.lit(""))
     found = components.order(named.unionByName(files), steps, F.col("name")).filter("id LIKE 'r:%'")
