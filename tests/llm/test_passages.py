@@ -10,6 +10,7 @@ import pytest
 
 from provenant.llm import decontamination as dc
 from provenant.llm import linededup as ld
+from provenant.llm import queries
 from provenant.llm import substrings as ss
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -155,6 +156,19 @@ def test_the_sql_states_the_rule(copies_once):
     assert sum(w[2] for w in want) == 12 * 3 + (0 if copies_once else 19 * 2)
 
 
+def test_the_query_counts_every_document(spark, tmp_path):
+    """A line on ten sites is boilerplate for the registered query and its SQL, though the pages are copies of one text."""
+    docs = [(i, "whole\ncopy", f"s{i}") for i in range(12)] + [(20 + i, f"own {i}\nmixed", f"t{i}") for i in range(5)]
+    docs += [(40 + i, "mixed\nsame", f"u{i}") for i in range(5)] + [(60 + i, f"own {60 + i}\nnine", f"s{i}") for i in range(9)] + [(80, None, "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = brute_lines(docs, 10, copies_once=False)
+    assert sorted((tuple(x) for x in queries.QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()), key=str) == want
+    assert sorted(con.execute(queries.SQL["op2_line_dedup"]).fetchall(), key=str) == want
+    assert sum(w[2] for w in want) == 11 * 2 + 9
+
+
 def test_long_documents_of_lines(spark):
     lines = [f"line {k}" for k in range(200_000)]
     docs = [(0, "\n".join(lines), "s0"), (1, "\n".join(lines[::-1]), "s1"), (2, "\n".join(lines[:150_000] + lines[:150_000]), "s2")]
