@@ -26,6 +26,10 @@ def test_all_last_outputs(spark, con, name):
     holds(spark, con, name)
 
 
+def test_sources_of_given_outputs(spark, con):
+    holds(spark, con, "sources_of_given_outputs")
+
+
 @pytest.mark.parametrize("name, column", [("lineage_of_last_outputs", "hash"), ("all_sources_of_outputs", "hash"), ("reproduction_plans_of_outputs", "target")])
 def test_suppliers_are_starts(spark, con, name, column):
     import __spark_entry__ as entry
