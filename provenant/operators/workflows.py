@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provenant.functions.paths import base, words
 from provenant.operators import graph
 from provenant.operators.ordered import numbered
-from provenant.operators.records import lineage
+from provenant.operators.records import lineage, lineage_records
 
 
 def executions(work: DataFrame, work_file: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def executions(work: DataFrame, work_file: DataFrame) -> DataFrame:
 
 def behind_endpoints(work_file: DataFrame, hashes: DataFrame, trusted: DataFrame) -> DataFrame:
     """Distinct verified records behind the endpoints."""
-    return lineage(work_file, hashes).select("record_id").distinct().join(trusted.select("record_id"), "record_id", "left_semi")
+    return lineage_records(work_file, hashes).join(trusted.select("record_id"), "record_id", "left_semi")
 
 
 def wiring(work_file: DataFrame, records: DataFrame) -> DataFrame:
