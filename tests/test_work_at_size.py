@@ -64,3 +64,35 @@ def test_an_index_for_given_files_holds_no_other(spark):
     index = R.lineage_index(files(spark, PLAIN), spark.createDataFrame([("s",)], "hash string"))
     ids = {r["id"] for r in index.places.collect()}
     assert ids == {"h:s", "r:r1", "r:r2", "r:r3", "r:r4"}
+
+
+def test_the_lines_of_sessions_come_from_one_reading(spark):
+    from provenant.plans import load_all, sessions
+    from provenant.sources.testdata import Tables
+    load_all()
+    plan = sessions.events(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "Union" not in plan
+
+
+def lines(spark, rows):
+    return spark.createDataFrame([("s", i, i, pid, ppid, op, mode, path, 0, 0, extra) for i, (pid, ppid, op, mode, path, extra) in enumerate(rows)],
+                                 "session string, ord long, ts_ns long, pid long, ppid long, op string, mode string, path string, size long, mtime_ns long, extra string")
+
+
+def test_only_the_tables_asked_for_are_made(spark):
+    from provenant.operators import tasks as K
+    traces = K.build(lines(spark, [(1, 0, "VARS", "-", "", "a=num"), (1, 0, "open", "r", "/w/x", "sha256=1"), (1, 0, "TASK", "ok", "t", "e")]), "/w")
+    assert [r["name"] for r in traces.variables.collect()] == ["a"] and [r["task"] for r in traces.tasks.collect()] == ["t"]
+    assert "_states" not in vars(traces)
+    assert [r["path"] for r in traces.inputs.collect()] == ["/w/x"] and "_states" in vars(traces)
+
+
+def test_a_child_there_before_its_parent_was_tooling_goes_from_its_next_line_on(spark):
+    from provenant.operators import tasks as K
+    rows = [(7, 6, "open", "r", "/w/kept", ""), (6, 1, "open", "r", "/w/kept", ""), (6, 1, "exec", "-", "/w", "env A=1 /opt/bin/watcher run"), (7, 6, "open", "r", "/w/gone", ""),
+            (8, 7, "open", "r", "/w/gone", ""), (6, 1, "TASK", "ok", "nested", ""), (5, 1, "open", "r", "/w/kept", ""), (9, 1, "TASK", "ok", "t", "")]
+    got = K.without_tooling(lines(spark, rows), ["watcher"]).collect()
+    assert sorted(r["ord"] for r in got) == [0, 1, 5, 6, 7]
+    # process 6 was traced before its marker, but its marker is the session's first
+    numbered = {r["ord"]: r["task_no"] for r in K.numbered_events(lines(spark, rows), ["watcher"]).collect()}
+    assert numbered == {0: 0, 1: 0, 5: 0, 6: 1, 7: 1}
