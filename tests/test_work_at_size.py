@@ -96,3 +96,14 @@ def test_a_child_there_before_its_parent_was_tooling_goes_from_its_next_line_on(
     # process 6 was traced before its marker, but its marker is the session's first
     numbered = {r["ord"]: r["task_no"] for r in K.numbered_events(lines(spark, rows), ["watcher"]).collect()}
     assert numbered == {0: 0, 1: 0, 5: 0, 6: 1, 7: 1}
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_levels_are_found_once_where_nothing_is_on_a_cycle(spark, monkeypatch, ring):
+    from provenant.operators import components as C
+    asked, levels = [], C.graph.levels
+    monkeypatch.setattr(C.graph, "levels", lambda *a, **k: asked.append(1) or levels(*a, **k))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "a"), ("unknown", "a")] + ([("c", "b")] if ring else []), "src string, dst string")
+    got = {r["id"]: (r["level"], r["in_cycle"], r["place"]) for r in C.order(spark.createDataFrame([(x,) for x in "abcd"], "id string"), edges).collect()}
+    assert got == {"a": (0, False, 1), "b": (1, ring, 1), "c": (1 + (not ring), ring, 1 + ring), "d": (0, False, 1)}
+    assert ring or len(asked) == 1
